@@ -58,20 +58,23 @@ def corpus_numbers(c) -> Column:
 def expand_abbreviations(c, pairs=V.ABBREVIATIONS) -> Column:
     """Append long forms of short words and short forms of long phrases, in order."""
     def widen(short: str, full: str):
-        def add_full(t: Column) -> Column:
+        def step(t: Column) -> Column:
             whole = t.contains(short) & F.regexp_like(t, F.lit(rf"(?U)\b{short}\b"))
-            return F.when(whole, F.concat(t, F.lit(" " + full))).otherwise(t)
-
-        def add_short(t: Column) -> Column:
-            return F.when(t.contains(full), F.concat(t, F.lit(" " + short))).otherwise(t)
-
-        return add_full, add_short
-
-    out = col_of(c)
-    for short, full in pairs:
-        for step in widen(short, full):
-            out = bind(out, step)
-    return out
+            long = F.concat(t, F.when(whole, F.lit(" " + full)).otherwise(""))
+            # The long form is there either because it was, or because it was just added.
+            both = whole | t.contains(full)
+            return F.concat(long, F.when(both, F.lit(" " + short)).otherwise(""))
+        return step
+
+    def chain(t: Column) -> Column:
+        for short, full in pairs:
+            t = bind(t, widen(short, full))
+        return t
+
+    shorts, longs = any_of(p[0] for p in pairs), any_of(p[1] for p in pairs)
+    start = col_of(c)
+    return F.when(F.regexp_like(start, F.lit(rf"(?U)\b(?:{shorts})\b|{longs}")),
+                  chain(start)).otherwise(start)
 
 
 def format_number(c) -> Column:

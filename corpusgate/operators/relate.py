@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgate.functions.base import is_blank, strip, text
+from corpusgate.functions.base import bind, is_blank, strip, text
 from corpusgate.functions.text import TAG, ascii_terms, media_refs
 from corpusgate.operators.notes import tail_digest, tail_populated
 from corpusgate.functions import values as V
@@ -250,9 +250,10 @@ def dedupe_inserts(new: DataFrame, existing: DataFrame, seq: str = "seq") -> Dat
 
 def missing_terms(source_body: Column, carried: Column, min_len: int = 6) -> Column:
     """Terms of a retiring note that do not occur, even inside a word, in what is kept."""
-    kept = F.lower(F.regexp_replace(carried, TAG, " "))
     terms = ascii_terms(F.regexp_replace(source_body, TAG, " "), min_len)
-    return F.sort_array(F.filter(terms, lambda t: ~kept.contains(t)))
+    kept = F.lower(F.regexp_replace(carried, TAG, " "))
+    # Bound once: inside the filter it would be built again for every term.
+    return bind(kept, lambda k: F.sort_array(F.filter(terms, lambda t: ~k.contains(t))))
 
 
 def demote_loss(ops: DataFrame, notes: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from corpusgate.functions.facts import (LEVEL_ONLY, corpus_numbers, expand_abbre
                                         fact_text, numeric_facts)
 from corpusgate.functions.text import TAG, CLOZE_LINE, ascii_terms, content_terms
 from corpusgate.operators.skew import lookup_by_key
+from corpusgate.session import materialize
 
 TOP_TERMS = 6
 MIN_IDF = 1.5
@@ -23,12 +24,18 @@ MIN_CARDS, MAX_CARDS, MIN_DECKS = 2, 60, 2
 
 def fingerprints(notes: DataFrame, abbreviations=V.ABBREVIATIONS,
                  stop=V.STOP_WORDS, litre_alias: bool = True) -> DataFrame:
-    """(deck, nid, nums, terms); notes without any term are dropped."""
+    """(deck, nid, nums, terms); notes without any term are dropped.
+
+    Every later step reads this table, so it is written once: the text is parsed once
+    and topics read only the column they need.
+    """
     joined = notes.select("deck", "nid", fact_text(
         F.concat_ws(" ", text("text"), text("extra"))).alias("_t"))
     wide = joined.withColumn("_w", expand_abbreviations("_t", abbreviations))
-    return wide.select("deck", "nid", numeric_facts("_t", litre_alias).alias("nums"),
-                       content_terms("_w", 3, stop).alias("terms")).where(F.size("terms") > 0)
+    prints = wide.select("deck", "nid", numeric_facts("_t", litre_alias).alias("nums"),
+                         content_terms("_w", 3, stop).alias("terms"))
+    # Filtering before the write would evaluate the terms twice.
+    return materialize(prints, "fingerprints").where(F.size("terms") > 0)
 
 
 def term_rows(prints: DataFrame) -> DataFrame:
