@@ -230,6 +230,8 @@ def label_groups(ops: DataFrame, max_rounds: int = 64) -> DataFrame:
     longest chain of demotes.
     """
     pairs = ops.where("op = 'demote'").select(F.col("nid").alias("a"), F.col("into_nid").alias("b"))
+    if not pairs.limit(1).count():
+        return ops.select("nid", F.col("nid").alias("grp")).distinct()
     edges = materialize(pairs.unionByName(pairs.select(
         F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     nodes = ops.select("nid").unionByName(edges.select(F.col("a").alias("nid"))).distinct()

@@ -102,7 +102,8 @@ BLOCK = 1 << 12
 
 
 def band_islands(rows: DataFrame, by: list[str], lo: str, hi: str, gap: int = V.BAND_GAP,
-                 pad: int = V.BAND_PAD, limit: str | None = None) -> DataFrame:
+                 pad: int = V.BAND_PAD, limit: str | None = None,
+                 block: int | None = BLOCK) -> DataFrame:
     """(by..., y0, y1): runs of marked positions, joined over small gaps, padded, merged.
 
     A row marks the whole positions lo..hi inclusive. A new run starts when the next
@@ -114,43 +115,42 @@ def band_islands(rows: DataFrame, by: list[str], lo: str, hi: str, gap: int = V.
                          F.col(hi).cast("bigint").alias("_hi"), cap.alias("_limit"))
     distinct = marked.groupBy(*by, "_lo").agg(F.max("_hi").alias("_hi"),
                                               F.max("_limit").alias("_limit"))
-    runs = merge_intervals(distinct, by, "_lo", "_hi", gap, [F.max("_limit").alias("_limit")])
+    runs = merge_intervals(distinct, by, "_lo", "_hi", gap, {"_limit": F.max}, block)
     top = F.col("_hi") + pad + 1
     padded = runs.select(*by, F.greatest(F.col("_lo") - pad, F.lit(0)).alias("_lo"),
                          F.when(F.col("_limit").isNotNull(), F.least(top, F.col("_limit")))
                          .otherwise(top).alias("_hi"))
-    merged = merge_intervals(padded, by, "_lo", "_hi", 0)
+    merged = _join_runs(padded, by, "_lo", "_hi", 0, {})
     return merged.select(*by, F.col("_lo").alias("y0"), F.col("_hi").alias("y1"))
 
 
 def merge_intervals(rows: DataFrame, by: list[str], lo: str, hi: str, gap: int,
-                    extra: list | None = None, block: int = BLOCK) -> DataFrame:
+                    extra: dict | None = None, block: int | None = BLOCK) -> DataFrame:
     """(by..., lo, hi, extra...): intervals of a group joined when `gap` or less apart.
 
-    Positions are cut into blocks of `block`, and a window never spans more than one
-    block, so a group that holds a large share of all rows is spread over its blocks.
-    What a block must know about the ones before it (how far they reach, how many runs
-    they started) comes from a table with one row per block.
+    Intervals are first joined inside blocks of `block` positions, spreading a group that
+    holds a large share of the rows over many tasks. What is left of a group lies more
+    than `gap` apart inside each block, so the second step sees at most range / gap
+    intervals per group, however many rows there were. `block=None` skips the first step
+    where groups are small by nature. `extra` maps columns to a combinable aggregate.
     """
-    cut = (rows.withColumn("_blk", F.floor(F.col(lo) / F.lit(block)).cast("bigint"))
-           .repartition(*by, "_blk"))
-    keys = [*by, "_blk"]
-    inside = Window.partitionBy(*keys).orderBy(lo, hi)
-    earlier = (Window.partitionBy(*by).orderBy("_blk")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    reach = (cut.groupBy(*keys).agg(F.max(hi).alias("_m"))
-             .select(*keys, F.max("_m").over(earlier).alias("_before")))
-    so_far = F.greatest(F.max(hi).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
-                        F.col("_before"))
-    marked = (cut.join(reach, keys).withColumn("_reach", so_far)
-              .withColumn("_new", F.when(F.col("_reach").isNull()
-                                         | (F.col(lo) - F.col("_reach") > gap), 1).otherwise(0)))
-    started = (marked.groupBy(*keys).agg(F.sum("_new").alias("_s"))
-               .select(*keys, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_offset")))
-    numbered = (marked.withColumn("_in", F.sum("_new").over(inside)).join(started, keys)
-                .withColumn("_run", F.col("_in") + F.col("_offset")))
+    extra = extra or {}
+    if block is not None:
+        cut = rows.withColumn("_blk", F.floor(F.col(lo) / F.lit(block)).cast("bigint"))
+        rows = _join_runs(cut, [*by, "_blk"], lo, hi, gap, extra).drop("_blk")
+    return _join_runs(rows, by, lo, hi, gap, extra)
+
+
+def _join_runs(rows: DataFrame, by: list[str], lo: str, hi: str, gap: int,
+               extra: dict) -> DataFrame:
+    """One window and one aggregation on the same partitioning."""
+    order = Window.partitionBy(*by).orderBy(lo, hi)
+    reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(reach.isNull() | (F.col(lo) - reach > gap), 1).otherwise(0)
+    numbered = rows.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(order))
     return numbered.groupBy(*by, "_run").agg(
-        F.min(lo).alias(lo), F.max(hi).alias(hi), *(extra or [])).drop("_run")
+        F.min(lo).alias(lo), F.max(hi).alias(hi),
+        *[f(c).alias(c) for c, f in extra.items()]).drop("_run")
 
 
 def sessions(events: DataFrame, by: list[str], ts: str, gap_minutes: int = 180) -> DataFrame:
@@ -159,10 +159,9 @@ def sessions(events: DataFrame, by: list[str], ts: str, gap_minutes: int = 180)
     The end is the last event plus the gap, as `session_window` reports it.
     """
     gap = gap_minutes * 60 * 1_000_000
-    rows = events.select(*by, F.unix_micros(ts).alias("_t"))
-    counted = rows.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    spans = counted.withColumn("_end", F.col("_t"))
-    merged = merge_intervals(spans, by, "_t", "_end", gap, [F.sum("_n").alias("n")],
-                             block=24 * 3600 * 1_000_000)
+    rows = events.select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    counted = rows.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("n"))
+    merged = merge_intervals(counted.withColumn("_end", F.col("_t")), by, "_t", "_end", gap,
+                             {"n": F.sum}, block=24 * 3600 * 1_000_000)
     return merged.select(*by, F.timestamp_micros("_t").alias("start"),
                          F.timestamp_micros(F.col("_end") + gap).alias("end"), "n")
