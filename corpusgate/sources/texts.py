@@ -101,7 +101,8 @@ def sections(files: DataFrame) -> DataFrame:
 
 
 def read_changeset(spark: SparkSession, ops: str | None = None, fixes: str | None = None,
-                   new_notes: str | None = None) -> tuple[DataFrame, DataFrame]:
+                   new_notes: str | None = None,
+                   multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(ops, new notes) from JSON files; legacy fixes become edit ops after the ops.
 
     A missing file is empty, both empty is an error.
@@ -109,7 +110,7 @@ def read_changeset(spark: SparkSession, ops: str | None = None, fixes: str | Non
     def load(path, schema):
         if path is None:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).option("multiLine", "true").json(path)
+        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
     main = load(ops, D.OPS)
     last = main.agg(F.coalesce(F.max("op_seq"), F.lit(-1)).alias("m")).scalar()
