@@ -85,27 +85,26 @@ def with_offsets(c: Column, pattern: str, groups: int = 0) -> Column:
 
     The text between matches comes from splitting on the same pattern, so the start of
     match k is the length of the first k+1 gaps plus the length of the first k matches.
+    Groups are read from the match alone; patterns must not need text around it for them.
     """
-    def build(t: Column) -> Column:
-        found = all_matches(t, pattern, 0)
-        gaps = F.transform(F.split(t, pattern, -1), F.length)
-        lens = F.transform(found, F.length)
-        parts = [found] + [all_matches(t, pattern, g) for g in range(1, groups + 1)]
-        steps = F.zip_with(gaps, lens, lambda g, m: F.struct(
-            g.alias("gap"), F.coalesce(m, F.lit(0)).alias("len")))
-
-        def starts(pairs: Column) -> Column:
-            seed = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
-            folded = F.aggregate(pairs, seed, lambda acc, p: F.struct(
-                (acc["pos"] + p["gap"] + p["len"]).alias("pos"),
-                F.concat(acc["out"], F.array(acc["pos"] + p["gap"])).alias("out")))
-            return folded["out"]
-
-        zipped = F.arrays_zip(F.slice(bind(steps, starts), 1, F.size(found)).alias("start"),
-                              *[p.alias(n) for p, n in
-                                zip(parts, ["m"] + [f"g{i}" for i in range(1, groups + 1)])])
-        return zipped
-
     empty = F.array().cast("array<struct<start:int,m:string%s>>" % "".join(
         f",g{i}:string" for i in range(1, groups + 1)))
-    return F.when(F.regexp_like(c, F.lit(pattern)), bind(c, build)).otherwise(empty)
+
+    def place(acc: Column, step: Column) -> Column:
+        start = acc["pos"] + step["gap"]
+        item = F.struct(start.alias("start"), step["m"].alias("m"), *[
+            F.regexp_extract(step["m"], pattern, g).alias(f"g{g}")
+            for g in range(1, groups + 1)])
+        return F.struct((start + F.length(step["m"])).alias("pos"),
+                        F.concat(acc["out"], F.array(item)).alias("out"))
+
+    def build(t: Column) -> Column:
+        def offsets(found: Column) -> Column:
+            steps = F.filter(F.zip_with(F.split(t, pattern, -1), found, lambda g, m: F.struct(
+                F.length(g).alias("gap"), m.alias("m"))), lambda s: s["m"].isNotNull())
+            seed = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+            return F.when(F.size(found) > 0, F.aggregate(
+                steps, seed, place, lambda acc: acc["out"])).otherwise(empty)
+        return bind(all_matches(t, pattern, 0), offsets)
+
+    return bind(c, build)

@@ -25,6 +25,7 @@ from corpusgate.session import materialize
 
 FIELDS = list(V.NOTE_FIELDS)
 KINDS = ("edit", "rewrite", "split", "demote", "delete")
+GROUP_ROWS = 2000
 
 
 @dataclass
@@ -257,7 +258,7 @@ _FOLD = ("row STRING, nid BIGINT, op_seq BIGINT, part INT, kind STRING, reason S
 
 
 def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Apply one group's ops in order to its notes."""
+    """Apply the ops of whole groups in order to their notes."""
     import re
 
     tag, term = re.compile(r"<[^>]+>"), re.compile(r"[A-Za-z]{6,}")
@@ -345,8 +346,12 @@ def fold_dependent(notes: DataFrame, ops: DataFrame) -> DataFrame:
     held = notes.select("nid", *[text(c).alias(f"n_{c}") for c in FIELDS])
     note_rows = (held.join(groups, "nid").withColumn("row", F.lit("note"))
                  .withColumn("op_seq", F.lit(0).cast("bigint")))
-    both = op_rows.unionByName(note_rows, allowMissingColumns=True)
-    return materialize(both.groupBy("grp").applyInPandas(_fold_group, _FOLD), "folded")
+    # Groups are independent, so one task folds a bucket of them; a bucket holds a few
+    # thousand ops on average, and a group is never cut.
+    buckets = max(1, ops.count() // GROUP_ROWS)
+    both = op_rows.unionByName(note_rows, allowMissingColumns=True).withColumn(
+        "bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
+    return materialize(both.groupBy("bucket").applyInPandas(_fold_group, _FOLD), "folded")
 
 
 def apply_changeset(notes: DataFrame, cards: DataFrame | None, ops: DataFrame,

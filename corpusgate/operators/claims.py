@@ -30,8 +30,8 @@ CLAIM_COLUMNS = ("deck", "nid", "field", "subject", "attribute", "value", "unit"
 class Lexicon:
     """What the corpus teaches about subjects.
 
-    subjects: (raw, subject, n)  normalised phrase -> canonical subject, with its count
-    abbreviations: (short, full)
+    subjects: (phrase, subject, n)  lower-cased phrase -> canonical subject, with its count
+    abbreviations: (short, full_form)
     """
     subjects: DataFrame
     abbreviations: DataFrame
@@ -40,6 +40,7 @@ class Lexicon:
 # ---- A6, P17: the lexicon -------------------------------------------------------------------
 
 def _note_text() -> Column:
+    """Front and back as one readable text."""
     return F.concat_ws(" ", plain("text"), plain("extra"))
 
 
@@ -72,31 +73,38 @@ def _expand(phrases: DataFrame, abbreviations: DataFrame, raw: str) -> DataFrame
 
 
 def _lexicon_phrases(notes: DataFrame) -> DataFrame:
-    """(raw, attested): phrases of each note read as one text.
+    """(phrase, attested): phrases of each note read as one text, in lower case.
 
     Where the front ends without a full stop a phrase may run on into the back; the two
     fields are then also read alone, as sentences will be, without counting as attested.
     """
     def tagged(phrases: Column, weight: int) -> Column:
         return F.transform(phrases, lambda p: F.struct(
-            S.norm_subject(p).alias("raw"), F.lit(weight).alias("attested")))
+            F.lower(p).alias("phrase"), F.lit(weight).alias("attested")))
 
-    front, back = plain("text"), plain("extra")
-    apart = F.concat(S.subject_phrases(front), S.subject_phrases(back))
-    alone = F.when(F.regexp_like(front, F.lit("[.!?]$")), F.slice(apart, 1, 0)).otherwise(apart)
-    found = F.concat(tagged(S.subject_phrases(_note_text()), 1), tagged(alone, 0))
-    return notes.select(F.explode(found).alias("p")).select("p.raw", "p.attested")
+    def read(front: Column, back: Column) -> Column:
+        whole = tagged(S.subject_phrases(F.concat_ws(" ", front, back)), 1)
+        apart = F.concat(S.subject_phrases(front), S.subject_phrases(back))
+        return F.when(F.regexp_like(front, F.lit("[.!?]$")), whole).otherwise(
+            F.concat(whole, tagged(apart, 0)))
+
+    plain_notes = notes.select(plain("text").alias("_f"), plain("extra").alias("_b"))
+    found = plain_notes.select(F.explode(read(F.col("_f"), F.col("_b"))).alias("p"))
+    return found.select("p.phrase", "p.attested")
 
 
 def build_lexicon(notes: DataFrame) -> Lexicon:
     """Attested subjects of two to five tokens, each mapped to its shortest attested suffix.
 
     The suffix keeps at least two tokens, so a subject never shrinks to a bare noun.
+    Normalising works on distinct phrases, not on every mention.
     """
-    abbreviations = materialize(mined_abbreviations(notes))
-    counts = (_lexicon_phrases(notes).groupBy("raw")
+    abbreviations = materialize(mined_abbreviations(notes), "abbreviations")
+    counts = (_lexicon_phrases(notes).groupBy("phrase")
               .agg(F.sum("attested").alias("attested"), F.count(F.lit(1)).alias("n")))
-    phrases = materialize(_expand(counts, abbreviations, "raw"))
+    spelled = materialize(counts.withColumn("raw", S.norm_subject(F.col("phrase"))), "phrases")
+    raws = spelled.groupBy("raw").agg(F.sum("attested").alias("attested"))
+    phrases = materialize(_expand(raws, abbreviations, "raw"), "expanded")
     attested = (phrases.where((F.col("attested") > 0)
                               & S.token_count(F.col("expanded")).between(2, 5))
                 .select("expanded").distinct())
@@ -110,9 +118,10 @@ def build_lexicon(notes: DataFrame) -> Lexicon:
                 .groupBy("expanded").agg(F.min("size").alias("size")))
     canon = shortest.join(tokens, "expanded").select("expanded", F.array_join(
         F.slice("t", -F.col("size"), F.col("size")), " ").alias("canon"))
-    subjects = phrases.join(canon, "expanded", "left").select(
-        "raw", F.coalesce("canon", "expanded").alias("subject"), "n")
-    return Lexicon(materialize(subjects), abbreviations)
+    named = phrases.join(canon, "expanded", "left").select(
+        "raw", F.coalesce("canon", "expanded").alias("subject"))
+    subjects = spelled.join(named, "raw").select("phrase", "subject", "n")
+    return Lexicon(materialize(subjects, "subjects"), abbreviations)
 
 
 # ---- K1..K4: extraction -----------------------------------------------------------------------
@@ -137,9 +146,11 @@ def sentence_subjects(sents: DataFrame, lexicon: Lexicon) -> DataFrame:
     flat = (sents.withColumn("m", F.explode(S.subject_mentions(F.col("sent"))))
             .select("nid", "field", "sid", F.col("m.start").alias("start"),
                     S.follows_preposition(F.col("sent"), F.col("m.start"), F.col("m.g1"))
-                    .alias("weak"), S.norm_subject(F.col("m.g1")).alias("raw")))
-    named = lookup_by_key(flat, lexicon.subjects, "raw", "n", F.struct("nid", "sid"), how="left")
-    subject = F.coalesce("subject", "raw")
+                    .alias("weak"), F.lower("m.g1").alias("phrase")))
+    named = lookup_by_key(flat, lexicon.subjects, "phrase", "n", F.struct("nid", "sid"),
+                          how="left")
+    # A lexicon built from other notes may lack a phrase; it is then taken as it stands.
+    subject = F.coalesce("subject", S.norm_subject(F.col("phrase")))
     rank = F.when(S.is_quantity(subject), 2).when(F.col("weak"), 1).otherwise(0)
     item = F.struct("start", subject.alias("subject"), rank.alias("rank"))
     return (named.where(S.token_count(subject) >= 2).groupBy("nid", "field", "sid")
@@ -242,8 +253,11 @@ def extract_claims(notes: DataFrame, lexicon: Lexicon | None = None) -> DataFram
     compound sentence states a set and does not contradict itself.
     """
     lexicon = build_lexicon(notes) if lexicon is None else lexicon
-    sents = note_sentences(notes).withColumn("claims", F.regexp_like("sent", F.lit(TRIGGER)))
-    cands = sentence_subjects(sents.where(F.col("claims") | (F.col("field") == "Text")), lexicon)
+    # Sentences that claim something, and those of the front, which name the note's topic.
+    # Both tables are read twice; parsing costs far more than writing them.
+    flagged = note_sentences(notes).withColumn("claims", F.regexp_like("sent", F.lit(TRIGGER)))
+    sents = materialize(flagged.where(F.col("claims") | (F.col("field") == "Text")), "sentences")
+    cands = materialize(sentence_subjects(sents, lexicon), "subjects")
     return resolve_claims(sents.where("claims").drop("claims"), cands, note_topics(cands))
 
 

@@ -21,8 +21,13 @@ def box_buckets(boxes: DataFrame, conf_ok: float = V.CONFIDENCE_OK) -> DataFrame
 
 
 def _extents(boxes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_id, bucket, lo, hi, page_h): rows of the page a box covers, edges included."""
-    return (boxes.join(pages.select("page_id", "page_h"), "page_id")
+    """(page_id, bucket, lo, hi, page_h): rows of the page a box covers, edges included.
+
+    Boxes of one line share their extent, so the distinct extents, far fewer than the
+    boxes, are what is joined with the pages.
+    """
+    lines = boxes.where("bucket <> 'accounted'").select("page_id", "bucket", "t", "h").distinct()
+    return (lines.join(pages.select("page_id", "page_h"), "page_id")
             .select("page_id", "bucket", F.greatest(F.col("t") - EDGE, F.lit(0)).alias("lo"),
                     (F.least(F.col("t") + F.col("h") + EDGE, F.col("page_h")) - 1).alias("hi"),
                     "page_h"))
@@ -57,7 +62,8 @@ def outside_bands(extents: DataFrame, bands: DataFrame) -> DataFrame:
 def page_bands(boxes: DataFrame, pages: DataFrame, gap: int = V.BAND_GAP,
                pad: int = V.BAND_PAD) -> DataFrame:
     """(page_id, kind, y0, y1): bands to read by eye, and numeric bands outside of them."""
-    extents = _extents(box_buckets(boxes) if "bucket" not in boxes.columns else boxes, pages)
+    marked = box_buckets(boxes) if "bucket" not in boxes.columns else boxes
+    extents = materialize(_extents(marked, pages), "extents")
     # A page has no more distinct positions than pixel rows, so it fits one task.
     # The mandatory bands are read twice below and are far fewer than the boxes.
     eyes = materialize(band_islands(extents.where("bucket = 'needs-eyes'"), ["page_id"], "lo",

@@ -60,7 +60,8 @@ def rarest_terms(prints: DataFrame, k: int = TOP_TERMS, min_idf: float = MIN_IDF
     them out before ranking changes nothing. Rare ones stay: they fill the k places.
     """
     rows = term_rows(prints)
-    rare = with_idf(document_frequency(rows), prints).where(F.col("idf") > min_idf)
+    rare = materialize(with_idf(document_frequency(rows), prints)
+                       .where(F.col("idf") > min_idf), "rare-terms")
     scored = lookup_by_key(rows, rare, "term", "df", F.col("nid"))
     rank = Window.partitionBy("nid").orderBy(F.col("df"), F.col("term"))
     return scored.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k).drop("_r")

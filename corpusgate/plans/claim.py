@@ -9,7 +9,7 @@ from corpusgate.functions import subjects as S
 from corpusgate.operators import claims as C
 from corpusgate.operators import relate as J
 from corpusgate.operators import rules as R
-from corpusgate.plans.base import query, table
+from corpusgate.plans.base import query, table, wide_table
 from corpusgate.session import scratch_path
 from corpusgate.sources import sinks
 
@@ -156,7 +156,7 @@ def order_notes(spark, d):
             .otherwise("For a femoral block the patient is supine."))
     extra = (F.when(k == 3, "It is always C5.")
              .when(k == 5, say("A ", a, " cm needle is used.")).otherwise(" "))
-    return table(spark, d, "orders").select(
+    return wide_table(spark, d, "orders").select(
         F.concat(F.lit("d"), F.pmod(key, F.lit(9))).alias("deck"), key.alias("nid"),
         text.alias("text"), extra.alias("extra"))
 
@@ -225,22 +225,21 @@ def consistency_verdict(spark, d):
 
 # ---- the lexicon ------------------------------------------------------------------------------------
 
-_LEX = """SELECT DISTINCT raw FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 2)
-  END || ' nerve' AS raw FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 1)"""
+_LEX = """n AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 2) END
+  || ' nerve' AS raw, count(*)::BIGINT AS n FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 1 GROUP BY 1)"""
 
 
-@query("subject_lexicon", f"""WITH r AS ({_LEX}), n AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE
-  split_part(p_name, ' ', 2) END || ' nerve' AS raw, count(*)::BIGINT AS n FROM part
-  WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 1 GROUP BY 1)
-SELECT raw, n, CASE WHEN len(string_split(raw, ' ')) = 3 AND array_to_string(string_split(raw, ' ')[2:], ' ')
-  IN (SELECT raw FROM r) THEN array_to_string(string_split(raw, ' ')[2:], ' ') ELSE raw END AS subject FROM n""")
+@query("subject_lexicon", f"""WITH {_LEX}
+SELECT 'the ' || raw AS phrase, n, CASE WHEN len(string_split(raw, ' ')) = 3 AND
+  array_to_string(string_split(raw, ' ')[2:], ' ') IN (SELECT raw FROM n)
+  THEN array_to_string(string_split(raw, ' ')[2:], ' ') ELSE raw END AS subject FROM n""")
 def subject_lexicon(spark, d):
     even = F.pmod("p_partkey", F.lit(2)) == 0
     name = F.when(even, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(2)))
     parts = table(spark, d, "part").where(even | (F.pmod("p_partkey", F.lit(3)) == 1))
     notes = parts.select(F.col("p_partkey").alias("nid"), F.concat(
         F.lit("The "), name, F.lit(" nerve is here.")).alias("text"), F.lit("").alias("extra"))
-    return C.build_lexicon(notes).subjects.select("raw", "n", "subject")
+    return C.build_lexicon(notes).subjects.select("phrase", "n", "subject")
 
 
 @query("norm_subjects", """

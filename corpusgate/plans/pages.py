@@ -8,7 +8,7 @@ from corpusgate.functions import values as V
 from corpusgate.functions.base import WS, words_of
 from corpusgate.operators import coverage as B
 from corpusgate.operators import order as O
-from corpusgate.plans.base import ascii_words, has, lit, query, table
+from corpusgate.plans.base import ascii_words, has, lit, query, table, wide_table
 
 
 @query("activity_bands", """
@@ -66,7 +66,7 @@ buckets AS (SELECT *, CASE WHEN conf < 15 THEN 'needs-eyes' WHEN
 
 
 def word_boxes(spark, d):
-    words = table(spark, d, "documents").select(
+    words = wide_table(spark, d, "documents").select(
         F.col("doc_id"), F.posexplode(words_of(F.col("text"))).alias("i", "text"))
     return words.select(
         F.col("doc_id").alias("page_id"), "text",

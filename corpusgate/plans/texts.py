@@ -9,9 +9,9 @@ from corpusgate.functions import subjects as S
 from corpusgate.functions import text as T
 from corpusgate.functions import values as V
 from corpusgate.functions.base import WS
-from corpusgate.plans.base import (ACCENTED, MARKED, NOTES, NL, ascii_words, doc_notes, find,
-                                   has, lit, marked_notes, query, re2, sql_list, sql_plain,
-                                   sql_sort_field, sql_stop, sql_strip, sub, table)
+from corpusgate.plans.base import (MARKED, ascii_words, find, has, lit, marked_notes, query,
+                                   sql_plain, sql_sort_field, sql_stop, sql_strip, sub, table,
+                                   wide_table)
 
 
 def _digest(df, key, value):
@@ -32,7 +32,7 @@ def strip_tags(spark, d):
 
 @query("plain_text", _digest_sql("pages", "page_id", sql_plain("html")), bench=True)
 def plain_text(spark, d):
-    return _digest(table(spark, d, "pages"), "page_id", T.plain("html"))
+    return _digest(wide_table(spark, d, "pages"), "page_id", T.plain("html"))
 
 
 @query("plain_text_of_cloze", _digest_sql("marked", "nid", sql_plain("text"),
@@ -52,7 +52,7 @@ def _compact_sql(expr: str) -> str:
 
 @query("compact_text", _digest_sql("pages", "page_id", _compact_sql("html")))
 def compact_text(spark, d):
-    return _digest(table(spark, d, "pages"), "page_id", T.compact("html"))
+    return _digest(wide_table(spark, d, "pages"), "page_id", T.compact("html"))
 
 
 @query("digest_ratio", f"""
@@ -63,7 +63,7 @@ SELECT count(*)::BIGINT AS notes, sum(length(html))::BIGINT AS raw_chars,
 FROM pages""", bench=True)
 def digest_ratio(spark, d):
     from corpusgate.operators.report import digest_ratio as ratio
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("nid"),
+    pages = wide_table(spark, d, "pages").select(F.col("page_id").alias("nid"),
                                             F.col("html").alias("text"),
                                             F.lit("").alias("extra"))
     return ratio(pages)
@@ -230,7 +230,7 @@ def measured_notes(spark, d):
         .otherwise(F.concat(
             F.lit("Gauge "), F.pmod(cust, F.lit(29)), F.lit(" gauge, "), q,
             F.lit(" degrees, central nervous system, C5 C6."))))
-    return table(spark, d, "orders").select(
+    return wide_table(spark, d, "orders").select(
         key.alias("nid"), F.concat(F.lit("deck"), F.pmod(cust, F.lit(12))).alias("deck"),
         text.alias("text"), F.lit("").alias("extra"))
 
