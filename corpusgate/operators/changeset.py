@@ -8,9 +8,11 @@ only append, so they stay on the join path unless one of them needs an earlier o
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from corpusgate.session import materialize
 FIELDS = list(V.NOTE_FIELDS)
 KINDS = ("edit", "rewrite", "split", "demote", "delete")
 GROUP_ROWS = 2000
+# Python workers get this module's functions by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass

@@ -6,10 +6,12 @@ import base64
 import io
 import json
 import sqlite3
+import sys
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ TABLES = {
 SCHEMAS = {"notes": D.NOTES, "cards": D.CARDS, "decks": D.DECKS, "notetypes": D.NOTETYPES}
 RAW = "kind STRING, deck STRING, path STRING, payload STRING"
 BATCH = 5000
+# Python workers get this module's functions by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _open(content: bytes) -> sqlite3.Connection:
