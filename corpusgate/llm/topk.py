@@ -248,7 +248,8 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                 best = Best(len(q.ids), k, None)
                 if floor is not None:
                     known = dict(zip(floor["id"], floor["score"]))
-                    best.floor = np.array([known.get(i, -np.inf) for i in q.ids.tolist()])
+                    best.floor = np.array([known.get(i, -np.inf) for i in q.ids.tolist()],
+                                          np.float64)
                 dual_search(q, p, best)
                 for i, query in enumerate(q.ids.tolist()):
                     n = len(best.ids[i])
