@@ -28,7 +28,8 @@ from corpusgate.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHARD_KEYS = 1 << 18   # keys of a filter shard, on average
+SHARD_KEYS = 1 << 18       # keys of a filter shard, on average
+BROADCAST_KEYS = 1 << 24   # keys whose filters may be broadcast
 
 
 # ---- the filter ---------------------------------------------------------------------------------
@@ -170,13 +171,9 @@ def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 # ---- dedup --------------------------------------------------------------------------------------
 
-def classes(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id",
-            text_col: str = "text", digest=sha256) -> DataFrame:
-    """(digest, text, variants, keep_id, group_size): classes of equal texts, both sides.
-
-    `text` is null unless several texts share the digest (`variants` > 1). Only digests that
-    occur more than once have rows.
-    """
+def repeated(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id",
+             text_col: str = "text", digest=sha256) -> DataFrame:
+    """(digest): digests that more than one row of snapshot and batch have."""
     old = materialize(state_of(digests(snapshot, id_col, text_col, digest)), "state")
     new = materialize(state_of(digests(batch, id_col, text_col, digest)), "batch")
     shards = max(1, -(-old.count() // SHARD_KEYS))
@@ -185,41 +182,47 @@ def classes(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id",
     # Exact buckets: the filter's few false positives find no row here.
     held = old.join(positive, "digest", "left_semi").select("digest")
     within = old.where("n > 1").select("digest").unionByName(new.where("n > 1").select("digest"))
-    suspects = materialize(held.unionByName(within).distinct(), "suspects")
-    both = snapshot.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).unionByName(
-        batch.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    texts = both.select("id", F.coalesce("text", F.lit("")).alias("text"),
-                        digest(F.col("text")).alias("digest"))
+    return materialize(held.unionByName(within).distinct(), "repeated")
+
+
+def screened(found: DataFrame):
+    """A function from a digest column to whether `found` may hold it.
+
+    Up to BROADCAST_KEYS digests, their filters, at most 20 MB, are broadcast, so that the
+    texts of rows that surely have no copy are not shuffled. Beyond that every row passes,
+    and the join that follows decides alone.
+    """
+    n = found.count()
+    if n > BROADCAST_KEYS:
+        return lambda _digest: F.lit(True)
+    shards = max(1, -(-n // SHARD_KEYS))
+    parts = {r["shard"]: (r["seed"], r["length"], r["segments"], bytes(r["cells"]))
+             for r in build_filters(found, shards).collect()}
+    shared = found.sparkSession.sparkContext.broadcast(parts)
+
+    @F.pandas_udf("boolean")
+    def may_hold(key: pd.Series, shard: pd.Series) -> pd.Series:
+        keys, own = key.to_numpy(np.int64).view(np.uint64), shard.to_numpy()
+        hit = np.zeros(len(keys), bool)
+        for i, part in shared.value.items():
+            at = np.flatnonzero(own == i)
+            hit[at] = in_filter(keys[at], *part)
+        return pd.Series(hit)
+
+    return lambda digest: may_hold(F.xxhash64(digest), F.pmod(F.hash(digest), F.lit(shards)))
+
+
+def groups(docs: DataFrame, found: DataFrame, maybe, id_col: str, text_col: str,
+           digest=sha256) -> DataFrame:
+    """(id, digest, keep_id, group_size) of every row whose digest is repeated."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"),
+                       digest(F.col(text_col)).alias("digest"))
+    own = materialize(rows.where(maybe(F.col("digest"))).join(found, "digest", "left_semi").select(
+        "id", "text", "digest"), "copies")
     # Grouping on the text compares it byte for byte; copies fold before the shuffle.
-    equal = texts.join(suspects, "digest", "left_semi").groupBy("digest", "text").agg(
-        F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    equal = materialize(equal.select("digest", "text", "keep_id", "group_size"), "classes")
-    variants = equal.groupBy("digest").agg(F.count(F.lit(1)).alias("variants"))
-    return equal.join(variants, "digest").select(
-        "digest", F.when(F.col("variants") > 1, F.col("text")).alias("text"), "variants",
-        "keep_id", "group_size")
-
-
-def mark(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, digest=sha256,
-         names: tuple[str, str, str] = ("text_sha256", "keep_id", "group_size")) -> DataFrame:
-    """`docs` with digest, kept id and size of the group of every row, under `names`."""
-    sha, keep, size = names
-    single = found.where("variants = 1").select(
-        F.col("digest").alias("_cg_digest"), F.col("keep_id").alias("_cg_keep"),
-        F.col("group_size").alias("_cg_size"))
-    several = found.where("variants > 1").select(
-        F.col("digest").alias("_cg_digest2"), F.col("text").alias("_cg_text2"),
-        F.col("keep_id").alias("_cg_keep2"), F.col("group_size").alias("_cg_size2"))
-    rows = docs.withColumn(sha, digest(F.col(text_col)))
-    rows = rows.join(single, rows[sha] == F.col("_cg_digest"), "left")
-    rows = rows.join(several, (rows[sha] == F.col("_cg_digest2"))
-                     & (F.coalesce(rows[text_col], F.lit("")) == F.col("_cg_text2")), "left")
-    known = F.coalesce("_cg_size", "_cg_size2")
-    return rows.select(
-        *[docs[c] for c in docs.columns], F.col(sha),
-        F.when(known.isNull(), docs[id_col]).otherwise(
-            F.coalesce("_cg_keep", "_cg_keep2")).alias(keep),
-        F.coalesce(known, F.lit(1)).cast("bigint").alias(size))
+    equal = materialize(own.groupBy("digest", "text").agg(
+        F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "classes")
+    return own.join(equal, ["digest", "text"]).select("id", "digest", "keep_id", "group_size")
 
 
 def split(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -231,18 +234,29 @@ def split(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame
 def dedup(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           digest=sha256) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) of every row of snapshot and batch."""
-    found = classes(snapshot, batch, id_col, text_col, digest)
+    found = repeated(snapshot, batch, id_col, text_col, digest)
     both = snapshot.select(id_col, text_col).unionByName(batch.select(id_col, text_col))
-    marked = mark(both, found, id_col, text_col, digest)
-    return marked.select(id_col, "keep_id", "group_size",
-                         F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    copies = groups(both, found, screened(found), id_col, text_col, digest)
+    lone = digests(both, id_col, text_col, digest).join(found, "digest", "left_anti").select(
+        "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
+    return copies.unionByName(lone).select(
+        F.col("id").alias(id_col), "keep_id", "group_size",
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that stay."""
-    from corpusgate.llm.common import fresh
+    """The rows, with all their columns, that stay.
 
-    names = tuple(fresh(docs, "text_sha256", "keep_id", "group_size"))
-    found = classes(*split(docs, id_col), id_col, text_col)
-    marked = mark(docs, found, id_col, text_col, names=names)
-    return marked.where(F.col(id_col).eqNullSafe(F.col(names[1]))).select(*docs.columns)
+    Rows that the filter clears stay without a shuffle; only the others meet the list of
+    rows that go.
+    """
+    found = repeated(*split(docs, id_col), id_col, text_col)
+    maybe = screened(found)
+    copies = groups(docs, found, maybe, id_col, text_col)
+    gone = copies.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(
+        F.col("id").alias("_cg_id"), F.col("digest").alias("_cg_digest")).distinct()
+    own = sha256(docs[text_col])
+    doubtful = docs.where(maybe(own))
+    stay = doubtful.join(gone, doubtful[id_col].eqNullSafe(F.col("_cg_id"))
+                         & (sha256(doubtful[text_col]) == F.col("_cg_digest")), "left_anti")
+    return docs.where(~maybe(own)).unionByName(stay)
