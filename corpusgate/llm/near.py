@@ -9,8 +9,11 @@ Equal sets are folded to their smallest id first, so copies are never compared.
 then emits a star: one centre, drawn at random per bucket, against every other member of
 another component. Stars are confirmed on the full sets, components are updated, centres
 leave their buckets, and buckets that still hold several components go into another round,
-until none does. So no bucket emits all its pairs at once, and every pair of texts in a
-bucket is either confirmed, refused or already linked by others at the end.
+until none does. What is left after a round is mostly texts that only look alike, so every
+round draws MORE times as many centres per bucket as the one before: a round emits at most
+as many edges as members times centres, and the rounds grow with the logarithm of the
+largest such bucket. Every pair of texts in a bucket is confirmed, refused or already linked
+by others at the end.
 
 With six rows and forty bands, two texts with a similarity of exactly 0.8 share no bucket
 with probability (1 - 0.8^6)^40 = 5e-6.
@@ -40,6 +43,7 @@ WIDTH = 5
 SIMILARITY = (4, 5)   # as a fraction, compared in whole numbers
 BANDS, ROWS = 40, 6
 REMEMBERED = 1 << 18
+MORE = 8              # growth of the number of stars per bucket and round
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -184,11 +188,18 @@ def _buckets(sig: DataFrame) -> DataFrame:
                        F.xxhash64("key", "id").alias("place")).distinct()
 
 
+def _with_centres(members: DataFrame, stars: int) -> DataFrame:
+    """`members` with whether each is a centre: about `stars` per bucket, one at least."""
+    sizes = members.groupBy("key").agg(F.min("place").alias("lead"), F.count(F.lit(1)).alias("m"))
+    drawn = F.pmod("place", F.lit(1 << 30)) * F.col("m") < F.lit(stars * (1 << 30))
+    return members.join(sizes, "key").withColumn(
+        "centre", (F.col("place") == F.col("lead")) | drawn).drop("lead", "m")
+
+
 def _stars(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): the centre of every bucket against its members in other components."""
+    """(a, b): the centres of every bucket against its members in other components."""
     num, den = similarity
-    lead = members.groupBy("key").agg(F.min("place").alias("place"))
-    centre = members.join(lead, ["key", "place"]).select(
+    centre = members.where("centre").select(
         "key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("grp").alias("cg"))
     fits = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num)
     return members.join(centre, "key").where((F.col("grp") != F.col("cg")) & fits).select(
@@ -201,27 +212,27 @@ def near_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, widt
     members = materialize(_buckets(sig), "buckets")
     sets = materialize(full_sets(docs, members.select("id").distinct(), id_col, text_col, width),
                        "sets")
-    links = labels = None
-    asked = None
+    node = sig.schema["id"].dataType
+    links = sig.sparkSession.createDataFrame([], f"a {node.simpleString()}, b {node.simpleString()}")
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("grp"))
+    asked, stars = links, 1
     while not members.isEmpty():
-        pairs = _stars(members, similarity)
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        members = materialize(_with_centres(members, stars), "centres")
+        pairs = _stars(members, similarity).join(asked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        asked = pairs if asked is None else asked.unionByName(pairs)
+        asked = asked.unionByName(pairs)
         found = materialize(confirm(pairs, sets, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
         # Centres have met every member; buckets of one component are settled.
-        lead = members.groupBy("key").agg(F.min("place").alias("lead"))
-        left = members.join(lead, "key").where("place <> lead").drop("lead", "grp")
+        left = members.where("not centre").drop("centre", "grp")
         left = left.join(labels.select(F.col("node").alias("id"), "grp"), "id", "left").select(
             "key", "id", "n", F.coalesce("grp", "id").alias("grp"), "place")
         ends = left.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
         open_keys = ends.where("lo <> hi").select("key")
         members = materialize(left.join(open_keys, "key", "left_semi"), "buckets")
-    if labels is None:
-        return sig.select(F.col("id").alias("node"), F.col("id").alias("grp")).where(F.lit(False))
+        stars *= MORE
     return labels
 
 
