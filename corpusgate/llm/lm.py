@@ -20,6 +20,7 @@ are scored but not learned from; rows that repeat an id are scored one by one.
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections import Counter
 
@@ -314,19 +315,19 @@ class Scorer:
         the other and its state starts afresh with each.
         """
         lanes = min(SCORE_LANES, len(docs))
-        load, dealt = [0] * lanes, [[] for _ in range(lanes)]
-        import heapq
-        heap = [(0, i) for i in range(lanes)]
+        heap, dealt = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
         for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
             used, lane = heapq.heappop(heap)
             dealt[lane].append(i)
-            load[lane] = used + len(docs[i])
-            heapq.heappush(heap, (load[lane], lane))
-        steps = max(load)
+            heapq.heappush(heap, (used + len(docs[i]), lane))
+        # Longest lane first, so the lanes still running are always the first ones.
+        load, dealt = zip(*sorted(((sum(len(docs[i]) for i in d), d) for d in dealt),
+                                  key=lambda x: -x[0]))
+        steps, running = load[0], np.array(load)
         start, other = self.lexicon.start, self.lexicon.other
         source = np.full((steps, lanes), start, np.int32)
         target = np.full((steps, lanes), other, np.int32)
-        keep, owner = np.zeros((steps, lanes), np.float32), np.full((steps, lanes), -1, np.int64)
+        keep, owner = np.zeros((steps, lanes), np.float32), np.full((steps, lanes), -1, np.int32)
         for lane, own in enumerate(dealt):
             at = 0
             for i in own:
@@ -338,8 +339,9 @@ class Scorer:
                 at += n
         out, h = np.zeros(len(docs)), np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, steps, SCORE_WINDOW):
-            cut = slice(t, t + SCORE_WINDOW)
-            states, h = run_gates(self.p, self.table[source[cut]], h, keep[cut], None)
+            on = int((running > t).sum())
+            cut = (slice(t, t + SCORE_WINDOW), slice(0, on))
+            states, h = run_gates(self.p, self.table[source[cut]], h[:on], keep[cut], None)
             who = owner[cut].ravel()
             real = who >= 0
             lp, _ = log_probs(self.p, states.reshape(-1, HIDDEN)[real], target[cut].ravel()[real],
@@ -359,6 +361,9 @@ def score_heads(docs: DataFrame, id_col: str, text_col: str, lexicon, params: di
     def make():
         lx = Lexicon(*lexicon.value)
         scorer = Scorer(shared.value, lx)
+        place = {w: i for i, w in enumerate(lx.base)}.get
+        base = np.array([*lx.base.values(), 0.0])
+        number = np.array([*(lx.number.get(w, lx.other) for w in lx.base), 0], np.int32)
 
         def work(batch):
             out = {k: [] for k in ("id", "n_tokens", "n_known", "base", "net", "others",
@@ -371,20 +376,19 @@ def score_heads(docs: DataFrame, id_col: str, text_col: str, lexicon, params: di
                     out["net"] += (scorer.score(waiting) / np.log(10)).tolist()
                     waiting.clear()
 
-            base, number, other = lx.base, lx.number, lx.other
             for text in batch["text"]:
                 words = words_of(text)
                 words.append(END)
-                ids = np.array([number.get(w, other) for w in words], np.int32)
-                found = [base.get(w) for w in words]
-                known = [v for v in found if v is not None]
-                rare = Counter(w for w, v in zip(words, found) if v is None)
-                outside = [v for v, i in zip(found, ids.tolist()) if i == other and v is not None]
+                at = np.array([place(w, -1) for w in words], np.int32)
+                known = at >= 0
+                ids = np.where(known, number[at], lx.other).astype(np.int32)
+                chance = np.where(known, base[at], 0.0)
+                rare = Counter(words[i] for i in np.flatnonzero(~known).tolist())
                 out["n_tokens"].append(len(words))
-                out["n_known"].append(len(known))
-                out["base"].append(float(np.sum(known)))
-                out["others"].append(int((ids == other).sum()))
-                out["base_other"].append(float(np.sum(outside)))
+                out["n_known"].append(int(known.sum()))
+                out["base"].append(float(chance.sum()))
+                out["others"].append(int((ids == lx.other).sum()))
+                out["base_other"].append(float(chance[ids == lx.other].sum()))
                 out["rare"].append(list(rare))
                 out["rare_n"].append(list(rare.values()))
                 waiting.append(ids)
