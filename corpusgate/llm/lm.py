@@ -37,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = b"\n"          # no word holds a line feed
 SHORT = 4095         # words that the network tells apart
-HEAD = 1 << 18       # words whose counts every task holds
+HEAD = 1 << 16       # words whose counts every task holds
 SMOOTH = 0.1
 HIDDEN = 24
 CLASS = 64           # words of a class
