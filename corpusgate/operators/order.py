@@ -45,6 +45,12 @@ def ledger_order(entries: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
+def ledger_places(entries: DataFrame, name: str) -> DataFrame:
+    """Every entry with its place in ledger order, without one global sort."""
+    ranked = entries.withColumn("_order", -F.col("n_flags").cast("bigint"))
+    return numbered_by(ranked, ["_order", "nid"], name).drop("_order")
+
+
 def latest_report(reports: DataFrame) -> DataFrame:
     """(module, report): the newest report of each module, by file name."""
     return reports.groupBy("module").agg(F.max("report").alias("report"))
@@ -67,9 +73,10 @@ def capped_groups(rows: DataFrame, section: str, order: list, n: int = 12) -> Da
 
 
 def review_sample(notes: DataFrame, n: int = 12) -> DataFrame:
-    """Repeatable sample seeded by the number of notes."""
+    """Repeatable sample, by digest of the number of notes and the note."""
     total = notes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (notes.withColumn("_h", F.xxhash64(total, F.col("nid"))).orderBy("_h", "nid")
+    seeded = F.md5(F.concat_ws(":", total.cast("string"), F.col("nid").cast("string")))
+    return (notes.withColumn("_h", seeded).orderBy("_h", "nid")
             .limit(n).drop("_h"))
 
 
@@ -87,6 +94,12 @@ def page_order(pages: DataFrame, path: str = "path") -> DataFrame:
     return pages.orderBy(natural_key(path), path)
 
 
+def page_places(pages: DataFrame, name: str, path: str = "path") -> DataFrame:
+    """Natural order of page names as a number, without one global sort."""
+    keyed = pages.withColumn("_key", natural_key(path))
+    return numbered_by(keyed, ["_key", path], name).drop("_key")
+
+
 def deepest_deck(decks: DataFrame, by: list[str] | None = None,
                  default: str = "Default") -> DataFrame:
     """The non-default deck with the longest path, smallest id on ties."""

@@ -146,13 +146,18 @@ def review_calls(changelog: DataFrame, module: str = "module", n: int = 40) -> D
         module, "place", "call")
 
 
-def judgement_lines(sections: DataFrame, n: int = 40) -> DataFrame:
-    """(path, place, line): lines of a report's judgement section, n per report."""
-    wanted = sections.where(F.col("heading").rlike("(?i)^judge?ment calls"))
-    lines = wanted.select("path", "ord", F.posexplode(F.filter(F.transform(
-        F.slice(F.split("body", "\n"), 2, F.size(F.split("body", "\n"))), F.trim),
-        lambda s: s != "")).alias("at", "line"))
-    return capped_groups(lines, "path", ["ord", "at"], n).select("path", "place", "line")
+def judgement_lines(reports: DataFrame, n: int = 40) -> DataFrame:
+    """(path, place, line): the first n lines of a report's first judgement section.
+
+    The section may stand under a heading of level 1 to 4 and ends at the next such heading.
+    Reports are (path, text) rows.
+    """
+    parts = F.filter(F.split("text", r"(?m)(?=^#{1,4} )"),
+                     lambda s: s.rlike(r"(?i)^#{1,4} +judge?ment calls"))
+    body = F.regexp_replace(F.get(parts, 0), r"^[^\n]*\n?", "")
+    kept = F.slice(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda s: s != ""), 1, n)
+    return reports.select("path", F.posexplode(kept).alias("at", "line")).select(
+        "path", (F.col("at") + 1).alias("place"), "line")
 
 
 def build_report(gates: DataFrame) -> DataFrame:

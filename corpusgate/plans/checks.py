@@ -126,10 +126,11 @@ def multi_cloze_rate(spark, d):
 
 
 @query("ledger_order", f"""WITH {MARKED}, {_LEDGER}
-SELECT nid, len(flags)::BIGINT AS n_flags FROM flags ORDER BY len(flags) DESC, nid LIMIT 20""")
+SELECT nid, len(flags)::BIGINT AS n_flags,
+  row_number() OVER (ORDER BY len(flags) DESC, nid)::BIGINT AS place FROM flags""")
 def ledger_order(spark, d):
-    return O.ledger_order(R.ledger(marked_notes(spark, d)), 20).select(
-        "nid", F.col("n_flags").cast("bigint").alias("n_flags"))
+    return O.ledger_places(R.ledger(marked_notes(spark, d)), "place").select(
+        "nid", F.col("n_flags").cast("bigint").alias("n_flags"), "place")
 
 
 @query("write_ledger", f"""WITH {MARKED}, {_LEDGER}

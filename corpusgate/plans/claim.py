@@ -226,7 +226,7 @@ def consistency_verdict(spark, d):
 # ---- the lexicon ------------------------------------------------------------------------------------
 
 _LEX = """n AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 2) END
-  || ' nerve' AS raw, count(*)::BIGINT AS n FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 1 GROUP BY 1)"""
+  || ' nerve' AS raw, count(*)::BIGINT AS n FROM part GROUP BY 1)"""
 
 
 @query("subject_lexicon", f"""WITH {_LEX}
@@ -236,8 +236,7 @@ SELECT 'the ' || raw AS phrase, n, CASE WHEN len(string_split(raw, ' ')) = 3 AND
 def subject_lexicon(spark, d):
     even = F.pmod("p_partkey", F.lit(2)) == 0
     name = F.when(even, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(2)))
-    parts = table(spark, d, "part").where(even | (F.pmod("p_partkey", F.lit(3)) == 1))
-    notes = parts.select(F.col("p_partkey").alias("nid"), F.concat(
+    notes = table(spark, d, "part").select(F.col("p_partkey").alias("nid"), F.concat(
         F.lit("The "), name, F.lit(" nerve is here.")).alias("text"), F.lit("").alias("extra"))
     return C.build_lexicon(notes).subjects.select("phrase", "n", "subject")
 

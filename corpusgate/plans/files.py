@@ -77,12 +77,12 @@ def read_word_boxes(spark, d):
 
 @query("read_sources", """
 SELECT 'm' || (doc_id % 8) AS module, count(*)::BIGINT AS parts, sum(length(text))::BIGINT AS chars
-FROM documents WHERE doc_id % 5 <> 3 GROUP BY 1""")
+FROM documents GROUP BY 1""")
 def read_sources(spark, d):
     """Documents written as one file per (module, extension) piece, then read as sources."""
     path = scratch_path(spark, "sources")
     n = F.col("doc_id")
-    docs = table(spark, d, "documents").where(F.pmod(n, F.lit(5)) != 3)
+    docs = table(spark, d, "documents")
     # A text file per module holds its documents; their number is kept by a marker line.
     (docs.select(F.concat(F.lit("m"), F.pmod(n, F.lit(8))).alias("module"),
                  F.concat(F.lit("\x01"), "text").alias("value"))

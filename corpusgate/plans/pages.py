@@ -220,12 +220,11 @@ def page_completeness(spark, d):
 
 
 @query("page_order", """
-SELECT page_id, row_number() OVER (ORDER BY page_id)::BIGINT AS place FROM pages ORDER BY page_id LIMIT 50""")
+SELECT page_id, row_number() OVER (ORDER BY page_id)::BIGINT AS place FROM pages""")
 def page_order(spark, d):
     pages = table(spark, d, "pages").select(
         "page_id", F.concat(F.lit("out/P"), "page_id", F.lit("-1.png")).alias("path"))
-    first = O.page_order(pages).limit(50).select("page_id")
-    return O.numbered_by(first, ["page_id"], "place")
+    return O.page_places(pages, "place").select("page_id", "place")
 
 
 @query("text_union", """

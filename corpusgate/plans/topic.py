@@ -181,7 +181,9 @@ def deck_term_loss(spark, d):
     return K.deck_term_loss(notes, notes.join(toxic, "nid", "left_anti"))
 
 
-@query("review_sample")
+@query("review_sample", """
+SELECT doc_id AS nid, source AS deck FROM documents
+ORDER BY md5((SELECT count(*) FROM documents) || ':' || doc_id), doc_id LIMIT 12""")
 def review_sample(spark, d):
     return O.review_sample(doc_notes(spark, d)).select("nid", "deck")
 

@@ -233,15 +233,21 @@ def section_sizes(spark, d):
 
 
 @query("judgement_lines", """
-WITH l AS (SELECT 'c' || conv_id AS path, turn, unnest(string_split(text, chr(10))) AS line,
-    unnest(range(len(string_split(text, chr(10))))) AS ix FROM conversations WHERE role = 'user'),
-r AS (SELECT path, trim(line) AS line, row_number() OVER (PARTITION BY path ORDER BY turn, ix) AS place
+WITH l AS (SELECT 'c' || conv_id || '-' || turn AS path, unnest(string_split(text, chr(10))) AS line,
+    unnest(range(len(string_split(text, chr(10))))) AS ix FROM conversations WHERE turn % 5 < 4),
+r AS (SELECT path, trim(line) AS line, row_number() OVER (PARTITION BY path ORDER BY ix) AS place
   FROM l WHERE trim(line) <> '')
-SELECT path, place::BIGINT AS place, md5(line) AS line FROM r WHERE place <= 5""")
+SELECT path, place::BIGINT AS place, md5(line) AS line FROM r WHERE place <= 40""")
 def judgement_lines(spark, d):
-    sections = table(spark, d, "conversations").select(
-        F.concat(F.lit("c"), "conv_id").alias("path"), F.col("turn").alias("ord"),
-        F.when(F.col("role") == "user", "Judgment calls (content)").otherwise("Other").alias("heading"),
-        F.concat(F.lit("## heading\n"), "text").alias("body"))
-    return P.judgement_lines(sections, 5).select(
+    """One report per turn: the section under each of four heading levels, or under none."""
+    level = F.pmod("turn", F.lit(5)).cast("int")
+    heading = F.when(level < 4, F.concat(F.repeat(F.lit("#"), level + 1), F.lit(" JUDGMENT calls"))
+                     ).otherwise("##### Judgement calls")
+    reports = table(spark, d, "conversations").select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("path"),
+        F.concat(F.lit("# Summary\nnot this\n"), heading, F.lit("\n"), "text",
+                 F.lit("\n#### Next\nnor this\n"),
+                 F.when(level < 4, "## Judgement calls\nnor a second one\n").otherwise("")
+                 ).alias("text"))
+    return P.judgement_lines(reports).select(
         "path", F.col("place").cast("bigint").alias("place"), F.md5("line").alias("line"))

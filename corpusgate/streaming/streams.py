@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusgate.operators import rules as R
-from corpusgate.operators.relate import upsert
 from corpusgate.session import DEFAULTS
 
 
@@ -123,15 +122,17 @@ def collision_stream(claims: DataFrame, ts: str, delay: str = "1 hour",
 
 def registry_upsert(read: Callable[[], DataFrame], write: Callable[[DataFrame], None],
                     order: str = "ts", key: str = "name") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the newest row per key of a batch updates the registry.
+    """A foreachBatch function: the newest row per key ever seen stays in the registry.
 
-    `read` and `write` name the registry table; replaying a batch gives the same table.
+    The registry keeps `order`, so a late batch cannot overwrite a newer row; of rows with
+    one time the largest values win, whatever batch they came in, so replays change nothing.
+    `read` and `write` name the registry table.
     """
     def apply(batch: DataFrame, _epoch: int) -> None:
         values = [c for c in batch.columns if c not in (key, order)]
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("v")).select(
-            key, "v.*")
-        write(upsert(read(), newest, key))
+        both = read().select(key, order, *values).unionByName(batch.select(key, order, *values))
+        newest = both.groupBy(key).agg(F.max(F.struct(order, *values)).alias("v"))
+        write(newest.select(key, "v.*"))
     return apply
 
 
