@@ -417,7 +417,16 @@ def learn(docs: DataFrame, train: Column, text_col: str, slices: Column):
     own = docs.where(train)
     counts = materialize(word_counts(own, text_col), "counts")
     size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    # The head is cut between steps of the count's logarithm: a few hundred rows decide where.
+    step = F.floor(8 * F.log2("c"))
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, room = None, HEAD
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    head = [] if least is None else counts.where(step >= least).collect()
     pairs = {bytes(r["word"]): r["c"] for r in head}
     ends = counts.where(F.col("word") == F.lit(END)).first()
     if ends is not None:
