@@ -147,7 +147,7 @@ class Predictor:
 
 
 def _features(sample: DataFrame) -> DataFrame:
-    """(label, place, bucket ARRAY, share ARRAY): n-gram shares of every sampled whole text."""
+    """(label, place, bucket, share): n-gram shares of every sampled whole text, packed."""
     def make():
         def work(batch):
             out = {"label": [], "place": [], "bucket": [], "share": []}
@@ -157,13 +157,12 @@ def _features(sample: DataFrame) -> DataFrame:
                     bucket, n = np.unique(grams_of(words)[0], return_counts=True)
                     out["label"].append(label)
                     out["place"].append(place)
-                    out["bucket"].append(bucket.tolist())
-                    out["share"].append((n / n.sum()).astype(np.float32).tolist())
+                    out["bucket"].append(bucket.astype(np.int32).tobytes())
+                    out["share"].append((n / n.sum()).astype(np.float32).tobytes())
             return out
         return work
 
-    return map_batches(sample, make, "label STRING, place BIGINT, bucket ARRAY<INT>, "
-                                     "share ARRAY<FLOAT>")
+    return map_batches(sample, make, "label STRING, place BIGINT, bucket BINARY, share BINARY")
 
 
 def draw(labelled: DataFrame, text: str, label: str, key: str, size: int) -> DataFrame:
@@ -190,7 +189,7 @@ def train(rows: list, labels: list[str]) -> Model:
     """Gradient descent over sampled rows, then calibration on every fifth."""
     rng = np.random.default_rng(1)
     k = len(labels)
-    data = [(np.asarray(r["bucket"]), np.asarray(r["share"], np.float32)[:, None],
+    data = [(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["share"], np.float32)[:, None],
              labels.index(r["label"])) for r in rows]
     held = data[::CALIBRATE] if len(data) >= 10 * CALIBRATE else []
     fit = [d for i, d in enumerate(data) if i % CALIBRATE] if held else data
@@ -236,7 +235,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         size: int = SAMPLE) -> Model:
     """Train on a sample of at most about `size` rows; the driver gets their n-gram shares."""
     sample = draw(labelled, text, label, key, size)
-    rows = sorted(_features(sample).collect(), key=lambda r: (r["place"], r["label"], r["bucket"]))
+    rows = sorted(_features(sample).collect(), key=lambda r: (r["place"], r["label"], bytes(r["bucket"])))
     labels = sorted({r["label"] for r in rows}, key=lambda s: s.encode())
     if not labels:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
