@@ -39,7 +39,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: not white space to one that is, so these units can be split and remembered one by one.
 UNIT = f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 LEAF = 16            # bytes encoded directly
-REMEMBERED = 1 << 18  # units a task remembers before it starts afresh
+REMEMBERED = 1 << 19  # units a task remembers before it starts afresh
 ABSENT = 1 << 60
 
 
