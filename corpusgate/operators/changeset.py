@@ -1,22 +1,21 @@
 """Applying a reviewed change-set to a notes table.
 
 Ops that share no note with another op are applied by joins. Ops that touch a common note
-depend on each other's result; they are grouped by connected notes and folded in op order,
-one task per group. Many demotes into one otherwise untouched note are no such group: they
+depend on each other's result; they are grouped by connected notes, and each group is one
+sorted array of ops folded over a map of its notes. Both ways decide and change by the same
+column expressions. Many demotes into one otherwise untouched note are no such group: they
 only append, so they stay on the join path unless one of them needs an earlier one's text.
 """
 
 from __future__ import annotations
 
-import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.functions.base import strip, text
+from corpusgate.functions.base import bind, strip, text
 from corpusgate.functions.text import checksum32, normalize_extra, sort_field
 from corpusgate.functions import values as V
 from corpusgate.operators import rules as R
@@ -27,9 +26,8 @@ from corpusgate.session import materialize
 
 FIELDS = list(V.NOTE_FIELDS)
 KINDS = ("edit", "rewrite", "split", "demote", "delete")
-GROUP_ROWS = 2000
-# Python workers get this module's functions by value, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+RETIRED = ("SPLIT", "DEMOTE", "DELETE")
+Get = Callable[[str], Column]      # a field of an op or of a note, by name
 
 
 @dataclass
@@ -72,52 +70,71 @@ def _with_target(ops: DataFrame, notes: DataFrame) -> DataFrame:
             .join(dst, F.when(F.col("op") == "demote", F.col("into_nid")) == F.col("d_nid"), "left"))
 
 
-def _current(field: Column) -> Column:
+def _current(op: Get, source: Get) -> Column:
     """The field an edit looks at."""
     out = F.lit(None).cast("string")
     for i, c in enumerate(FIELDS):
-        out = F.when(field == i, text(f"s_{c}")).otherwise(out)
+        out = F.when(op("field") == i, text(source(c))).otherwise(out)
     return out
 
 
-def _lost() -> Column:
-    body = F.concat_ws(" ", text("s_text"), text("s_extra"))
-    kept = F.concat_ws(" ", F.array_join("facts", " "), text("d_extra"), text("d_text"))
-    return missing_terms(body, kept)
+def _lost(op: Get, source: Get, target: Get) -> Column:
+    """Terms that a demote would lose; none for other ops and missing notes."""
+    body = F.concat_ws(" ", text(source("text")), text(source("extra")))
+    kept = F.concat_ws(" ", F.array_join(op("facts"), " "), text(target("extra")),
+                       text(target("text")))
+    both = (op("op") == "demote") & source("nid").isNotNull() & target("nid").isNotNull()
+    return F.when(both, missing_terms(body, kept)).otherwise(F.array().cast("array<string>"))
 
 
-def outcomes(ops: DataFrame, notes: DataFrame) -> DataFrame:
-    """Ops with `kind` (applied kind or SKIP), `reason` and `lost`, each op on its own."""
-    found = _with_target(ops, notes)
-    op = F.col("op")
-    lost = F.when((op == "demote") & F.col("s_nid").isNotNull() & F.col("d_nid").isNotNull(),
-                  _lost()).otherwise(F.array().cast("array<string>"))
-    more = F.when(F.size("lost") > 12, F.concat(
-        F.lit(" (+"), F.size("lost") - 12, F.lit(" more)"))).otherwise("")
+def _skip_reason(op: Get, source: Get, target: Get, lost: Column) -> Column:
+    """Why an op is not applied; null if it is."""
+    kind = op("op")
+    more = F.when(F.size(lost) > 12, F.concat(
+        F.lit(" (+"), F.size(lost) - 12, F.lit(" more)"))).otherwise("")
     refused = F.concat(F.lit("DEMOTE REFUSED - would lose: "),
-                       F.array_join(F.slice("lost", 1, 12), ", "), more)
-    n_parts = F.coalesce(F.size("into"), F.lit(0))
-    skip = (
-        F.when(F.col("s_nid").isNull(), F.concat(op, F.lit(": note not found")))
-        .when((op == "edit") & ~F.coalesce(
-            _current(F.col("field")).contains(F.col("find")), F.lit(False)),
-              F.concat(F.lit("pattern not present: "), F.substring("find", 1, 40)))
-        .when((op == "split") & (n_parts < 2), "split needs >=2 parts")
-        .when((op == "demote") & F.col("d_nid").isNull(), F.concat(
-            F.lit("demote target "), F.coalesce(F.col("into_nid").cast("string"), F.lit("None")),
+                       F.array_join(F.slice(lost, 1, 12), ", "), more)
+    return (
+        F.when(source("nid").isNull(), F.concat(kind, F.lit(": note not found")))
+        .when((kind == "edit") & ~F.coalesce(
+            _current(op, source).contains(op("find")), F.lit(False)),
+              F.concat(F.lit("pattern not present: "), F.substring(op("find"), 1, 40)))
+        .when((kind == "split") & (_n_parts(op) < 2), "split needs >=2 parts")
+        .when((kind == "demote") & target("nid").isNull(), F.concat(
+            F.lit("demote target "), F.coalesce(op("into_nid").cast("string"), F.lit("None")),
             F.lit(" not found")))
-        .when((op == "demote") & (F.size("facts") == 0), "demote needs facts to preserve")
-        .when((op == "demote") & (F.size("lost") > 0), refused)
-        .when(~op.isin(*KINDS), F.concat(F.lit("unknown op '"), op, F.lit("'"))))
-    done = (
-        F.when(op == "split", F.concat("why", F.lit(" -> "), n_parts, F.lit(" atomic notes")))
-        .when(op == "demote", F.concat("why", F.lit(" -> folded into note "), "into_nid",
-                                       F.lit(" ("), F.size("facts"),
-                                       F.lit(" passage(s), no terms lost)")))
-        .otherwise(F.col("why")))
-    return (found.withColumn("lost", lost).withColumn("_skip", skip)
+        .when((kind == "demote") & (F.size(op("facts")) == 0), "demote needs facts to preserve")
+        .when((kind == "demote") & (F.size(lost) > 0), refused)
+        .when(~kind.isin(*KINDS), F.concat(F.lit("unknown op '"), kind, F.lit("'"))))
+
+
+def _n_parts(op: Get) -> Column:
+    return F.coalesce(F.size(op("into")), F.lit(0))
+
+
+def _done_reason(op: Get) -> Column:
+    kind = op("op")
+    return (
+        F.when(kind == "split", F.concat(op("why"), F.lit(" -> "), _n_parts(op),
+                                         F.lit(" atomic notes")))
+        .when(kind == "demote", F.concat(op("why"), F.lit(" -> folded into note "),
+                                         op("into_nid"), F.lit(" ("), F.size(op("facts")),
+                                         F.lit(" passage(s), no terms lost)")))
+        .otherwise(op("why")))
+
+
+def outcomes(ops: DataFrame, notes: DataFrame) -> DataFrame:
+    """Ops with `kind` (applied kind or SKIP), `reason` and `lost`, each op on its own."""
+    def source(c):
+        return F.col(f"s_{c}")
+
+    def target(c):
+        return F.col(f"d_{c}")
+
+    found = _with_target(ops, notes).withColumn("lost", _lost(F.col, source, target))
+    return (found.withColumn("_skip", _skip_reason(F.col, source, target, F.col("lost")))
             .withColumn("kind", F.when(F.col("_skip").isNotNull(), "SKIP").otherwise(F.upper("op")))
-            .withColumn("reason", F.coalesce("_skip", done)).drop("_skip"))
+            .withColumn("reason", F.coalesce("_skip", _done_reason(F.col))).drop("_skip"))
 
 
 def touched_notes(notes: DataFrame, ops: DataFrame) -> DataFrame:
@@ -127,18 +144,33 @@ def touched_notes(notes: DataFrame, ops: DataFrame) -> DataFrame:
     return materialize(notes.select("nid", *FIELDS).join(ids, "nid", "left_semi"), "near")
 
 
-def _changed_fields(done: DataFrame) -> DataFrame:
-    """(nid, gone, fields): new field values of edited and rewritten notes."""
-    edited = []
+def _edited(op: Get, note: Get) -> list[Column]:
+    """The fields of a note after an edit or a rewrite."""
+    out = []
     for i, c in enumerate(FIELDS):
-        hit = (F.col("op") == "edit") & (F.col("field") == i)
-        value = F.when(hit, F.replace(text(f"s_{c}"), F.col("find"), F.col("replace")))
+        hit = (op("op") == "edit") & (op("field") == i)
+        value = F.when(hit, F.replace(text(note(c)), op("find"), op("replace")))
         if c in ("text", "extra"):
-            value = value.when(F.col("op") == "rewrite", text(c))
-        value = value.otherwise(text(f"s_{c}"))
-        edited.append((normalize_extra(value) if c == "extra" else value).alias(c))
+            value = value.when(op("op") == "rewrite", text(op(c)))
+        value = value.otherwise(text(note(c)))
+        out.append((normalize_extra(value) if c == "extra" else value).alias(c))
+    return out
+
+
+def _appended(extra: Column, passages: Column) -> Column:
+    """The extra field with passages put behind it."""
+    return normalize_extra(F.concat(F.regexp_replace(text(extra), r"\s+$", ""), passages))
+
+
+def _passages(facts: Column) -> Column:
+    return F.concat(F.lit("<br><br>"), F.array_join(facts, "<br><br>"))
+
+
+def _changed_fields(done: DataFrame) -> DataFrame:
+    """(nid, gone, fields): new field values of edited and rewritten notes."""
     rows = done.where(F.col("kind").isin("EDIT", "REWRITE"))
-    return rows.select("nid", F.lit(False).alias("gone"), *edited)
+    return rows.select("nid", F.lit(False).alias("gone"),
+                       *_edited(F.col, lambda c: F.col(f"s_{c}")))
 
 
 def _new_parts(done: DataFrame) -> DataFrame:
@@ -157,11 +189,9 @@ def _grown_targets(done: DataFrame, near: DataFrame) -> DataFrame:
     The list per target holds what the target's one output cell will hold, no more.
     """
     folded = done.where("kind = 'DEMOTE'").groupBy(F.col("into_nid").alias("nid")).agg(
-        F.sort_array(F.collect_list(F.struct("op_seq", F.concat(
-            F.lit("<br><br>"), F.array_join("facts", "<br><br>")).alias("f")))).alias("_f"))
-    grown = normalize_extra(F.concat(
-        F.regexp_replace(text("extra"), r"\s+$", ""),
-        F.array_join(F.transform("_f", lambda x: x["f"]), "")))
+        F.sort_array(F.collect_list(F.struct("op_seq", _passages(F.col("facts")).alias("f"))))
+        .alias("_f"))
+    grown = _appended(F.col("extra"), F.array_join(F.transform("_f", lambda x: x["f"]), ""))
     return near.join(folded, "nid").select(
         "nid", F.lit(False).alias("gone"),
         *[(grown if c == "extra" else F.col(c)).alias(c) for c in FIELDS])
@@ -169,7 +199,7 @@ def _grown_targets(done: DataFrame, near: DataFrame) -> DataFrame:
 
 def _changes(done: DataFrame, near: DataFrame) -> DataFrame:
     """(nid, gone, fields): one row per note that independent ops change or retire."""
-    gone = done.where(F.col("kind").isin("SPLIT", "DEMOTE", "DELETE")).select(
+    gone = done.where(F.col("kind").isin(*RETIRED)).select(
         "nid", F.lit(True).alias("gone"), *[F.lit(None).cast("string").alias(c) for c in FIELDS])
     return (_changed_fields(done).unionByName(gone)
             .unionByName(_grown_targets(done, near)))
@@ -201,11 +231,6 @@ def apply_independent(notes: DataFrame, ops: DataFrame) -> tuple[DataFrame, Data
 def split_dependent(ops: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(independent, dependent): ops that can be joined, and ops that must be folded."""
     demote = F.col("op") == "demote"
-    if not ops.where(demote).limit(1).count():
-        again = ops.groupBy("nid").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
-            F.col("nid").alias("_r"))
-        return (ops.join(again, F.col("nid") == F.col("_r"), "left_anti"),
-                ops.join(again, F.col("nid") == F.col("_r"), "left_semi"))
     touches = ops.select("nid", F.lit(0).alias("_in")).unionByName(
         ops.where(demote).select(F.col("into_nid").alias("nid"), F.lit(1).alias("_in")))
     counted = touches.groupBy("nid").agg(F.count(F.lit(1)).alias("_n"), F.sum("_in").alias("_t"))
@@ -228,134 +253,107 @@ def split_dependent(ops: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFr
     return ops.join(tied, "op_seq", "left_anti"), ops.join(tied, "op_seq", "left_semi")
 
 
-def label_groups(ops: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round of large and small stars over edges (a, b) with a > b.
+
+    Every neighbour above a note is hooked to the smallest neighbour of that note, then
+    every note and its smaller neighbours to the smallest of them.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    large = (both.join(least, "a").where("b > a")
+             .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    lower = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return lower.unionByName(least.withColumnRenamed("m", "b")).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether no note hangs on two others or on one that hangs itself."""
+    torn = edges.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b < c")
+    deep = edges.select(F.col("b").alias("a")).join(edges, "a", "left_semi")
+    return torn.select("a").unionByName(deep).isEmpty()
+
+
+def label_groups(ops: DataFrame) -> DataFrame:
     """(nid, grp): connected notes of demote pairs, named by their smallest note.
 
-    Smallest-label propagation with pointer jumping; rounds grow with the logarithm of the
-    longest chain of demotes.
+    Rounds grow with the logarithm of the longest chain of demotes, in whatever order the
+    chain is stored.
+    """
+    pairs = ops.where("op = 'demote' AND nid <> into_nid")
+    edges = materialize(pairs.select(F.greatest("nid", "into_nid").alias("a"),
+                                     F.least("nid", "into_nid").alias("b")).distinct(), "edges")
+    while not _settled(edges):
+        edges = materialize(_stars(edges), "edges")
+    nodes = ops.select("nid").unionByName(pairs.select(F.col("into_nid").alias("nid"))).distinct()
+    heads = edges.select(F.col("a").alias("nid"), F.col("b").alias("_head"))
+    return nodes.join(heads, "nid", "left").select(
+        "nid", F.coalesce("_head", "nid").alias("grp"))
+
+
+OP_FIELDS = ("op_seq", "nid", "op", "field", "find", "replace", "text", "extra", "into",
+             "into_nid", "facts", "why")
+_LOG = ("array<struct<op_seq:bigint,kind:string,nid:bigint,reason:string,"
+        "into:array<struct<text:string,extra:string>>,%s>>"
+        % ",".join(f"s_{c}:string" for c in TAIL))
+_NOTE = "struct<nid:bigint,changed:boolean,%s>" % ",".join(f"{c}:string" for c in FIELDS)
+
+
+def _after_op(acc: Column, op: Column) -> Column:
+    """(notes, log) after one more op; a retired note keeps its key with no value."""
+    def next_note(key: Column, note: Column, kind: Column) -> Column:
+        own, goal = key == op["nid"], (key == op["into_nid"]) & (kind == "DEMOTE")
+        grown = [(_appended(note[c], _passages(op["facts"])) if c == "extra" else note[c]).alias(c)
+                 for c in FIELDS]
+        changed = F.lit(True).alias("changed")
+        return (F.when(own & kind.isin(*RETIRED), F.lit(None))
+                .when(own, F.struct(note["nid"], changed, *_edited(
+                    op.getField, note.getField)).cast(_NOTE))
+                .when(goal, F.struct(note["nid"], changed, *grown).cast(_NOTE))
+                .otherwise(note))
+
+    def close(pair: Column, skip: Column) -> Column:
+        kind = F.when(skip.isNotNull(), "SKIP").otherwise(F.upper(op["op"]))
+        split = kind == "SPLIT"
+        entry = F.array(F.struct(
+            op["op_seq"], kind, op["nid"], F.coalesce(skip, _done_reason(op.getField)),
+            F.when(split, op["into"]), *[F.when(split, pair["source"][c]) for c in TAIL]))
+        return F.struct(
+            F.when(skip.isNotNull(), acc["notes"]).otherwise(F.transform_values(
+                acc["notes"], lambda k, n: next_note(k, n, kind))).alias("notes"),
+            F.concat(acc["log"], entry.cast(_LOG)).alias("log"))
+
+    def judge(pair: Column) -> Column:
+        source, target = pair["source"].getField, pair["target"].getField
+        return bind(_lost(op.getField, source, target), lambda lost: bind(
+            _skip_reason(op.getField, source, target, lost), lambda skip: close(pair, skip)))
+
+    goal = F.when(op["op"] == "demote", op["into_nid"])
+    return bind(F.struct(F.try_element_at(acc["notes"], op["nid"]).alias("source"),
+                         F.try_element_at(acc["notes"], goal).alias("target")), judge)
+
+
+def fold_dependent(notes: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes, done) of ops that share notes, each group folded in op order.
+
+    A group is one row: its notes and its ops. It is as large as the ops that really depend
+    on each other; an op costs a look at the keys of its group's notes.
     """
-    pairs = ops.where("op = 'demote'").select(F.col("nid").alias("a"), F.col("into_nid").alias("b"))
-    if not pairs.limit(1).count():
-        return ops.select("nid", F.col("nid").alias("grp")).distinct()
-    edges = materialize(pairs.unionByName(pairs.select(
-        F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    nodes = ops.select("nid").unionByName(edges.select(F.col("a").alias("nid"))).distinct()
-    labels = materialize(nodes.withColumn("grp", F.col("nid")), "labels")
-    for _ in range(max_rounds):
-        near = (edges.join(labels.select(F.col("nid").alias("b"), "grp"), "b")
-                .groupBy(F.col("a").alias("nid")).agg(F.min("grp").alias("_g")))
-        lower = labels.join(near, "nid", "left").select(
-            "nid", F.least("grp", "_g").alias("_l"), F.col("grp").alias("_old"))
-        heads = labels.select(F.col("nid").alias("_l"), F.col("grp").alias("_jump"))
-        labels = materialize(lower.join(heads, "_l", "left").select(
-            "nid", F.least("_l", "_jump").alias("grp"), "_old"), "labels")
-        moved = labels.where("grp <> _old").limit(1).count()
-        labels = labels.select("nid", "grp")
-        if not moved:
-            return labels
-    raise RuntimeError("demote chains did not settle")
-
-
-_FOLD = ("row STRING, nid BIGINT, op_seq BIGINT, part INT, kind STRING, reason STRING, "
-         "gone BOOLEAN, text STRING, extra STRING, personal STRING, custom STRING, missed STRING, "
-         "textbook STRING, resources STRING")
-
-
-def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Apply the ops of whole groups in order to their notes."""
-    import re
-
-    tag, term = re.compile(r"<[^>]+>"), re.compile(r"[A-Za-z]{6,}")
-    state = {int(r.nid): [getattr(r, f"n_{c}") or "" for c in FIELDS]
-             for r in pdf[pdf["row"] == "note"].itertuples()}
-    changed, out = set(), []
-
-    def lead(extra: str) -> str:
-        return " " + extra.lstrip() if extra.strip() else extra
-
-    def emit(**row):
-        out.append({c.split()[0]: row.get(c.split()[0]) for c in _FOLD.split(", ")})
-
-    def store(nid: int, fields: list[str]):
-        state[nid] = [fields[0], lead(fields[1]), *fields[2:]]
-        changed.add(nid)
-
-    for o in pdf[pdf["row"] == "op"].sort_values("op_seq").itertuples():
-        nid, kind, reason = int(o.nid), "SKIP", None
-        now = state.get(nid)
-        if now is None:
-            reason = f"{o.op}: note not found"
-        elif o.op == "edit":
-            i = int(o.field)
-            if not 0 <= i < len(now) or o.find not in now[i]:
-                reason = f"pattern not present: {o.find[:40]}"
-            else:
-                store(nid, [v.replace(o.find, o.replace) if k == i else v
-                            for k, v in enumerate(now)])
-        elif o.op == "rewrite":
-            store(nid, [o.text or "", o.extra or "", *now[2:]])
-        elif o.op == "split":
-            parts = [] if o.into is None else list(o.into)
-            if len(parts) < 2:
-                reason = "split needs >=2 parts"
-            else:
-                for k, p in enumerate(parts):
-                    tail = now[2:] if k == 0 else [""] * len(TAIL)
-                    emit(row="new", op_seq=o.op_seq, part=k, text=p["text"] or "",
-                         extra=lead(p["extra"] or ""), **dict(zip(TAIL, tail)))
-                state[nid] = None
-                done = f"{o.why} -> {len(parts)} atomic notes"
-        elif o.op == "demote":
-            target = int(o.into_nid) if isinstance(o.into_nid, str) else None
-            goal, facts = state.get(target), list(o.facts)
-            if goal is None:
-                reason = f"demote target {target} not found"
-            elif not facts:
-                reason = "demote needs facts to preserve"
-            else:
-                kept = tag.sub(" ", " ".join(facts) + " " + goal[1] + " " + goal[0]).lower()
-                words = {w.lower() for w in term.findall(tag.sub(" ", now[0] + " " + now[1]))}
-                lost = sorted(w for w in words if w not in kept)
-                if lost:
-                    more = f" (+{len(lost) - 12} more)" if len(lost) > 12 else ""
-                    reason = f"DEMOTE REFUSED - would lose: {', '.join(lost[:12])}{more}"
-                else:
-                    store(target, [goal[0], goal[1].rstrip()
-                                   + "".join("<br><br>" + f for f in facts), *goal[2:]])
-                    state[nid] = None
-                    done = (f"{o.why} -> folded into note {target} "
-                            f"({len(facts)} passage(s), no terms lost)")
-        elif o.op == "delete":
-            state[nid] = None
-        else:
-            reason = f"unknown op '{o.op}'"
-        if reason is None:
-            kind = o.op.upper()
-            reason = done if o.op in ("split", "demote") else o.why
-        emit(row="log", nid=nid, op_seq=o.op_seq, kind=kind, reason=reason)
-    for nid, fields in state.items():
-        if fields is None:
-            emit(row="note", nid=nid, gone=True)
-        elif nid in changed:
-            emit(row="note", nid=nid, gone=False, **dict(zip(FIELDS, fields)))
-    result = pd.DataFrame(out, columns=[c.split()[0] for c in _FOLD.split(", ")], dtype=object)
-    return result.astype({"nid": "Int64", "op_seq": "Int64", "part": "Int32", "gone": "boolean"})
-
-
-def fold_dependent(notes: DataFrame, ops: DataFrame) -> DataFrame:
-    """Rows of three kinds ("note", "new", "log") from folding each group in op order."""
-    groups = label_groups(ops)
-    op_rows = (ops.join(groups, "nid").withColumn("row", F.lit("op"))
-               .withColumn("into_nid", F.col("into_nid").cast("string")))
-    held = notes.select("nid", *[text(c).alias(f"n_{c}") for c in FIELDS])
-    note_rows = (held.join(groups, "nid").withColumn("row", F.lit("note"))
-                 .withColumn("op_seq", F.lit(0).cast("bigint")))
-    # Groups are independent, so one task folds a bucket of them; a bucket holds a few
-    # thousand ops on average, and a group is never cut.
-    buckets = max(1, ops.count() // GROUP_ROWS)
-    both = op_rows.unionByName(note_rows, allowMissingColumns=True).withColumn(
-        "bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
-    return materialize(both.groupBy("bucket").applyInPandas(_fold_group, _FOLD), "folded")
+    groups = materialize(label_groups(ops), "groups")
+    queues = ops.join(groups, "nid").groupBy("grp").agg(
+        F.sort_array(F.collect_list(F.struct(*OP_FIELDS))).alias("ops"))
+    held = F.struct("nid", F.lit(False).alias("changed"), *[text(c).alias(c) for c in FIELDS])
+    states = notes.join(groups, "nid").groupBy("grp").agg(F.map_from_entries(F.collect_list(
+        F.struct("nid", held.cast(_NOTE)))).alias("notes"))
+    none = F.create_map().cast(f"map<bigint,{_NOTE}>")
+    start = F.struct(F.coalesce("notes", none).alias("notes"), F.array().cast(_LOG).alias("log"))
+    folded = materialize(queues.join(states, "grp", "left").select(
+        F.aggregate("ops", start, _after_op).alias("end")).select("end.*"), "folded")
+    ended = folded.select(F.explode("notes").alias("nid", "n"))
+    changes = ended.where("n IS NULL OR n.changed").select(
+        "nid", F.col("n").isNull().alias("gone"), *[F.col(f"n.{c}").alias(c) for c in FIELDS])
+    return changes, folded.select(F.inline("log"))
 
 
 def apply_changeset(notes: DataFrame, cards: DataFrame | None, ops: DataFrame,
@@ -372,14 +370,10 @@ def apply_changeset(notes: DataFrame, cards: DataFrame | None, ops: DataFrame,
     done = materialize(outcomes(free, near), "done")
     changes, parts = _changes(done, near), _new_parts(done)
     log = done.select("op_seq", "kind", "nid", "reason")
-    tied = materialize(tied, "tied")
-    if tied.limit(1).count():
-        folded = fold_dependent(near, tied)
-        changes = changes.unionByName(folded.where("row = 'note'").select(
-            "nid", "gone", *FIELDS))
-        parts = parts.unionByName(folded.where("row = 'new'").select("op_seq", "part", *FIELDS))
-        log = log.unionByName(folded.where("row = 'log'").select(
-            "op_seq", "kind", "nid", "reason"))
+    folded, in_turn = fold_dependent(near, materialize(tied, "tied"))
+    changes = changes.unionByName(folded)
+    parts = parts.unionByName(_new_parts(in_turn))
+    log = log.unionByName(in_turn.select("op_seq", "kind", "nid", "reason"))
     after = _put(notes, changes)
     parts, log = parts.withColumn("phase", F.lit(0)), log.withColumn("phase", F.lit(0))
     if new is not None:
@@ -417,7 +411,7 @@ def apply_changeset(notes: DataFrame, cards: DataFrame | None, ops: DataFrame,
 def _cards_after(cards: DataFrame, log: DataFrame, made: DataFrame, now_ms: int,
                  deck_id: int) -> DataFrame:
     """Cards of retired notes go, every new note gets one."""
-    gone = log.where(F.col("kind").isin("SPLIT", "DEMOTE", "DELETE")).select("nid").distinct()
+    gone = log.where(F.col("kind").isin(*RETIRED)).select("nid").distinct()
     kept = cards.join(gone, "nid", "left_anti")
     fresh = assign_ids(made.select("op_seq", "part", F.col("nid").alias("_nid")), cards, now_ms,
                        key="id")

@@ -124,6 +124,34 @@ def test_dependent_ops_match_brute_force(spark):
     assert [r.kind for r in run.changelog.orderBy("seq").collect()] == log
 
 
+@pytest.mark.parametrize("order", ["sorted", "reverse", "shuffled"])
+def test_long_chain_of_demotes(spark, order):
+    names = list(range(1000))
+    if order == "reverse":
+        names.reverse()
+    elif order == "shuffled":
+        random.Random(3).shuffle(names)
+    ops = [{"nid": a, "op": "demote", "into_nid": b, "facts": [f"f{a}"]}
+           for a, b in zip(names, names[1:])]
+    base = {n: (f"note {n}", " e") for n in names}
+    want, log = brute_force(base, ops)
+    notes = C.with_sort_fields(spark.createDataFrame(
+        [("d", n, t, e, *[""] * 5, "", None, None) for n, (t, e) in base.items()], D.NOTES7))
+    run = C.apply_changeset(notes, None, ops_df(spark, *ops))
+    assert {r.nid: (r.text, r.extra) for r in run.notes.collect()} == want
+    assert [r.kind for r in run.changelog.orderBy("seq").collect()] == log
+
+
+def test_thousands_of_edits_of_one_note(spark):
+    ops = [{"nid": 1, "op": "edit", "field": 0, "find": f"<{i}>", "replace": f"<{i + 1}>"}
+           for i in range(3000)]
+    notes = C.with_sort_fields(spark.createDataFrame(
+        [("d", 1, "at <0>", " e", *[""] * 5, "", None, None)], D.NOTES7))
+    run = C.apply_changeset(notes, None, ops_df(spark, *ops))
+    assert run.notes.first().text == "at <3000>"
+    assert run.changelog.where("kind = 'EDIT'").count() == 3000
+
+
 def test_no_ops_change_nothing(spark):
     notes = notes_df(spark)
     run = C.apply_changeset(notes, None, ops_df(spark, *FIVE).where(F.lit(False)))
