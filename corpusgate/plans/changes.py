@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusgate import schemas as D
@@ -170,6 +171,29 @@ def apply_dependent_ops(spark, d):
     return _shown(C.apply_changeset(full_notes(spark, d), None, first.unionByName(then)).notes)
 
 
+@query("apply_demote_chain", _final("""SELECT n.nid, CASE WHEN c.doc_id IS NULL THEN n.text
+    ELSE 'tiny ' || c.doc_id END AS text, CASE WHEN c.doc_id IS NULL THEN n.extra
+    WHEN c.before IS NULL OR c.before % 97 = 0 THEN ' e'
+    ELSE ' e<br><br>f ' || c.before END AS extra, n.personal
+  FROM fulln n LEFT JOIN c ON c.doc_id = n.nid
+  WHERE c.doc_id IS NULL OR c.after IS NULL OR c.doc_id % 97 = 0""", """, c AS (SELECT doc_id,
+  lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after FROM labels
+  WINDOW w AS (PARTITION BY doc_id // 2000 ORDER BY doc_id))"""))
+def apply_demote_chain(spark, d):
+    """Every labelled note is folded into the next of its 2,000 ids, in op order; a demote
+    without facts is refused, and the chain goes on behind it."""
+    chain = Window.partitionBy(F.floor(F.col("doc_id") / 2000)).orderBy("doc_id")
+    labels = table(spark, d, "labels").withColumn("into_id", F.lead("doc_id").over(chain))
+    late = labels.agg(F.max("doc_id") + 1).scalar()
+    first = make_ops(labels, op_seq=F.col("doc_id"), nid=F.col("doc_id"), op=F.lit("rewrite"),
+                     text=F.concat(F.lit("tiny "), "doc_id"), extra=F.lit("e"))
+    then = make_ops(labels.where("into_id IS NOT NULL"), op_seq=late + F.col("doc_id"),
+                    nid=F.col("doc_id"), op=F.lit("demote"), into_nid=F.col("into_id"),
+                    facts=F.when(F.col("doc_id") % 97 != 0,
+                                 F.array(F.concat(F.lit("f "), "doc_id"))))
+    return _shown(C.apply_changeset(full_notes(spark, d), None, first.unionByName(then)).notes)
+
+
 # ---- reports over one change-set -------------------------------------------------------------------
 
 def mixed_run(spark, d):
