@@ -15,6 +15,11 @@ as many edges as members times centres, and the rounds grow with the logarithm o
 largest such bucket. Every pair of texts in a bucket is confirmed, refused or already linked
 by others at the end.
 
+A pair whose sets cannot be similar enough is not carried to the confirmation: every set has
+a mask of MASKS words, the parity of its shingles per bit, and two masks differ in no more
+bits than the two sets in shingles. The bound is exact at any size; sets of many thousand
+shingles are only held apart by their sizes before the full sets are compared.
+
 With six rows and forty bands, two texts with a similarity of exactly 0.8 share no bucket
 with probability (1 - 0.8^6)^40 = 5e-6.
 
@@ -44,6 +49,8 @@ SIMILARITY = (4, 5)   # as a fraction, compared in whole numbers
 BANDS, ROWS = 40, 6
 REMEMBERED = 1 << 18
 MORE = 8              # growth of the number of stars per bucket and round
+MASKS = 8             # 64-bit words of parity per set
+MASK = [f"m{i}" for i in range(MASKS)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,29 +130,39 @@ def band_keys(value: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity_mask(shingles: np.ndarray) -> np.ndarray:
+    """MASKS words; bit i is set if an odd number of shingles falls on i."""
+    bit = (shingles % np.uint64(64 * MASKS)).astype(np.int64)
+    odd = np.bincount(bit, minlength=64 * MASKS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8").view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH,
                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, same, keys): set size, digest of the set, bucket key per band."""
+    """(id, n_shingles, same, mask, keys): set size, digest and mask of the set, bucket key
+    per band."""
     def make():
         shingler, tries = Shingler(width), probes(bands * rows)
 
         def work(batch):
-            out = {"id": batch["id"], "n_shingles": [], "same": [], "keys": []}
+            out = {"id": batch["id"], "n_shingles": [], "same": [], "mask": [], "keys": []}
             for text in batch["text"]:
                 s = shingler.shingles(text)
                 out["n_shingles"].append(len(s))
                 if len(s):
                     out["same"].append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+                    out["mask"].append(parity_mask(s))
                     out["keys"].append(band_keys(signature(s, tries), bands, rows))
                 else:
                     out["same"].append(None)
+                    out["mask"].append(None)
                     out["keys"].append(None)
             return out
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make,
-                       f"id {kind}, n_shingles BIGINT, same STRING, keys ARRAY<BIGINT>")
+                       f"id {kind}, n_shingles BIGINT, same STRING, mask ARRAY<BIGINT>, keys ARRAY<BIGINT>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
@@ -177,15 +194,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
 
 
 def _buckets(sig: DataFrame) -> DataFrame:
-    """(key, id, n, grp, place): members of buckets that hold several sets."""
+    """(key, id, n, masks, grp, place): members of buckets that hold several sets."""
     fold = sig.where(F.col("same").isNotNull() & F.col("id").isNotNull()).groupBy("same").agg(
         F.min("id").alias("id"))
-    rows = sig.join(fold, ["same", "id"], "left_semi").select(
-        "id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    sets = sig.join(fold, ["same", "id"], "left_semi")
+    rows = sets.select("id", F.explode("keys").alias("key"))
     ends = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    rows = rows.join(ends.where("lo <> hi").select("key"), "key", "left_semi")
-    return rows.select("key", "id", "n", F.col("id").alias("grp"),
-                       F.xxhash64("key", "id").alias("place")).distinct()
+    rows = rows.join(ends.where("lo <> hi").select("key"), "key", "left_semi").distinct()
+    facts = sets.select("id", "same", F.col("n_shingles").alias("n"), *[
+        F.col("mask")[i].alias(m) for i, m in enumerate(MASK)]).dropDuplicates(["id", "same"])
+    return rows.join(facts.drop("same"), "id").select(
+        "key", "id", "n", *MASK, F.col("id").alias("grp"), F.xxhash64("key", "id").alias("place"))
 
 
 def _with_centres(members: DataFrame, stars: int) -> DataFrame:
@@ -200,8 +219,12 @@ def _stars(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): the centres of every bucket against its members in other components."""
     num, den = similarity
     centre = members.where("centre").select(
-        "key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("grp").alias("cg"))
-    fits = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num)
+        "key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("grp").alias("cg"),
+        *[F.col(m).alias(f"c{m}") for m in MASK])
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"c{m}"))) for m in MASK[1:]),
+                F.bit_count(F.col(MASK[0]).bitwiseXOR(F.col(f"c{MASK[0]}"))))
+    fits = ((F.least("n", "cn") * den >= F.greatest("n", "cn") * num)
+            & (apart * (den + num) <= (F.col("n") + F.col("cn")) * (den - num)))
     return members.join(centre, "key").where((F.col("grp") != F.col("cg")) & fits).select(
         F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
@@ -228,7 +251,7 @@ def near_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, widt
         # Centres have met every member; buckets of one component are settled.
         left = members.where("not centre").drop("centre", "grp")
         left = left.join(labels.select(F.col("node").alias("id"), "grp"), "id", "left").select(
-            "key", "id", "n", F.coalesce("grp", "id").alias("grp"), "place")
+            "key", "id", "n", *MASK, F.coalesce("grp", "id").alias("grp"), "place")
         ends = left.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
         open_keys = ends.where("lo <> hi").select("key")
         members = materialize(left.join(open_keys, "key", "left_semi"), "buckets")

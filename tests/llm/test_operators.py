@@ -439,3 +439,14 @@ def test_scores_of_documents(spark, odd, none):
     assert lm.score_documents(none).count() == 0
     assert [r["score"] for r in lm.score_documents(docs.where("doc_id = 500").withColumn(
         "doc_id", F.lit(None).cast("bigint"))).collect()] == [0.0]
+
+
+def test_near_masks_never_refuse_a_link():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 3, 40, 500, 9000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for changed in (0, 1, n // 20, n // 9, n // 2):
+            other = np.unique(np.concatenate([
+                base[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+            bits = (near.parity_mask(base) ^ near.parity_mask(other)).view(np.uint64)
+            assert np.bitwise_count(bits).sum() <= len(np.setxor1d(base, other))
