@@ -236,9 +236,9 @@ def near_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, widt
     sets = materialize(full_sets(docs, members.select("id").distinct(), id_col, text_col, width),
                        "sets")
     node = sig.schema["id"].dataType
-    links = sig.sparkSession.createDataFrame([], f"a {node.simpleString()}, b {node.simpleString()}")
-    labels = links.select(F.col("a").alias("node"), F.col("b").alias("grp"))
-    asked, stars = links, 1
+    asked = sig.sparkSession.createDataFrame([], f"a {node.simpleString()}, b {node.simpleString()}")
+    labels = asked.select(F.col("a").alias("node"), F.col("b").alias("grp"))
+    stars = 1
     while not members.isEmpty():
         members = materialize(_with_centres(members, stars), "centres")
         pairs = _stars(members, similarity).join(asked, ["a", "b"], "left_anti")
@@ -246,8 +246,10 @@ def near_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, widt
         asked = asked.unionByName(pairs)
         found = materialize(confirm(pairs, sets, similarity), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
+            # Earlier links are told by one edge a node.
+            told = labels.where("node <> grp").select(
+                F.col("node").alias("a"), F.col("grp").alias("b"))
+            labels = components(told.unionByName(found))
         # Centres have met every member; buckets of one component are settled.
         left = members.where("not centre").drop("centre", "grp")
         left = left.join(labels.select(F.col("node").alias("id"), "grp"), "id", "left").select(
