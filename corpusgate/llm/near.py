@@ -6,8 +6,9 @@ borrows the value of a bin found by its own sequence of probes (optimal densific
 Bins are hashed in bands; texts that agree in a band share a bucket.
 
 Equal sets are folded to their smallest id first, so copies are never compared. A bucket
-then emits a star: one centre, drawn at random per bucket, against every other member of
-another component. Stars are confirmed on the full sets, components are updated, centres
+then emits a star: one centre against every other member of another component. Members are drawn
+by a hash of their id alone, so buckets that share members draw the same centres, and a pair
+that meets in many bands is emitted and linked once. Stars are confirmed on the full sets, components are updated, centres
 leave their buckets, and buckets that still hold several components go into another round,
 until none does. What is left after a round is mostly texts that only look alike, so every
 round draws MORE times as many centres per bucket as the one before: a round emits at most
@@ -204,7 +205,7 @@ def _buckets(sig: DataFrame) -> DataFrame:
     facts = sets.select("id", "same", F.col("n_shingles").alias("n"), *[
         F.col("mask")[i].alias(m) for i, m in enumerate(MASK)]).dropDuplicates(["id", "same"])
     return rows.join(facts.drop("same"), "id").select(
-        "key", "id", "n", *MASK, F.col("id").alias("grp"), F.xxhash64("key", "id").alias("place"))
+        "key", "id", "n", *MASK, F.col("id").alias("grp"), F.xxhash64("id").alias("place"))
 
 
 def _with_centres(members: DataFrame, stars: int) -> DataFrame:
