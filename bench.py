@@ -21,6 +21,7 @@ def main() -> None:
     only = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n]
     spark = build_session(
         app="bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
+        spark__corpusgate__spread=cpus,
         spark__driver__memory="16g", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("OFF")

@@ -14,6 +14,7 @@ WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 NOT_WS = WS.replace("[", "[^", 1)
 WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680,
                              *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BLOCK = 128  # matches whose offsets are added up together
 
 
 def col(c: Column | str) -> Column:
@@ -86,25 +87,45 @@ def with_offsets(c: Column, pattern: str, groups: int = 0) -> Column:
     The text between matches comes from splitting on the same pattern, so the start of
     match k is the length of the first k+1 gaps plus the length of the first k matches.
     Groups are read from the match alone; patterns must not need text around it for them.
+
+    Adding to an array copies it, so matches are placed within blocks of BLOCK and the
+    blocks are placed after one another: the cost is linear in the number of matches until
+    a text has some millions of them.
     """
-    empty = F.array().cast("array<struct<start:int,m:string%s>>" % "".join(
-        f",g{i}:string" for i in range(1, groups + 1)))
+    fields = "".join(f",g{i}:string" for i in range(1, groups + 1))
+    empty = F.array().cast(f"array<struct<start:int,m:string{fields}>>")
+    none_placed = F.struct(F.lit(0).alias("pos"),
+                           F.array().cast("array<struct<start:int,m:string>>").alias("out"))
 
     def place(acc: Column, step: Column) -> Column:
         start = acc["pos"] + step["gap"]
-        item = F.struct(start.alias("start"), step["m"].alias("m"), *[
-            F.regexp_extract(step["m"], pattern, g).alias(f"g{g}")
-            for g in range(1, groups + 1)])
+        item = F.struct(start.alias("start"), step["m"].alias("m"))
         return F.struct((start + F.length(step["m"])).alias("pos"),
                         F.concat(acc["out"], F.array(item)).alias("out"))
 
+    def add_base(acc: Column, block: Column) -> Column:
+        return F.struct((acc["pos"] + block["pos"]).alias("pos"),
+                        F.concat(acc["out"], F.array(acc["pos"])).alias("out"))
+
+    def join_blocks(blocks: Column) -> Column:
+        bases = F.aggregate(blocks, F.struct(F.lit(0).alias("pos"),
+                                             F.array().cast("array<int>").alias("out")), add_base)
+        return F.flatten(F.zip_with(blocks, bases["out"], lambda block, base: F.transform(
+            block["out"], lambda s: F.struct(
+                (s["start"] + base).alias("start"), s["m"].alias("m"), *[
+                    F.regexp_extract(s["m"], pattern, g).alias(f"g{g}")
+                    for g in range(1, groups + 1)]))))
+
+    def in_blocks(steps: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(BLOCK))
+        return bind(F.transform(firsts, lambda i: F.aggregate(
+            F.slice(steps, i, F.lit(BLOCK)), none_placed, place)), join_blocks)
+
     def build(t: Column) -> Column:
         def offsets(found: Column) -> Column:
             steps = F.filter(F.zip_with(F.split(t, pattern, -1), found, lambda g, m: F.struct(
                 F.length(g).alias("gap"), m.alias("m"))), lambda s: s["m"].isNotNull())
-            seed = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-            return F.when(F.size(found) > 0, F.aggregate(
-                steps, seed, place, lambda acc: acc["out"])).otherwise(empty)
+            return F.when(F.size(found) > 0, bind(steps, in_blocks)).otherwise(empty)
         return bind(all_matches(t, pattern, 0), offsets)
 
     return bind(c, build)

@@ -63,8 +63,7 @@ LEDGER_DOSE_UNITS = ("mg", "mcg", "ml", "mL", "kg", "%")
 LEDGER_EXEMPT_ABBREVIATIONS = ("IO", "NCE")
 AUDIT_EXEMPT_ABBREVIATIONS = ("ASIS", "TLF", "PVS", "IIM", "TAP", "QL")
 LEDGER_ATTRIBUTIONS = ("per the module", "the module states", "the lecture", "as taught in",
-                       "according to the course", "according to the source",
-                       "according to the module")
+                       "according to the (?:course|source|module)")
 LEDGER_CERTAINTY = ("always", "never", "exactly", "precisely", "consistently")
 LEDGER_DIRECTIONS = ("medial", "lateral", "cephalad", "caudad", "superficial", "deep",
                      "anterior", "posterior", "proximal", "distal")
@@ -77,8 +76,9 @@ LAYOUT_TAGS = ("div", "p", "ul", "ol", "table", "tbody", "tr", "td", "th")
 # Wording that names a source.
 SOURCE_NOUNS = ("the module", "this module", "the lecture", "the textbook",
                 "the course material", "the source module")
-SOURCE_PREPOSITIONS = ("according to", "based on", "per", "cited in", "in", "from")
-SOURCE_PARTICIPLES = ("taught", "described", "stated", "presented", "noted", "defined")
+SOURCE_LEADS = ("according to", "based on", "per",
+                r"as (?:taught|described|stated|presented|noted|defined)(?:\s+(?:in|by))?",
+                "cited in", "in", "from")
 SOURCE_VERBS = ("states?", "says?", "notes?", "lists?", "ranks?", "describes?",
                 "emphasi[sz]es", "teaches", "defines?", "reports?", "claims?", "considers?",
                 "recommends?", "specifies", "indicates?", "classifies", "distinguishes",
@@ -217,6 +217,8 @@ CHECKABLE_HEADS = ("distance-from-midline", "depth-to-landmark", "advancement",
                    "needle-length", "volume", "volume-per-level", "volume-increment",
                    "probe-position", "spinal-level", "percent", "count", "gauge", "angle",
                    "dose-mass", "dose-volumetric", "current", "frequency", "length", "mass")
+# Measured families that the survey adds to them (T11).
+CHECKABLE_FAMILIES = ("total", "pressure", "gas-flow", "concentration")
 INSTRUMENT_HEADS = ("needle-length", "gauge", "needle-type")
 # Contrast families and the context word each one needs ("" = none).
 FAMILIES = (

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpusgate.functions import values as V
 from corpusgate.functions.base import lookup_map
 from corpusgate.functions.text import natural_key
-from corpusgate.operators.skew import in_order
 from corpusgate.session import materialize
 
 
@@ -36,7 +35,7 @@ def assign_ids(new: DataFrame, existing: DataFrame, now_ms: int, order: str = "o
     """New ids from max(existing) + 1, never below `now_ms`, dense in op order."""
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).scalar()
     base = F.greatest(top + 1, F.lit(now_ms)).cast("bigint")
-    ranked = in_order(new.drop(key), order, list(ties), "_place")
+    ranked = numbered_by(new.drop(key), [order, *ties], "_place")
     return ranked.withColumn(key, (base + F.col("_place") - 1).cast("bigint")).drop("_place")
 
 

@@ -239,7 +239,10 @@ def dedupe_inserts(new: DataFrame, existing: DataFrame, seq: str = "seq") -> Dat
     copies, so thousands of copies of one text stay cheap.
     """
     keyed = new.withColumn("_key", insert_key())
-    known = existing.select(insert_key().alias("_key")).distinct()
+    # Only keys of the batch matter; a small one is broadcast by its measured size, and the
+    # corpus is then not shuffled.
+    known = existing.select(insert_key().alias("_key")).join(
+        keyed.select("_key").distinct(), "_key", "left_semi").distinct()
     first = (keyed.groupBy("_key").agg(F.min(seq).alias("_first"))
              .join(known, "_key", "left_anti")
              .select(F.col("_first"), F.lit("ADD").alias("kind")))

@@ -18,8 +18,7 @@ AUDIT_UNIT = r"(?U)\b(?:" + any_of(V.AUDIT_CLOZE_UNITS) + r")\b|%"
 BULLET_PAIR = r"(?U)(?:^|⏎)\s*[-•]\s[^\n]*⏎\s*[-•]\s"
 SOURCE = f"(?:{any_of(V.SOURCE_NOUNS)})"
 ATTRIBUTION = (
-    rf"(?iU)\b(?:{any_of(V.SOURCE_PREPOSITIONS)}|as (?:{any_of(V.SOURCE_PARTICIPLES)})"
-    rf"(?:\s+(?:in|by))?)\s+{SOURCE}\b"
+    rf"(?iU)\b(?:{any_of(V.SOURCE_LEADS)})\s+{SOURCE}\b"
     rf"|\b{SOURCE}(?:'s)?\s+(?:{any_of(V.SOURCE_VERBS)})\b"
     rf"|\b{SOURCE}(?:'s)?\s+(?:{any_of(V.SOURCE_ARTEFACTS)})\b")
 WEIGHT_DOSE = (r"(?iU)\b[0-9]+(?:\.[0-9]+)?\s*(?:" + any_of(V.WEIGHT_DOSE_UNITS)
@@ -227,7 +226,7 @@ def attribute_head(attribute="attribute") -> Column:
 
 
 def is_checkable(attribute="attribute") -> Column:
-    return (attribute_head(attribute).isin(*V.CHECKABLE_HEADS)
+    return (attribute_head(attribute).isin(*V.CHECKABLE_HEADS, *V.CHECKABLE_FAMILIES)
             | F.col(attribute).contains("dose"))
 
 

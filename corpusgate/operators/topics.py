@@ -92,7 +92,7 @@ def topic_sizes(rows: DataFrame, min_decks: int = MIN_DECKS, min_cards: int = MI
 def topics(notes: DataFrame, prints: DataFrame | None = None, **limits) -> DataFrame:
     """(topic, n_cards, n_decks, decks, cards): full worklist, at most 60 cards a topic."""
     prints = fingerprints(notes) if prints is None else prints
-    rows = topic_rows(prints)
+    rows = materialize(topic_rows(prints), "topic-rows")
     members = rows.join(topic_sizes(rows, **limits), "topic")
     cards = members.join(notes.select("nid", "text"), "nid")
     entry = F.struct("deck", "nid", "text")
@@ -109,7 +109,7 @@ def topic_order(worklist: DataFrame, limit: int | None = None) -> DataFrame:
 
 def topic_members(notes: DataFrame, **limits) -> DataFrame:
     """(topic, deck, nid): the notes behind each topic of the worklist."""
-    rows = topic_rows(fingerprints(notes))
+    rows = materialize(topic_rows(fingerprints(notes)), "topic-rows")
     return rows.join(topic_sizes(rows, **limits).select("topic"), "topic")
 
 
@@ -132,10 +132,15 @@ def deck_counts(notes: DataFrame) -> DataFrame:
     return notes.groupBy("deck").agg(F.count(F.lit(1)).alias("n"))
 
 
+def deck_items(notes: DataFrame) -> DataFrame:
+    """The ("deck", deck) rows of a snapshot; no text is read for them."""
+    return deck_counts(notes).select(
+        F.lit("deck").alias("kind"), F.col("deck").alias("item"), "deck", "n")
+
+
 def corpus_inventory(notes: DataFrame) -> DataFrame:
     """Snapshot in long form: terms and numbers, plus one ("deck", deck) row per deck."""
-    return inventory_items(notes).unionByName(deck_counts(notes).select(
-        F.lit("deck").alias("kind"), F.col("deck").alias("item"), "deck", "n"))
+    return inventory_items(notes).unionByName(deck_items(notes))
 
 
 def lost_items(before: DataFrame, after: DataFrame) -> DataFrame:

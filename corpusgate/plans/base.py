@@ -43,13 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table for queries that spend their time on parsing text.
 
-    A table of one small file is one task, whatever the number of cores; it is spread
-    first. A table with enough splits is left as it is, so large data is never shuffled
-    for this. Counting the splits of a scan only plans it.
+    A file of one row group is one task, whatever the number of cores. A session that reads
+    such files can ask for tables to be spread over `spark.corpusgate.spread` tasks first;
+    without the setting nothing is shuffled. The plan does not look at the table.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spread = spark.conf.get("spark.corpusgate.spread", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def doc_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,11 +239,13 @@ def op_counts(spark, d):
 
 
 _ACCOUNT = f"""WITH {_RUN}, c AS (SELECT count(*) FILTER (kind = 'ADD')::BIGINT AS added,
-  count(*) FILTER (kind = 'SPLIT')::BIGINT AS s, count(*) FILTER (kind = 'DELETE')::BIGINT AS del
-  FROM log), n AS (SELECT count(*)::BIGINT AS n FROM documents)
-SELECT added, 2 * s AS split_children, s AS split_parents, 0::BIGINT AS demoted, del AS deleted,
-  n AS notes_before, n + added + s - del AS notes_after, n + added + s - del AS expected, true AS pass
-FROM c, n"""
+  count(*) FILTER (kind = 'SPLIT')::BIGINT AS s, count(*) FILTER (kind = 'DELETE')::BIGINT AS del,
+  count(*) FILTER (kind = 'DEMOTE')::BIGINT AS demoted, count(DISTINCT abs(nid)) FILTER (
+    kind IN ('SPLIT', 'DELETE'))::BIGINT AS gone FROM log), n AS (SELECT count(*)::BIGINT AS n FROM documents)
+SELECT added, 2 * s AS split_children, s AS split_parents, demoted, del AS deleted,
+  n AS notes_before, n - gone + added + 2 * s AS notes_after,
+  n + added + 2 * s - s - demoted - del AS expected,
+  n - gone + added + 2 * s = n + added + 2 * s - s - demoted - del AS pass FROM c, n"""
 
 
 @query("accounting", _ACCOUNT)
@@ -351,10 +353,19 @@ def preservation_gate(spark, d):
         "nid", "problem")
 
 
-@query("roundtrip_check", """
-SELECT count(*)::BIGINT AS rows_written, count(*)::BIGINT AS rows_read, true AS pass FROM documents""")
+@query("roundtrip_check", f"""WITH {NOTES}, per AS (SELECT deck, count(*)::BIGINT AS n,
+  min(md5(text)) AS least, max(md5(extra)) AS most FROM notes GROUP BY deck)
+SELECT 'all' AS deck, sum(n)::BIGINT AS n, NULL AS least, NULL AS most FROM per
+UNION ALL SELECT * FROM per""")
 def roundtrip_check(spark, d):
-    return sinks.roundtrip_check(full_notes(spark, d), scratch_path(spark, "roundtrip"))
+    """The rows that came back, in all (none if the check fails) and per deck with digests."""
+    path = scratch_path(spark, "roundtrip")
+    check = sinks.roundtrip_check(full_notes(spark, d), path)
+    none = F.lit(None).cast("string")
+    whole = check.select(F.lit("all").alias("deck"), F.when(F.col("pass"), F.col("rows_read")).otherwise(0).alias("n"),
+                         none.alias("least"), none.alias("most"))
+    return whole.unionByName(spark.read.parquet(path).groupBy("deck").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.md5("text")).alias("least"), F.max(F.md5("extra")).alias("most")))
 
 
 @query("assign_ids", """

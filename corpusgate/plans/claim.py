@@ -215,7 +215,11 @@ def consistency_sections(spark, d):
     return report.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("consistency_verdict", "SELECT 2::BIGINT AS failing, false AS pass FROM region LIMIT 1")
+@query("consistency_verdict", f"""WITH {_EXTRACTED}, g AS (SELECT subject, attribute FROM extracted
+  WHERE kind = 'numeric' AND attribute LIKE '%[%' AND attribute NOT LIKE 'count%' GROUP BY ALL
+  HAVING count(DISTINCT value) >= 2 AND count(DISTINCT (nid, field)) >= 2),
+f AS (SELECT 'G1a' AS section FROM g UNION SELECT 'I' FROM ({_ORDERS}) WHERE k = 2 AND c % 5 = 0)
+SELECT count(*)::BIGINT AS failing, count(*) = 0 AS pass FROM f""")
 def consistency_verdict(spark, d):
     from corpusgate.session import materialize
     notes = order_notes(spark, d)

@@ -30,8 +30,8 @@ def write_text_export(spark, d):
                                      F.sum(F.length("value")).alias("chars"))
 
 
-@query("read_text_export", """
-SELECT count(*)::BIGINT AS notes, count(*)::BIGINT AS numbered FROM documents""")
+@query("read_text_export", f"""WITH {NOTES}
+SELECT nid, split_part({_lines("'n' || nid || ' | ' || extra")}, ' | ', 2) AS extra, 0::BIGINT AS off FROM notes""")
 def read_text_export(spark, d):
     """Exports hold notes in note order, so a line's number is the note's rank in its file."""
     from pyspark.sql import Window
@@ -42,8 +42,7 @@ def read_text_export(spark, d):
     back = X.read_text_export(spark, path)
     number = F.substring_index("text", "n", -1).cast("bigint")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(number))
-    return back.withColumn("rank", rank).agg(
-        F.count(F.lit(1)).alias("notes"), F.count_if(F.col("rank") == F.col("nid")).alias("numbered"))
+    return back.select(number.alias("nid"), "extra", (F.col("nid") - rank).cast("bigint").alias("off"))
 
 
 @query("write_digest", f"""WITH {MARKED} SELECT count(*)::BIGINT AS lines, sum(length(
@@ -113,8 +112,17 @@ def read_changeset(spark, d):
     return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("file_inventory", "SELECT 13::BIGINT + count(*) * 0 AS files, 64::BIGINT AS hex_digits FROM region")
+@query("file_inventory", """
+SELECT sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256, count(*)::BIGINT AS lines
+FROM customer GROUP BY c_nationkey""")
 def file_inventory(spark, d):
-    found = K.file_inventory(spark, d + "/*.parquet").where(~F.col("path").contains("benchmark"))
-    return found.agg(F.count(F.lit(1)).alias("files"),
-                     F.max(F.length("sha256")).cast("bigint").alias("hex_digits"))
+    """One file of names per nation; its digest is that of the lines it holds."""
+    path = scratch_path(spark, "inventory")
+    (table(spark, d, "customer").select("c_nationkey", "c_custkey", F.col("c_name").alias("value"))
+     .repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey")
+     .write.partitionBy("c_nationkey").text(path))
+    lines = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("name"), "c_nationkey").agg(
+        F.count(F.lit(1)).alias("lines"))
+    found = K.file_inventory(spark, path).select("sha256", F.regexp_extract(
+        "path", "c_nationkey=([0-9]+)/", 1).cast("int").alias("c_nationkey"))
+    return found.join(lines, "c_nationkey").select("sha256", "lines")

@@ -165,8 +165,8 @@ def corpus_no_loss(spark, d):
 SELECT deck, count(*)::BIGINT AS before, count(*) FILTER ({_KEEP})::BIGINT AS after,
        count(*) FILTER ({_KEEP}) < count(*) AS shrank FROM inv_notes GROUP BY deck""")
 def deck_changes(spark, d):
-    return K.deck_changes(K.corpus_inventory(corpus_notes(spark, d)),
-                          K.corpus_inventory(_after(spark, d)))
+    return K.deck_changes(K.deck_items(corpus_notes(spark, d)),
+                          K.deck_items(_after(spark, d)))
 
 
 @query("deck_term_loss", f"""WITH {NOTES}, w AS (

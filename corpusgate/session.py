@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,15 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: `spark.checkpoint.dir`.
 
     Only a local master, where driver and executors are one process, falls back to a
-    temporary folder; a cluster without the setting is an error.
+    temporary folder, deleted when the process ends; a cluster without the setting is an
+    error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = os.environ.get("CORPUSGATE_LOCAL_DIR") or tempfile.mkdtemp(prefix="spark-")
-    os.environ["CORPUSGATE_LOCAL_DIR"] = fallback
+    fallback = os.environ.get("CORPUSGATE_LOCAL_DIR")
+    if not fallback:
+        fallback = os.environ["CORPUSGATE_LOCAL_DIR"] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     return fallback
 
 

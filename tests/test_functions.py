@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from corpusgate.functions import facts as A
 from corpusgate.functions import subjects as S
 from corpusgate.functions import text as T
+from corpusgate.functions.base import with_offsets
 from corpusgate.operators import rules as R
 
 
@@ -13,6 +14,18 @@ def run(spark, column, *values):
     return [r["o"] for r in df.select("i", column.alias("o")).orderBy("i").collect()]
 
 
+def test_offsets_of_many_matches(spark):
+    """Matches are placed block by block; every count around the block size, and a long text."""
+    import re
+
+    pattern = r"([0-9]+) (mg)"
+    texts = ["", "x", *[" ".join(f"w{i % 7} {i} mg" for i in range(n)) + " y"
+                        for n in (1, 127, 128, 129, 300, 100_000)]]
+    for t, got in zip(texts, run(spark, with_offsets(F.col("text"), pattern, 2), *texts)):
+        assert [tuple(g) for g in got] == [
+            (m.start(), m[0], m[1], m[2]) for m in re.finditer(pattern, t)]
+
+
 def test_markup(spark):
     assert run(spark, T.plain("text"), "{{c1::ab::hint}} x", "a<br>b", "a&nbsp;b", "&amp;lt;") == [
         "ab x", "a . b", "a b", "<"]
