@@ -181,7 +181,7 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text of one page."""
     stack: list[tuple[str, bool]] = []     # open elements, and whether they hold nothing
     hidden = 0                             # open elements that hold nothing
-    blocks: list[list] = []                # [first token, last token, text parts]
+    blocks: list[list] = []                # [first, last token with words, text parts]
     new_block = True
     best = run = 0.0
     best_span, start, place = (0, -1), 0, 0
@@ -207,10 +207,12 @@ def extract(page: str | None, weights: Weights) -> str:
                 if run > best:
                     best, best_span = run, (start, place)
             if new_block:
-                blocks.append([place, place, []])
+                blocks.append([0, 0, []])
                 new_block = False
-            blocks[-1][1] = place
-            blocks[-1][2].append(text)
+            block = blocks[-1]
+            if words:
+                block[:2] = block[0] or place, place
+            block[2].append(text)
             continue
         kind, name, attributes = token
         if name not in INLINE:
@@ -240,8 +242,9 @@ def extract(page: str | None, weights: Weights) -> str:
                 hidden += nothing
         if not hidden and not was_hidden:
             run -= weights.price.get((kind, name), weights.usual)
+    # Only inline tags can end a region within a block; such a block is whole in the text.
     lo, hi = best_span
-    out = (" ".join("".join(b[2]).split()) for b in blocks if lo <= b[0] and b[1] <= hi)
+    out = (" ".join("".join(b[2]).split()) for b in blocks if b[0] <= hi and lo <= b[1])
     return "\n\n".join(b for b in out if b)
 
 

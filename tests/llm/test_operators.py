@@ -359,6 +359,17 @@ def test_region_scan_finds_the_labelled_text():
         assert whole == inner != ""
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>Some words go here</p><p>more of it, see <a>here</a>\n</p></article>",
+     "Some words go here\n\nmore of it, see here"),
+    ("<article><h1>\n<a>Title</a></h1><p>Some words go here</p></article>",
+     "Title\n\nSome words go here"),
+    ("<body>\n <article>\n  <p>\n <b>One</b> paragraph<br>\n </p>\n </article>\n</body>", "One paragraph"),
+    ("<p>\n a " + "<b></b>" * 30 + " b c d e f g h <i>x</i>\n</p>", "a b c d e f g h x")])
+def test_white_space_beside_inline_tags_at_the_edges(page, want):
+    assert main_text.extract(page, main_text.Weights()) == want
+
+
 # ---- language model -----------------------------------------------------------------------------
 
 def _lexicon(n=150):
