@@ -370,6 +370,25 @@ def test_white_space_beside_inline_tags_at_the_edges(page, want):
     assert main_text.extract(page, main_text.Weights()) == want
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<body class="has-sidebar">', "</body>"), ('<body class="sidebar menu">', "</body>"),
+    ('<div id="page" class="site">', "</div>"), ('<div class="layout with-sidebar">', "</div>"),
+    ('<main class="menu">', "</main>"), ('<div class="sidebar">', "</div>"),
+    ('<form id="aspnetForm">', "</form>"), ('<article class="comment reply">', "</article>")])
+def test_wrappers_with_any_class_keep_their_text(before, after):
+    inner = ('<h1>The title</h1><p>One two three four.</p><ul class="list"><li>Five six.</li>'
+             '<li>Seven.</li></ul><div class="ad">Buy now</div><p>Eight nine ten.</p>')
+    got = main_text.extract(f"<nav>Home</nav>{before}{inner}{after}<footer>Legal</footer>",
+                            main_text.Weights())
+    assert got.split("\n\n") == ["The title", "One two three four.", "Five six.", "Seven.",
+                                 "Eight nine ten."]
+
+
+def test_a_clue_of_one_labelled_page_does_not_count():
+    weights = main_text.Weights([[(0, '<div class="odd">x</div>'), (1, "<p>y</p>")]])
+    assert weights.share("div", 'class="odd"') == 1
+
+
 # ---- language model -----------------------------------------------------------------------------
 
 def _lexicon(n=150):
