@@ -107,6 +107,10 @@ LABELLED = [
      (0, '</div><div class="sponsored ads">Flour on offer</div><div class="pagination">1 2 3</div>'
          '<div id="disqus" class="comments"><div class="comment reply">Tasty</div></div><div '
          'class="promo modal">Win a mixer</div></div></body>')],
+    [(0, '<body><div class="header">The weekly</div><div class="nav menu">Home Poems</div>'),
+     (1, '<article><h1>Two voices</h1><div>Who is there?</div><div>Only me.</div><div>Come in.'
+         '</div><div>It is late.</div><div>I know.</div></article>'),
+     (0, '<div class="comments">So true</div><div class="footer">All rights</div></body>')],
     [(0, '<body><div class="topbar">Call us</div><div class="site has-nav"><div class="pager">'
          'Older</div>'),
      (1, '<section class="content story"><h2>The well</h2><p>The well is very old.</p><p>Nobody '
@@ -218,7 +222,7 @@ class Weights:
                     "section", "table", "br", "html", "body"):
             self.odds.pop(f"<{tag}>", None)
         self.price.update({(k, t): min(self.price.get((k, t), 0.1), 0.1) for k in ("open", "close")
-                           for t in (*INLINE, "p", "br", "h1", "h2", "h3", "li", "ul", "ol")})
+                           for t in (*INLINE, "p", "br", "h1", "h2", "h3", "li", "ul", "ol", "div")})
         self.judged: dict[tuple[str, str], float] = {}
 
     def share(self, name: str, attributes: str) -> float:

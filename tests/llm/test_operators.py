@@ -389,6 +389,16 @@ def test_a_clue_of_one_labelled_page_does_not_count():
     assert weights.share("div", 'class="odd"') == 1
 
 
+@pytest.mark.parametrize("around", ["article", "main", 'div class="content"', "section"])
+def test_an_article_of_short_divs_is_whole(around):
+    blocks = ["A talk at night", *(f"Line {i} has few words." for i in range(40)), "Yes.", "No."]
+    page = (f"<html><body><nav>Home</nav><div class='ad'>Buy this now</div><{around}><h1>"
+            + blocks[0] + "</h1>" + "\n".join(f"<div>{b}</div>" for b in blocks[1:21])
+            + "<div>" + "".join(f"<div><span>{b}</span></div>" for b in blocks[21:]) + "</div>"
+            f"</{around.split()[0]}><div class='comments'>I liked it</div></body></html>")
+    assert main_text.extract(page, main_text.Weights()).split("\n\n") == blocks
+
+
 # ---- language model -----------------------------------------------------------------------------
 
 def _lexicon(n=150):
