@@ -5,10 +5,10 @@ SHORT most frequent words, the end of a document, and one symbol for all other w
 behind that symbol has its share of the smoothed corpus counts, so the probabilities of all
 words, the unseen ones together, sum to one. The output softmax is factored into classes of
 words of similar rank. Biases start at the corpus frequencies. The weights are trained in
-numpy by truncated backpropagation through time: a fixed share of the training documents, so
-the sample grows with the corpus, is trained on where it lies, each task from the same
-weights, and the weights of all tasks are averaged by their tokens; that is done ROUNDS times
-on different documents.
+numpy by truncated backpropagation through time: training documents are trained on where they
+lie, each task from the same weights, and the weights of all tasks are averaged by their
+tokens; that is done in ROUNDS rounds, which share out all training documents, so every token
+is learned from once.
 
 Scoring carries the state over windows through a whole document. Counts of the HEAD most
 frequent words are broadcast, a bounded table; the others are joined.
@@ -41,8 +41,7 @@ HEAD = 1 << 16       # words whose counts every task holds
 SMOOTH = 0.1
 HIDDEN = 24
 CLASS = 64           # words of a class
-TRAIN_SHARE = 16     # one in so many training documents in every round
-ROUNDS = 2
+ROUNDS = 2           # every training document is in one of them
 LANES, WINDOW = 32, 16
 SCORE_LANES, SCORE_WINDOW = 256, 32
 CHUNK = 1 << 20      # tokens scored at once, if no document is longer
@@ -203,19 +202,26 @@ class Trainer:
         keep[first] = 0
         self.tokens += len(target)
         lanes = min(LANES, len(target))
-        steps = len(target) // lanes
-        cut = lambda a: a[:lanes * steps].reshape(lanes, steps).T
-        source, target, keep = cut(source), cut(target), cut(keep)
+        steps = -(-len(target) // lanes)
+        # The last lanes are filled up with starts of documents that predict nothing.
+        fill = lanes * steps - len(target)
+        cut = lambda a, v: np.append(a, np.full(fill, v, a.dtype)).reshape(
+            lanes, steps).T
+        real = cut(np.ones(len(target), bool), False)
+        source, target, keep = cut(source, lx.start), cut(target, lx.other), cut(keep, 0)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, steps, WINDOW):
-            h = self._window(source[t:t + WINDOW], target[t:t + WINDOW], keep[t:t + WINDOW], h)
+            w = slice(t, t + WINDOW)
+            h = self._window(source[w], target[w], keep[w], h, real[w])
 
-    def _window(self, source, target, keep, h):
+    def _window(self, source, target, keep, h, real=None):
         p, n, trace = self.p, HIDDEN, []
         inputs = p["embed"][source]
         states, last = run_gates(p, inputs @ p["wx"] + p["b"], h, keep, trace)
         grads: dict[str, np.ndarray] = {}
-        _lp, dh = log_probs(p, states.reshape(-1, n), target.ravel(), grads)
+        at = slice(None) if real is None or real.all() else real.ravel()
+        dh = np.zeros((target.size, n), states.dtype)
+        _lp, dh[at] = log_probs(p, states.reshape(-1, n)[at], target.ravel()[at], grads)
         dh = dh.reshape(states.shape)
         dx = np.empty((*source.shape, 3 * n), np.float32)
         dwh, carry = np.zeros_like(p["wh"]), np.zeros_like(h)
@@ -232,7 +238,7 @@ class Trainer:
         flat = dx.reshape(-1, 3 * n)
         grads["wh"], grads["b"] = dwh, flat.sum(axis=0)
         grads["wx"] = inputs.reshape(-1, n).T @ flat
-        count = float(source.size)
+        count = float(source.size if real is None else real.sum())
         used, place = np.unique(source.ravel(), return_inverse=True)
         de = np.zeros((len(used), n), np.float32)
         np.add.at(de, place.ravel(), flat @ p["wx"].T)
@@ -411,7 +417,7 @@ def learn(docs: DataFrame, train: Column, text_col: str, slices: Column):
     """(lexicon, its broadcast, parameters, counts) from the rows that `train` names.
 
     `slices` spreads rows evenly over whole numbers; round i takes those that are i modulo
-    TRAIN_SHARE.
+    ROUNDS.
     """
     spark = docs.sparkSession
     own = docs.where(train)
@@ -435,8 +441,8 @@ def learn(docs: DataFrame, train: Column, text_col: str, slices: Column):
     lexicon, shared = Lexicon(*table), spark.sparkContext.broadcast(table)
     params = initial(lexicon)
     for i in range(ROUNDS):
-        params = train_round(own.where(F.pmod(slices, F.lit(TRAIN_SHARE)) == i), text_col,
-                             shared, params)
+        params = train_round(own.where(F.pmod(slices, F.lit(ROUNDS)) == i), text_col, shared,
+                             params)
     return lexicon, shared, params, counts
 
 

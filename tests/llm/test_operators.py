@@ -453,6 +453,47 @@ def test_probabilities_sum_to_one_and_state_spans_windows():
     assert np.allclose(together, [scorer.score([d])[0] for d in docs], rtol=1e-4)
 
 
+def test_every_token_of_a_batch_is_trained_on():
+    lx, seen = _lexicon(), collections.Counter()
+    texts = ["w1 w2 w3 zz w4", None, "w5 w6", " ".join(f"w{i % 90}" for i in range(1000))]
+
+    class Watched(lm.Trainer):
+        def _window(self, source, target, keep, h, *real):
+            at = real[0] if real else np.ones(target.shape, bool)
+            seen.update(target[at].tolist())
+            return super()._window(source, target, keep, h, *real)
+
+    trainer = Watched(lm.initial(lx), lx)
+    trainer.feed(texts)
+    assert seen == collections.Counter(np.concatenate([lx.numbers(t) for t in texts]).tolist())
+    assert trainer.tokens == sum(seen.values())
+    assert all(np.isfinite(v).all() for v in trainer.p.values())
+
+
+def test_padding_changes_no_gradient():
+    lx = _lexicon()
+    rng = np.random.default_rng(3)
+    source, target = rng.integers(0, 150, (6, 3)), rng.integers(0, 151, (6, 3))
+    keep, h = np.ones((6, 3), np.float32), np.zeros((3, lm.HIDDEN), np.float32)
+    plain, padded = lm.Trainer(lm.initial(lx), lx), lm.Trainer(lm.initial(lx), lx)
+    plain._window(source, target, keep, h)
+    wide = lambda a, v: np.append(a, np.full((6, 2), v, a.dtype), axis=1)
+    padded._window(wide(source, lx.start), wide(target, lx.other), wide(keep, 0),
+                   np.zeros((5, lm.HIDDEN), np.float32), wide(np.ones((6, 3), bool), False))
+    for k in plain.p:
+        assert np.allclose(plain.p[k], padded.p[k], atol=1e-5), k
+
+
+def test_the_rounds_train_on_every_training_document(spark, monkeypatch):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("some words "), "id").alias("text"))
+    seen = []
+    monkeypatch.setattr(lm, "train_round", lambda rows, *a: seen.extend(
+        r["doc_id"] for r in rows.collect()) or a[-1])
+    lm.learn(docs, F.col("doc_id") % 10 != 0, "text", F.xxhash64("doc_id"))
+    assert sorted(seen) == [i for i in range(200) if i % 10]
+
+
 def test_scores_of_documents(spark, odd, none):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["A b", "c d e", "f"]) for _ in range(rng.randint(0, 80))))
