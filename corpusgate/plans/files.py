@@ -74,18 +74,24 @@ def read_word_boxes(spark, d):
                                      F.sum("conf").cast("bigint").alias("conf"))
 
 
+SOURCE_DOCS = 500     # documents of one source file
+
+
 @query("read_sources", """
 SELECT 'm' || (doc_id % 8) AS module, count(*)::BIGINT AS parts, sum(length(text))::BIGINT AS chars
 FROM documents GROUP BY 1""")
 def read_sources(spark, d):
-    """Documents written as one file per (module, extension) piece, then read as sources."""
+    """Documents written as files of at most SOURCE_DOCS per module, then read as sources.
+
+    Every task writes what it has read, so tasks and files grow with the table.
+    """
     path = scratch_path(spark, "sources")
     n = F.col("doc_id")
     docs = table(spark, d, "documents")
-    # A text file per module holds its documents; their number is kept by a marker line.
+    # Text files per module hold its documents; their number is kept by a marker character.
     (docs.select(F.concat(F.lit("m"), F.pmod(n, F.lit(8))).alias("module"),
                  F.concat(F.lit("\x01"), "text").alias("value"))
-     .repartition("module").write.partitionBy("module").text(path))
+     .write.option("maxRecordsPerFile", SOURCE_DOCS).partitionBy("module").text(path))
     parts = X.read_sources(spark, path)
     body = F.regexp_replace("part", r"^\n--- [^\n]* ---\n", "")
     marks = F.regexp_count(body, F.lit("\x01"))

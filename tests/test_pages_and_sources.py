@@ -125,3 +125,20 @@ def test_hot_key_lookup(spark):
     out = lookup_by_key(rows, dim, "key", "n", F.col("id"))
     assert out.count() == 2999 and out.where("n = 2000").count() == 2000
     assert lookup_by_key(rows, dim, "key", "n", F.col("id"), "left").count() == 3000
+
+
+def test_source_files_are_bounded_and_whole(spark, monkeypatch):
+    from corpusgate.plans import files
+
+    root = tempfile.mkdtemp(prefix="sources-")
+    n = 8 * 1200
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("a\nb "), "id").alias("text"))
+    docs.write.parquet(f"{root}/documents.parquet")
+    monkeypatch.setattr(files, "scratch_path", lambda spark, name: f"{root}/{name}")
+    got = {r.module: (r.parts, r.chars) for r in files.read_sources(spark, root).collect()}
+    assert got == {f"m{m}": (1200, sum(4 + len(str(i)) for i in range(m, n, 8)))
+                   for m in range(8)}
+    marks = spark.read.text(f"{root}/sources", wholetext=True).select(
+        F.max(F.regexp_count("value", F.lit("\x01")))).first()[0]
+    assert marks <= 500
