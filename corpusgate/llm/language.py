@@ -11,8 +11,8 @@ n-gram; it reads whole texts and nothing but texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and is
 rejected; so is every text when no labelled row exists. One known language has score 1.
-Ties go to the first label in code point order. Labels beyond the MAX_LABELS most frequent
-ones are not learned. Rows with a null id or label are predicted but never learned from.
+Ties go to the first label in code point order. Every label with a letter in one of its texts
+is learned. Rows with a null id or label are predicted but never learned from.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.llm.common import map_batches, remainder
+from corpusgate.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,11 +36,11 @@ BUCKETS = 1 << 15
 DIM = 16
 GRAMS = (1, 2, 3, 4, 5)   # in bytes of UTF-8
 SAMPLE = 4000        # labelled rows that training sees, about the same number per label
-MAX_LABELS = 64
 EPOCHS = 3
 RATE = 4.0
 REJECT = 0.001
 CALIBRATE = 5        # every fifth sampled row calibrates
+FEW = 64                # labels up to which the next two hold; with more they shrink
 REMEMBERED = 1 << 17
 CHUNK = 1 << 17         # words whose scores are added up at once
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -94,6 +95,8 @@ class Predictor:
 
     def __init__(self, model: Model):
         self.model = model
+        labels = max(FEW, len(model.labels))
+        self.remembered, self.chunk = REMEMBERED * FEW // labels, CHUNK * FEW // labels
         self._forget()
 
     def _forget(self):
@@ -127,7 +130,7 @@ class Predictor:
             else:
                 out.append((UNKNOWN, 0.0))
         waiting.clear()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -139,7 +142,7 @@ class Predictor:
                 held += len(waiting[-1])
             else:
                 waiting.append([])
-            if held >= CHUNK:
+            if held >= self.chunk:
                 self._flush(waiting, out)
                 held = 0
         self._flush(waiting, out)
@@ -166,33 +169,37 @@ def _features(sample: DataFrame) -> DataFrame:
 
 
 def draw(labelled: DataFrame, text: str, label: str, key: str, size: int) -> DataFrame:
-    """(text, label, place): about `size` labelled rows, evenly over labels.
+    """(text, label, place): about `size` labelled rows, evenly over labels, one each at least.
 
-    Counting labels is a combinable aggregate; of it the driver gets MAX_LABELS rows. Each
-    row then decides by its own hash whether it is in, so no label is gathered anywhere.
+    Counting labels is a combinable aggregate of one row per label, which is broadcast. Each
+    row then decides by its own hash whether it is in, so no label is gathered anywhere. The
+    lowest hash of a label's texts with letters is in whatever the label's share is.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"),
                            F.xxhash64(F.col(key)).alias("place")).where(
         F.col("label").isNotNull() & F.col(key).isNotNull())
-    counts = (rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect())
-    if not counts:
-        return rows.where(F.lit(False))
-    each = size / len(counts)
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("label") == r["label"], min(1.0, each / r["n"])).otherwise(share)
-    return rows.where(F.pmod("place", F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    at = F.pmod("place", F.lit(1 << 30))
+    counts = materialize(rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("text").rlike(r"\p{L}"), at)).alias("least")), "labels")
+    each = size / max(1, counts.count())
+    share = F.least(F.lit(1.0), F.lit(each) / F.col("n"))
+    return rows.join(F.broadcast(counts), "label").where(
+        (at < share * F.lit(float(1 << 30))) | (at == F.col("least"))).select(
+        "text", "label", "place")
 
 
 def train(rows: list, labels: list[str]) -> Model:
     """Gradient descent over sampled rows, then calibration on every fifth."""
     rng = np.random.default_rng(1)
-    k = len(labels)
+    k, number = len(labels), {label: i for i, label in enumerate(labels)}
     data = [(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["share"], np.float32)[:, None],
-             labels.index(r["label"])) for r in rows]
+             number[r["label"]]) for r in rows]
     held = data[::CALIBRATE] if len(data) >= 10 * CALIBRATE else []
     fit = [d for i, d in enumerate(data) if i % CALIBRATE] if held else data
+    # A label that only calibration has drawn is learned from there.
+    known = {d[2] for d in fit}
+    fit += [d for d in held if d[2] not in known]
     emb = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
     steps, total = 0, EPOCHS * len(fit)

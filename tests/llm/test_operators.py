@@ -132,6 +132,31 @@ def test_language_is_learned_held_out_and_unknown_without_letters(spark, odd, no
     assert [r["score"] for r in language.predict(docs.limit(1), one).collect()] == [1.0]
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} text", f"l{i % 90:03d}")
+            for i in range(360)]
+    rows += [(1000, "qqq zzz", "rare"), (1001, "123", "l000"), (1002, "77", "none"),
+             (1003, "ok", None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    for size in (4000, 20):
+        model = language.fit(docs, size=size)
+        assert model.labels == [f"l{i:03d}" for i in range(90)] + ["rare"]
+    drawn = language.draw(docs, "text", "lang", "doc_id", 20).collect()
+    assert {"rare", *(f"l{i:03d}" for i in range(90))} <= {r["label"] for r in drawn}
+    assert len(drawn) < 200
+
+
+def test_a_label_that_only_calibration_has_drawn_is_trained():
+    share = np.full(5, 0.2, np.float32).tobytes()
+    rows = [{"label": "a" if i else "z", "share": share,
+             "bucket": np.arange(0 if i else 200, 5 if i else 205, dtype=np.int32).tobytes()}
+            for i in range(60)]
+    other = [{**r, "label": "a"} for r in rows[:1]] + rows[1:]
+    at = slice(200, 205)
+    with_z, without = (language.train(r, ["a", "z"]).table[at] for r in (rows, other))
+    assert (with_z[:, 1] - with_z[:, 0]).mean() > (without[:, 1] - without[:, 0]).mean()
+
+
 # ---- exact dedup --------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 30000])
