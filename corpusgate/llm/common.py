@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -62,6 +62,28 @@ def remainder(doc_id: str, mod: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
+def placed(rows: DataFrame, order: list[Column], by: list[str]) -> DataFrame:
+    """`rows` with `place` (from 0, in `order`) and `total` within `by`, in bounded tasks.
+
+    Rows are dealt by range, sorted and written with their row number, which holds the
+    partition; the offsets have one row per partition and group, so a group of any size is
+    numbered by as many tasks as it fills. Values of `by` are not null.
+    """
+    keys = [*[F.col(c) for c in by], *order]
+    ranged = materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
+        "_cg_row", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_cg_row", 33).alias("_cg_part")
+    sizes = ranged.groupBy(part, *by).agg(F.min("_cg_row").alias("_cg_first"),
+                                          F.count(F.lit(1)).alias("_cg_n"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_cg_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_cg_part", *by, F.sum("_cg_n").over(group).alias("total"),
+                         (F.coalesce(F.sum("_cg_n").over(before), F.lit(0))
+                          - F.col("_cg_first")).alias("_cg_shift"))
+    return ranged.withColumn("_cg_part", part).join(sizes, ["_cg_part", *by]).withColumn(
+        "place", F.col("_cg_row") + F.col("_cg_shift")).drop("_cg_row", "_cg_part", "_cg_shift")
+
+
 def file_bytes(spark: SparkSession, path: str):
     """Broadcast of a vocabulary file, whose size is fixed by its publisher (about 1 MB)."""
     with open(path, "rb") as f:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm import (byte_pairs, exact, language, lines, lm, main_text, mixing, near,
+from corpusgate.llm import (byte_pairs, exact, language, lines, lm, main_text, merkle, mixing, near,
                             token_counts, topk)
 from corpusgate.llm.common import remainder, table
 
@@ -113,3 +113,79 @@ def op9(spark, sf_dir):
 @query("op10_lm_scores")
 def op10(spark, sf_dir):
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+# crc32 of an ASCII or hex-coded text, bit by bit: SQL has no such function.
+def crc32_sql(hexed: str) -> str:
+    """SQL of the unsigned crc32 of the bytes that the hex string `hexed` names."""
+    nibble = f"(strpos('0123456789ABCDEF', substr({hexed}, i::INT, 1)) - 1)"
+    bits = (f"flatten(list_transform(range(0, length({hexed}) // 2), lambda b: flatten("
+            f"list_transform([2 * b + 2, 2 * b + 1], lambda i: list_transform([0, 1, 2, 3], "
+            f"lambda k: (({nibble} >> k::INT) & 1)::BIGINT)))))")
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, x: "
+            f"xor(c >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)")
+
+
+_FIELD = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in (
+    "doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")) + ")"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, {_LEAF.format(text="text")} AS leaf,
+         CASE WHEN {crc32_sql("hex(encode(doc_id::VARCHAR))")} % 2 = 0
+              THEN {_LEAF.format(text="replace(text, chr(10), '')")}
+              ELSE {_LEAF.format(text="text")} END AS changed
+  FROM documents),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaves),
+tree AS (
+  SELECT grp, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY grp) AS n FROM numbered
+  UNION ALL
+  SELECT grp, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3
+  FROM tree WHERE n > 1 GROUP BY grp, lvl, pos // 3),
+tops AS (
+  SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos FROM tree WHERE n = 1),
+above AS (
+  SELECT 0 AS lvl, pos, subroot AS h, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3
+  FROM above WHERE n > 1 GROUP BY lvl, pos // 3),
+sides AS (
+  SELECT a.grp, a.lvl, a.pos,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM tree a JOIN tree b ON a.grp = b.grp AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY a.grp, a.lvl, a.pos),
+over_sides AS (
+  SELECT a.lvl, a.pos,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM above a JOIN above b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY a.lvl, a.pos),
+way AS (
+  SELECT doc_id, grp, leaf, 0 AS lvl, pos, changed AS h, '' AS proof, 0 AS part FROM numbered
+  UNION ALL
+  SELECT w.doc_id, w.grp, w.leaf, w.lvl + 1, w.pos // 3, sha256(s.l || w.h || s.r),
+         w.proof || s.l || s.r, 0
+  FROM way w JOIN sides s ON w.grp = s.grp AND w.lvl = s.lvl AND w.pos = s.pos),
+half AS (
+  SELECT w.doc_id, w.grp, w.leaf, w.h, w.proof, t.pos, t.subroot
+  FROM way w JOIN tree x ON w.grp = x.grp AND w.lvl = x.lvl AND x.n = 1
+  JOIN tops t ON t.grp = w.grp),
+over_way AS (
+  SELECT doc_id, leaf, subroot, 0 AS lvl, pos, h, proof FROM half
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.lvl + 1, w.pos // 3, sha256(s.l || w.h || s.r),
+         w.proof || s.l || s.r
+  FROM over_way w JOIN over_sides s ON w.lvl = s.lvl AND w.pos = s.pos)
+SELECT w.doc_id, w.leaf, w.subroot, x.h AS root, sha256(w.proof) AS proof_sha256,
+       w.h AS folded_root, w.h = x.h AS verified
+FROM over_way w JOIN above x ON x.n = 1 AND w.lvl = x.lvl""")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.coalesce(remainder("doc_id", 2) == 0, F.lit(False)),
+                  F.expr("replace(text, '\\n', '')")).otherwise(F.col("text"))
+    return merkle.tamper_check(docs, text)
