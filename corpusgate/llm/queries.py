@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm import (byte_pairs, exact, language, lines, lm, main_text, merkle, mixing, near,
-                            token_counts, topk)
+from corpusgate.llm import (byte_pairs, exact, importance, language, lines, lm, main_text, merkle,
+                            mixing, near, token_counts, topk)
 from corpusgate.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,37 @@ def op13(spark, sf_dir):
     text = F.when(F.coalesce(remainder("doc_id", 2) == 0, F.lit(False)),
                   F.expr("replace(text, '\\n', '')")).otherwise(F.col("text"))
     return merkle.tamper_check(docs, text)
+
+
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+@query("op12_importance_resampling", f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS f FROM documents),
+dw AS (SELECT r, unnest(f) AS w FROM d),
+bw AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+known AS (SELECT w, {crc32_sql("hex(encode(w))")} % 10000 AS bucket
+          FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN known USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN known USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(
+    (coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+    / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+mean AS (
+  SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM dw JOIN known USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(f) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' ||
+           doc_id::VARCHAR), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN mean USING (r)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked""")
+def op12(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
