@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgate.llm import (byte_pairs, exact, importance, language, lines, lm, main_text, merkle,
-                            mixing, near, token_counts, topk)
+                            mixing, near, token_counts, topk, warc)
 from corpusgate.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +191,17 @@ def op13(spark, sf_dir):
     return merkle.tamper_check(docs, text)
 
 
+
+@query("op11_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM g""")
+def op11(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
