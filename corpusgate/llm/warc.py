@@ -149,34 +149,39 @@ def _parsed(value: Column) -> dict[str, Column]:
 _FACTS = ("type", "id", "refers", "uri", "date", "payload_bytes", "digest")
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, split, row, raw, size, valid, span, complete, facts) of every piece.
+def pieces(spark: SparkSession, path: str, files: DataFrame | None = None):
+    """Two tables of all pieces, or of those of `files`, read in one scan.
 
-    `at` is the offset of the magic in front of the piece.
+    (file, split, row, raw) and (file, at, split, row, size, valid, next, complete, facts);
+    `at` is the offset of the magic in front of the piece. Without `files` the first one is None,
+    and no payload is written.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(path).select(
+    rows = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("row"), F.col("value").alias("raw"))
     said = _parsed(F.col("raw"))
     keep = ("valid", "span", "complete", *_FACTS)
-    cut = materialize(raw.select("file", "split", "row", "raw", F.octet_length("raw").alias("size"),
-                                 *[said[k].alias(k) for k in keep]), "pieces")
+    if files is not None:
+        rows = rows.join(files, "file", "left_semi")
+    cut = materialize(rows.select("file", "split", "row", F.octet_length("raw").alias("size"),
+                                  *[said[k].alias(k) for k in keep],
+                                  *([] if files is None else ["raw"])), "pieces")
     step = F.col("size") + len(MAGIC)
     splits = cut.groupBy("file", "split").agg(F.sum(step).alias("bytes"))
-    by_file = Window.partitionBy("file").orderBy("split")
-    splits = splits.select(
-        "file", "split", F.coalesce(F.sum("bytes").over(by_file.rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
-        (F.sum("bytes").over(Window.partitionBy("file")) - len(MAGIC)).alias("file_size"))
+    by_file = Window.partitionBy("file").orderBy("split").rowsBetween(
+        Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", F.coalesce(F.sum("bytes").over(by_file),
+                                                       F.lit(0)).alias("base"))
     inside = Window.partitionBy("file", "split").orderBy("row").rowsBetween(
         Window.unboundedPreceding, -1)
     where = cut.select("file", "split", "row", "size", "valid", "span", "complete", *_FACTS,
                        F.coalesce(F.sum(step).over(inside), F.lit(0)).alias("within"))
     where = where.join(splits, ["file", "split"]).withColumn(
         "at", F.col("base") + F.col("within") - len(MAGIC))
-    return cut.select("split", "row", "file", "raw"), materialize(where.select(
+    places = materialize(where.select(
         "file", "at", "split", "row", "size", "valid", (F.col("at") + F.col("span")).alias("next"),
-        "complete", "file_size", *_FACTS), "places")
+        "complete", *_FACTS), "places")
+    return None if files is None else cut.select("split", "row", "file", "raw"), places
 
 
 _LINKS = "file STRING, block BIGINT, at BIGINT, next BIGINT, leave BIGINT"
@@ -239,9 +244,15 @@ def read(spark: SparkSession, path: str, payloads: bool = False, block: int = BL
     `payload` is added if asked for; revisits have none. The digest is that of the payload
     that was read, for revisits the one they tell.
     """
-    raw, places = pieces(spark, path)
+    _, places = pieces(spark, path)
     kept = reached(places.where("valid"), block).select("file", "at")
     records = materialize(places.join(kept, ["file", "at"]), "records")
+    whole = records.where("complete").select("file", "at", F.lit(True).alias("whole"), *_FACTS)
+    asked = records if payloads else records.where("not complete")
+    if not payloads and asked.isEmpty():
+        return whole
+    # Once more through the files of the records asked for, this time with their bytes.
+    raw, places = pieces(spark, path, asked.select("file").distinct())
     # A piece that no chain reaches belongs to the last record before it.
     cut = places.select("file", "at", "split", "row", F.floor(
         F.greatest("at", F.lit(0)) / F.lit(block)).alias("block")).join(
@@ -253,7 +264,6 @@ def read(spark: SparkSession, path: str, payloads: bool = False, block: int = BL
         Window.unboundedPreceding, 0)
     owned = cut.withColumn("own", F.max("own").over(so_far)).join(ends, ["file", "block"]).select(
         "file", F.coalesce("own", "carry").alias("own"), "at", "split", "row")
-    asked = records if payloads else records.where("not complete")
     parts = materialize(owned.join(asked.select("file", F.col("at").alias("own")), ["file", "own"],
                                    "left_semi"), "parts")
     joined = raw.join(parts, ["file", "split", "row"]).groupBy("file", "own").agg(F.array_join(
@@ -262,11 +272,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False, block: int = BL
     said = _parsed(F.col("value"))
     mended = joined.select("file", F.col("own").alias("at"), said["complete"].alias("whole"), *[
         said[k].alias(k) for k in (*_FACTS, "payload")])
-    if payloads:
-        return mended
-    mended = mended.drop("payload")
-    return records.where("complete").select(
-        "file", "at", F.lit(True).alias("whole"), *_FACTS).unionByName(mended)
+    return mended if payloads else whole.unionByName(mended.drop("payload"))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url",
