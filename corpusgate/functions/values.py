@@ -282,3 +282,7 @@ APPLIED_KINDS = ("EDIT", "REWRITE", "SPLIT", "DEMOTE", "DELETE")
 CHANGELOG_ORDER = ("DEMOTE", "DELETE", "SPLIT", "REWRITE", "EDIT", "ADD", "DUPE-SKIP", "SKIP")
 REVIEW_KINDS = ("DEMOTE", "DELETE", "SPLIT")
 STATUS_ORDER = ("in-progress", "built-unverified", "pending", "verified")
+
+# Fixed: how the reason of an applied split tells its number of parts.
+SPLIT_MARK = (" -> ", " atomic notes")
+SPLIT_COUNT = r"-> ([0-9]+) atomic"

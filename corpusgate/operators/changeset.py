@@ -1,8 +1,11 @@
 """Applying a reviewed change-set to a notes table.
 
 Ops that share no note with another op are applied by joins. Ops that touch a common note
-depend on each other's result; they are grouped by connected notes, and each group is one
-sorted array of ops folded over a map of its notes. Both ways decide and change by the same
+depend on each other's result; they are grouped by connected notes and taken in turns of TURN
+ops a group. In a turn, a group is one small sorted array of ops folded over a map of the notes
+it names; notes that a later turn names wait in a table by that turn. All groups take their
+turns together, so there are as many turns as the largest group has ops, divided by TURN, and
+no row, whatever the group, is larger than a turn. Both ways decide and change by the same
 column expressions. Many demotes into one otherwise untouched note are no such group: they
 only append, so they stay on the join path unless one of them needs an earlier one's text.
 """
@@ -12,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgate.functions.base import bind, strip, text
@@ -20,10 +23,11 @@ from corpusgate.functions.text import checksum32, normalize_extra, sort_field
 from corpusgate.functions import values as V
 from corpusgate.operators import rules as R
 from corpusgate.operators.notes import TAIL
-from corpusgate.operators.order import assign_ids
+from corpusgate.operators.order import assign_ids, numbered_by
 from corpusgate.operators.relate import dedupe_inserts, gate_counts, missing_terms
-from corpusgate.session import materialize
+from corpusgate.session import materialize, scratch_path
 
+TURN = 1 << 10     # ops of a group that are folded in one row
 FIELDS = list(V.NOTE_FIELDS)
 KINDS = ("edit", "rewrite", "split", "demote", "delete")
 RETIRED = ("SPLIT", "DEMOTE", "DELETE")
@@ -91,21 +95,20 @@ def _skip_reason(op: Get, source: Get, target: Get, lost: Column) -> Column:
     """Why an op is not applied; null if it is."""
     kind = op("op")
     more = F.when(F.size(lost) > 12, F.concat(
-        F.lit(" (+"), F.size(lost) - 12, F.lit(" more)"))).otherwise("")
-    refused = F.concat(F.lit("DEMOTE REFUSED - would lose: "),
+        F.lit(" and "), F.size(lost) - 12, F.lit(" others"))).otherwise("")
+    refused = F.concat(F.lit("refused, these terms are nowhere in the target: "),
                        F.array_join(F.slice(lost, 1, 12), ", "), more)
     return (
-        F.when(source("nid").isNull(), F.concat(kind, F.lit(": note not found")))
+        F.when(source("nid").isNull(), "no such note")
         .when((kind == "edit") & ~F.coalesce(
             _current(op, source).contains(op("find")), F.lit(False)),
-              F.concat(F.lit("pattern not present: "), F.substring(op("find"), 1, 40)))
-        .when((kind == "split") & (_n_parts(op) < 2), "split needs >=2 parts")
+              F.concat(F.lit("the field does not hold: "), F.substring(op("find"), 1, 40)))
+        .when((kind == "split") & (_n_parts(op) < 2), "a split of fewer than two parts")
         .when((kind == "demote") & target("nid").isNull(), F.concat(
-            F.lit("demote target "), F.coalesce(op("into_nid").cast("string"), F.lit("None")),
-            F.lit(" not found")))
-        .when((kind == "demote") & (F.size(op("facts")) == 0), "demote needs facts to preserve")
+            F.lit("no such target: "), F.coalesce(op("into_nid").cast("string"), F.lit("null"))))
+        .when((kind == "demote") & (F.size(op("facts")) == 0), "a demote that keeps no fact")
         .when((kind == "demote") & (F.size(lost) > 0), refused)
-        .when(~kind.isin(*KINDS), F.concat(F.lit("unknown op '"), kind, F.lit("'"))))
+        .when(~kind.isin(*KINDS), F.concat(F.lit("not an op: "), kind)))
 
 
 def _n_parts(op: Get) -> Column:
@@ -115,11 +118,10 @@ def _n_parts(op: Get) -> Column:
 def _done_reason(op: Get) -> Column:
     kind = op("op")
     return (
-        F.when(kind == "split", F.concat(op("why"), F.lit(" -> "), _n_parts(op),
-                                         F.lit(" atomic notes")))
-        .when(kind == "demote", F.concat(op("why"), F.lit(" -> folded into note "),
-                                         op("into_nid"), F.lit(" ("), F.size(op("facts")),
-                                         F.lit(" passage(s), no terms lost)")))
+        F.when(kind == "split", F.concat(op("why"), F.lit(V.SPLIT_MARK[0]), _n_parts(op),
+                                         F.lit(V.SPLIT_MARK[1])))
+        .when(kind == "demote", F.concat(op("why"), F.lit(" | kept in "), op("into_nid"),
+                                         F.lit(", facts: "), F.size(op("facts"))))
         .otherwise(op("why")))
 
 
@@ -235,6 +237,8 @@ def split_dependent(ops: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFr
         ops.where(demote).select(F.col("into_nid").alias("nid"), F.lit(1).alias("_in")))
     counted = touches.groupBy("nid").agg(F.count(F.lit(1)).alias("_n"), F.sum("_in").alias("_t"))
     shared = materialize(counted.where("_n > 1"), "shared")
+    if shared.isEmpty():
+        return ops, ops.where("false")
     # A note that is only ever a target keeps its demotes independent, unless one of them
     # would be refused without the text of an earlier one.
     hubs = shared.where("_n = _t").select(F.col("nid").alias("_h"))
@@ -334,26 +338,77 @@ def _after_op(acc: Column, op: Column) -> Column:
                          F.try_element_at(acc["notes"], goal).alias("target")), judge)
 
 
-def fold_dependent(notes: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(changes, done) of ops that share notes, each group folded in op order.
+def in_turns(ops: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """`ops` with their group and turn: `turn` ops of a group, in op order, are one turn."""
+    own = materialize(ops.select("op_seq", "nid").join(groups, "nid").select("op_seq", "grp"), "own")
+    ranked = numbered_by(own, ["grp", "op_seq"], "_place")
+    first = ranked.groupBy("grp").agg(F.min("_place").alias("_first"))
+    placed = ranked.join(first, "grp").select("op_seq", "grp", F.floor(
+        (F.col("_place") - F.col("_first")) / F.lit(turn)).cast("int").alias("turn"))
+    return materialize(ops.select(*OP_FIELDS).join(placed, "op_seq"), "turns")
 
-    A group is one row: its notes and its ops. It is as large as the ops that really depend
-    on each other; an op costs a look at the keys of its group's notes.
-    """
-    groups = materialize(label_groups(ops), "groups")
-    queues = ops.join(groups, "nid").groupBy("grp").agg(
+
+def uses_of(ops: DataFrame, groups: DataFrame) -> DataFrame:
+    """(nid, grp, turn, next, first): the turns that name a note, and the one after each."""
+    named = ops.select("nid", "grp", "turn").unionByName(
+        ops.where("op = 'demote'").select(F.col("into_nid").alias("nid"), "grp", "turn"))
+    by_note = Window.partitionBy("nid").orderBy("turn")
+    return materialize(named.distinct().select(
+        "nid", "grp", "turn", F.lead("turn").over(by_note).alias("next"),
+        (F.row_number().over(by_note) == 1).alias("first")), "uses")
+
+
+def _fold_turn(states: DataFrame, ops: DataFrame) -> DataFrame:
+    """(notes, log) of every group after one turn; a group is one row of at most TURN ops."""
+    queues = ops.groupBy("grp").agg(
         F.sort_array(F.collect_list(F.struct(*OP_FIELDS))).alias("ops"))
-    held = F.struct("nid", F.lit(False).alias("changed"), *[text(c).alias(c) for c in FIELDS])
-    states = notes.join(groups, "nid").groupBy("grp").agg(F.map_from_entries(F.collect_list(
+    held = F.struct("nid", "changed", *[text(c).alias(c) for c in FIELDS])
+    maps = states.groupBy("grp").agg(F.map_from_entries(F.collect_list(
         F.struct("nid", held.cast(_NOTE)))).alias("notes"))
     none = F.create_map().cast(f"map<bigint,{_NOTE}>")
     start = F.struct(F.coalesce("notes", none).alias("notes"), F.array().cast(_LOG).alias("log"))
-    folded = materialize(queues.join(states, "grp", "left").select(
-        F.aggregate("ops", start, _after_op).alias("end")).select("end.*"), "folded")
-    ended = folded.select(F.explode("notes").alias("nid", "n"))
-    changes = ended.where("n IS NULL OR n.changed").select(
+    return queues.join(maps, "grp", "left").select(
+        F.aggregate("ops", start, _after_op).alias("end")).select("end.*")
+
+
+def fold_dependent(notes: DataFrame, ops: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(changes, done) of ops that share notes, in op order.
+
+    Every turn reads its own ops and the notes they name, from `notes` if no earlier turn
+    named them, else from what the turn before left for this one.
+    """
+    spark = ops.sparkSession
+    groups = materialize(label_groups(ops), "groups")
+    ops = in_turns(ops, groups, turn)
+    uses = uses_of(ops, groups)
+    turns = ops.agg(F.coalesce(F.max("turn"), F.lit(-1)) + 1).first()[0]
+    folded, waiting = scratch_path(spark, "folded"), scratch_path(spark, "waiting")
+    state = ["nid", "grp", "changed", *FIELDS]
+    kept = ", ".join(f"{c} STRING" for c in FIELDS)
+    for i in range(max(turns, 1)):
+        now = uses.where(F.col("turn") == i)
+        states = notes.join(now.where("first"), "nid").withColumn(
+            "changed", F.lit(False)).select(*state)
+        if i:
+            states = states.unionByName(
+                spark.read.schema(f"nid BIGINT, grp BIGINT, changed BOOLEAN, {kept}, next INT")
+                .parquet(waiting).where(F.col("next") == i).select(*state))
+        _fold_turn(states, ops.where(F.col("turn") == i)).withColumn("turn", F.lit(i)).write.mode(
+            "append").partitionBy("turn").parquet(folded)
+        if turns > 1:
+            left = spark.read.parquet(f"{folded}/turn={i}")
+            ended = left.select(F.explode("notes").alias("nid", "n")).where("n IS NOT NULL")
+            ended.join(now.select("nid", "grp", "next"), "nid").select(
+                "nid", "grp", "n.changed", *[f"n.{c}" for c in FIELDS],
+                F.coalesce("next", F.lit(-1)).alias("next")).where("next > 0").write.mode(
+                "append").partitionBy("next").parquet(waiting)
+    out = spark.read.parquet(folded)
+    ended = out.select("turn", F.explode("notes").alias("nid", "n")).join(
+        uses.select("nid", "turn", "next"), ["nid", "turn"])
+    # A retired note is gone for good; another one is final after the last turn that names it.
+    changes = ended.where("n IS NULL OR (next IS NULL AND n.changed)").select(
         "nid", F.col("n").isNull().alias("gone"), *[F.col(f"n.{c}").alias(c) for c in FIELDS])
-    return changes, folded.select(F.inline("log"))
+    return changes, out.select(F.inline("log"))
 
 
 def apply_changeset(notes: DataFrame, cards: DataFrame | None, ops: DataFrame,
@@ -370,10 +425,12 @@ def apply_changeset(notes: DataFrame, cards: DataFrame | None, ops: DataFrame,
     done = materialize(outcomes(free, near), "done")
     changes, parts = _changes(done, near), _new_parts(done)
     log = done.select("op_seq", "kind", "nid", "reason")
-    folded, in_turn = fold_dependent(near, materialize(tied, "tied"))
-    changes = changes.unionByName(folded)
-    parts = parts.unionByName(_new_parts(in_turn))
-    log = log.unionByName(in_turn.select("op_seq", "kind", "nid", "reason"))
+    tied = materialize(tied, "tied")
+    if not tied.isEmpty():
+        folded, in_turn = fold_dependent(near, tied, TURN)
+        changes = changes.unionByName(folded)
+        parts = parts.unionByName(_new_parts(in_turn))
+        log = log.unionByName(in_turn.select("op_seq", "kind", "nid", "reason"))
     after = _put(notes, changes)
     parts, log = parts.withColumn("phase", F.lit(0)), log.withColumn("phase", F.lit(0))
     if new is not None:

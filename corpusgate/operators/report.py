@@ -91,7 +91,7 @@ def violation_rollup(found: DataFrame) -> DataFrame:
 
 def op_counts(changelog: DataFrame) -> DataFrame:
     """(kind, n, created): entries per kind, and notes that splits created."""
-    made = F.coalesce(F.regexp_extract("reason", r"-> ([0-9]+) atomic", 1).try_cast("bigint"),
+    made = F.coalesce(F.regexp_extract("reason", V.SPLIT_COUNT, 1).try_cast("bigint"),
                       F.lit(0))
     return changelog.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"),
@@ -100,7 +100,7 @@ def op_counts(changelog: DataFrame) -> DataFrame:
 
 def accounting(changelog: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: before + added + split children - split parents - demoted - deleted."""
-    made = F.coalesce(F.regexp_extract("reason", r"-> ([0-9]+) atomic", 1).try_cast("bigint"),
+    made = F.coalesce(F.regexp_extract("reason", V.SPLIT_COUNT, 1).try_cast("bigint"),
                       F.lit(0))
     kind = F.col("kind")
     n_before = before.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -99,7 +99,9 @@ def brute_force(notes, ops):
     return {k: v for k, v in state.items() if v is not None}, log
 
 
-def test_dependent_ops_match_brute_force(spark):
+@pytest.mark.parametrize("turn", [1024, 5])
+def test_dependent_ops_match_brute_force(spark, monkeypatch, turn):
+    monkeypatch.setattr(C, "TURN", turn)
     rng = random.Random(7)
     words = ["alphabet", "binocular", "cathedral", "dinosaur", "elephant"]
     base = {n: (f"{rng.choice(words)} {rng.choice(words)}", f" {rng.choice(words)}") for n in range(30)}
@@ -125,7 +127,8 @@ def test_dependent_ops_match_brute_force(spark):
 
 
 @pytest.mark.parametrize("order", ["sorted", "reverse", "shuffled"])
-def test_long_chain_of_demotes(spark, order):
+def test_long_chain_of_demotes(spark, monkeypatch, order):
+    monkeypatch.setattr(C, "TURN", 300)
     names = list(range(1000))
     if order == "reverse":
         names.reverse()
@@ -152,6 +155,24 @@ def test_thousands_of_edits_of_one_note(spark):
     assert run.changelog.where("kind = 'EDIT'").count() == 3000
 
 
+def test_no_row_is_larger_than_a_turn(spark):
+    ops = [{"nid": i, "op": "demote", "into_nid": i // 2 * 2 + 1, "facts": ["f"]} for i in range(400)]
+    ops += [{"nid": i % 40, "op": "demote", "into_nid": (i * 7) % 400, "facts": ["g"]}
+            for i in range(400)]
+    ops = C.clean_ops(ops_df(spark, *ops))
+    groups = C.label_groups(ops)
+    turns = C.in_turns(ops, groups, 25)
+    sizes = turns.groupBy("grp", "turn").agg(F.count("*").alias("n"), F.min("op_seq").alias("lo"),
+                                             F.max("op_seq").alias("hi")).collect()
+    assert max(r.n for r in sizes) == 25 and sum(r.n for r in sizes) == ops.count()
+    by_group = {}
+    for r in sorted(sizes, key=lambda r: r.turn):
+        assert by_group.get(r.grp, -1) < r.lo
+        by_group[r.grp] = r.hi
+    uses = C.uses_of(turns, groups)
+    assert uses.groupBy("grp", "turn").count().agg(F.max("count")).first()[0] <= 50
+
+
 def test_no_ops_change_nothing(spark):
     notes = notes_df(spark)
     run = C.apply_changeset(notes, None, ops_df(spark, *FIVE).where(F.lit(False)))
