@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]],
-                schema: str) -> DataFrame:
-    """Run Python over Arrow batches.
+                schema: str, rows: int = 1 << 30) -> DataFrame:
+    """Run Python over Arrow batches, cut at `rows` rows.
 
     `make()` is called once per task and gives a function from {column: list} to
     {column: list}. Batches are bounded in rows and bytes by Spark's Arrow settings, so a
@@ -39,8 +39,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]],
     def run(batches):
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                out = work({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                out = work({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, kind)

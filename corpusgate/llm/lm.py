@@ -7,11 +7,12 @@ words, the unseen ones together, sum to one. The output softmax is factored into
 words of similar rank. Biases start at the corpus frequencies. The weights are trained in
 numpy by truncated backpropagation through time: training documents are trained on where they
 lie, each task from the same weights, and the weights of all tasks are averaged by their
-tokens; that is done in ROUNDS rounds, which share out all training documents, so every token
-is learned from once.
+tokens, in the order of the tasks; that is done in ROUNDS rounds, which share out all training
+documents, so every token is learned from once.
 
-Scoring carries the state over windows through a whole document. Counts of the HEAD most
-frequent words are broadcast, a bounded table; the others are joined.
+Every text is split and looked up once: its words' numbers are written and serve training and
+scoring. Scoring carries the state over windows through a whole document. Counts of the HEAD
+most frequent words are broadcast, a bounded table; the others are joined.
 
 Defined results: a null text is an empty text, one end token; a document without words has
 the score of its end alone; without training documents every score is 0; rows without an id
@@ -23,6 +24,8 @@ from __future__ import annotations
 import heapq
 import sys
 from collections import Counter
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,17 +39,21 @@ from corpusgate.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = b"\n"          # no word holds a line feed
-SHORT = 4095         # words that the network tells apart
+SHORT = 2047         # words that the network tells apart
 HEAD = 1 << 16       # words whose counts every task holds
 SMOOTH = 0.1
-HIDDEN = 24
+HIDDEN = 12
 CLASS = 64           # words of a class
 ROUNDS = 2           # every training document is in one of them
-LANES, WINDOW = 32, 16
-SCORE_LANES, SCORE_WINDOW = 256, 32
-CHUNK = 1 << 20      # tokens scored at once, if no document is longer
-RATE = 0.1
+LANES, WINDOW = 512, 16
+SCORE_LANES, SCORE_WINDOW, MIN_LANES = 512, 16, 64
+CHUNK = 1 << 22      # tokens scored at once, if no document is longer
+TOP = 80.0           # logits beyond it are held there, so no exponential overflows
+RATE, FLAT = 0.1, 1e-6  # step size, and where the sums of squared gradients begin
 BLOCKS = 32
+FEED = 1 << 11       # documents looked up or learned from at once
+NUMBER = np.int16    # of a word
+LOG10 = float(np.log(10))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -97,7 +104,7 @@ class Lexicon:
 
     def numbers(self, text: str | None) -> np.ndarray:
         other, get = self.other, self.number.get
-        return np.array([get(w, other) for w in words_of(text)] + [get(END, other)], np.int32)
+        return np.array([get(w, other) for w in words_of(text)] + [get(END, other)], NUMBER)
 
 
 # ---- the network --------------------------------------------------------------------------------
@@ -123,80 +130,111 @@ def initial(lexicon: Lexicon) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(np.minimum(x, TOP, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def run_gates(p: dict, x: np.ndarray, h: np.ndarray, keep: np.ndarray, trace: list | None):
+def run_gates(p: dict, x: np.ndarray, h: np.ndarray, keep: np.ndarray, trace: dict | None):
     """States of a window; `x` is (steps, lanes, 3 hidden), `keep` 0 where a document starts."""
     n = HIDDEN
-    out = np.empty((len(x), len(h), n), np.float32)
+    out = np.empty((len(x), len(h), n), np.result_type(x, h))
+    if trace is not None:
+        trace |= {k: np.empty_like(out) for k in ("before", "new", "gn", "z", "r")}
     for t in range(len(x)):
         h = h * keep[t][:, None]
         g = h @ p["wh"]
         zr = _sigmoid(x[t, :, :2 * n] + g[:, :2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(x[t, :, 2 * n:] + r * g[:, 2 * n:])
+        new = zr[:, n:] * g[:, 2 * n:]
+        new += x[t, :, 2 * n:]
+        np.tanh(new, out=new)
         if trace is not None:
-            trace.append((h, z, r, new, g[:, 2 * n:]))
-        h = new + z * (h - new)
+            trace["before"][t], trace["new"][t], trace["gn"][t] = h, new, g[:, 2 * n:]
+            trace["z"][t], trace["r"][t] = zr[:, :n], zr[:, n:]
+        h -= new
+        h *= zr[:, :n]
+        h += new
         out[t] = h
     return out, h
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _choose(x: np.ndarray, at: np.ndarray, gradient: bool):
+    """Log-probability of place `at` of every row of logits; `x` becomes the gradient."""
+    rows = np.arange(len(x))
+    np.minimum(x, TOP, out=x)
+    chosen = x[rows, at].astype(np.float64)
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    chosen -= np.log(total)
+    if gradient:
+        x /= total[:, None]
+        x[rows, at] -= 1
+    return chosen
 
 
 def log_probs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None):
-    """Natural log-probability of every target, and the gradient of minus their sum by h."""
+    """Natural log-probability of every target, and the gradient of minus their sum by h.
+
+    Rows are sorted by the class of their target once; each class is then one product.
+    """
+    want = grads is not None
+    order = np.argsort((target // CLASS).astype(np.int16), kind="stable")
+    h, target = h[order], target[order]
     cls, word = target // CLASS, target % CLASS
-    rows = np.arange(len(h))
-    lc = log_softmax(h @ p["wc"] + p["bc"])
-    out = lc[rows, cls].astype(np.float64)
-    dh = None
-    if grads is not None:
-        d = np.exp(lc)
-        d[rows, cls] -= 1
+    d = h @ p["wc"]
+    d += p["bc"]
+    found = _choose(d, cls, want)
+    if want:
         dh = d @ p["wc"].T
         grads["wc"], grads["bc"] = h.T @ d, d.sum(axis=0)
         grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-    order = np.argsort(cls, kind="stable")
-    ends = np.flatnonzero(np.diff(np.append(cls[order], -1))) + 1
-    lo = 0
-    for hi in ends:
-        at, c = order[lo:hi], cls[order[lo]]
-        own = h[at]
-        lw = log_softmax(own @ p["wo"][c] + p["bo"][c])
-        k = np.arange(len(at))
-        out[at] += lw[k, word[at]]
-        if grads is not None:
-            d = np.exp(lw)
-            d[k, word[at]] -= 1
-            dh[at] += d @ p["wo"][c].T
+    ends = np.searchsorted(cls, np.arange(len(p["wo"]) + 1)).tolist()
+    for c, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+        if lo == hi:
+            continue
+        own = h[lo:hi]
+        d = own @ p["wo"][c]
+        d += p["bo"][c]
+        found[lo:hi] += _choose(d, word[lo:hi], want)
+        if want:
+            dh[lo:hi] += d @ p["wo"][c].T
             grads["wo"][c] = own.T @ d
             grads["bo"][c] = d.sum(axis=0)
-        lo = hi
-    return out, dh
+    out = np.empty_like(found)
+    out[order] = found
+    if not want:
+        return out, None
+    back = np.empty_like(dh)
+    back[order] = dh
+    return out, back
+
+
+class Symbols(NamedTuple):
+    """The two numbers that stand for no word."""
+
+    other: int
+    start: int
 
 
 class Trainer:
     """Truncated backpropagation over lanes of documents put end to end."""
 
-    def __init__(self, params: dict[str, np.ndarray], lexicon: Lexicon):
+    def __init__(self, params: dict[str, np.ndarray], lexicon: Lexicon | Symbols):
         self.p = {k: v.copy() for k, v in params.items()}
         self.lexicon = lexicon
-        self.seen = {k: np.full_like(v, 1e-2) for k, v in params.items()}
+        self.seen = {k: np.full_like(v, FLAT) for k, v in params.items()}
         self.tokens = 0
 
-    def feed(self, texts: list[str | None]):
+    def feed(self, docs: list[np.ndarray]):
+        """Learn from documents given as numbers."""
         lx = self.lexicon
-        docs = [lx.numbers(t) for t in texts]
         if not docs:
             return
         target = np.concatenate(docs)
         first = np.cumsum([0] + [len(d) for d in docs[:-1]])
-        source = np.concatenate([[lx.start], target[:-1]]).astype(np.int32)
+        source = np.concatenate([[lx.start], target[:-1]]).astype(NUMBER)
         source[first] = lx.start
         keep = np.ones(len(target), np.float32)
         keep[first] = 0
@@ -215,34 +253,44 @@ class Trainer:
             h = self._window(source[w], target[w], keep[w], h, real[w])
 
     def _window(self, source, target, keep, h, real=None):
-        p, n, trace = self.p, HIDDEN, []
+        p, n, trace = self.p, HIDDEN, {}
         inputs = p["embed"][source]
         states, last = run_gates(p, inputs @ p["wx"] + p["b"], h, keep, trace)
         grads: dict[str, np.ndarray] = {}
-        at = slice(None) if real is None or real.all() else real.ravel()
-        dh = np.zeros((target.size, n), states.dtype)
-        _lp, dh[at] = log_probs(p, states.reshape(-1, n)[at], target.ravel()[at], grads)
+        if real is None or real.all():
+            _lp, dh = log_probs(p, states.reshape(-1, n), target.ravel(), grads)
+        else:
+            at, dh = real.ravel(), np.zeros((target.size, n), states.dtype)
+            _lp, dh[at] = log_probs(p, states.reshape(-1, n)[at], target.ravel()[at], grads)
         dh = dh.reshape(states.shape)
-        dx = np.empty((*source.shape, 3 * n), np.float32)
-        dwh, carry = np.zeros_like(p["wh"]), np.zeros_like(h)
+        before, new, z, r = (trace[k] for k in ("before", "new", "z", "r"))
+        # What does not depend on later steps is made for the whole window at once.
+        by_new = (1 - z) * (1 - new * new)
+        by_z = (before - new) * z * (1 - z)
+        by_r = trace["gn"] * r * (1 - r)
+        dx = np.empty((*source.shape, 3 * n), states.dtype)
+        dg = np.empty_like(dx)
+        back, carry = np.ascontiguousarray(p["wh"].T), np.zeros_like(h)
         for t in range(len(source) - 1, -1, -1):
-            before, z, r, new, gn = trace[t]
             d = dh[t] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            dwh += before.T @ dg
-            carry = (d * z + dg @ p["wh"].T) * keep[t][:, None]
+            dn = d * by_new[t]
+            dx[t, :, :n] = d * by_z[t]
+            dx[t, :, n:2 * n] = dn * by_r[t]
+            dx[t, :, 2 * n:] = dn
+            dg[t, :, :2 * n] = dx[t, :, :2 * n]
+            dg[t, :, 2 * n:] = dn * r[t]
+            carry = dg[t] @ back
+            d *= z[t]
+            carry += d
+            carry *= keep[t][:, None]
         flat = dx.reshape(-1, 3 * n)
-        grads["wh"], grads["b"] = dwh, flat.sum(axis=0)
-        grads["wx"] = inputs.reshape(-1, n).T @ flat
+        grads["wh"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+        grads["b"], grads["wx"] = flat.sum(axis=0), inputs.reshape(-1, n).T @ flat
         count = float(source.size if real is None else real.sum())
-        used, place = np.unique(source.ravel(), return_inverse=True)
-        de = np.zeros((len(used), n), np.float32)
-        np.add.at(de, place.ravel(), flat @ p["wx"].T)
-        self._step("embed", de / count, used)
+        words = source.ravel()
+        order = np.argsort(words.astype(np.int16), kind="stable")
+        used, first = np.unique(words[order], return_index=True)
+        self._step("embed", np.add.reduceat((flat @ p["wx"].T)[order], first) / count, used)
         for k, g in grads.items():
             self._step(k, g / count, slice(None))
         return last
@@ -266,39 +314,45 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 
 def _average(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weighted mean of the parameter blocks of several tasks."""
+    """Weighted mean of the parameter blocks of several tasks, in the order of the tasks."""
+    pdf = pdf.sort_values(["lot", "task"])
     weight = pdf["weight"].sum()
     total = sum(np.frombuffer(v, np.float32).astype(np.float64) * w
                 for v, w in zip(pdf["part"], pdf["weight"]))
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "lot": [0], "weight": [weight],
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "lot": [pdf["lot"].iloc[0]], "task": [0], "weight": [weight],
                          "part": [(total / weight).astype(np.float32).tobytes()]})
 
 
-_PARTS = "block INT, lot INT, weight DOUBLE, part BINARY"
+_PARTS = "block INT, lot INT, task INT, weight DOUBLE, part BINARY"
 
 
-def train_round(docs: DataFrame, text_col: str, lexicon, params: dict) -> dict:
-    """Train on all of `docs` where they lie and average; the driver gets one set of weights."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(params)
+def train_round(heads: DataFrame, lexicon: Lexicon, params: dict) -> dict:
+    """Train on the `ids` of all rows where they lie, and average; the driver gets one set of
+    weights."""
+    spark = heads.sparkSession
+    shared = spark.sparkContext.broadcast((params, lexicon.other, lexicon.start))
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        trainer, column = Trainer(shared.value, Lexicon(*lexicon.value)), 0
+        weights, other, start = shared.value
+        trainer = Trainer(weights, Symbols(other, start))
         for batch in batches:
-            trainer.feed(batch.column(column).to_pylist())
+            for lo in range(0, batch.num_rows, FEED):
+                rows = batch.column(0).slice(lo, FEED).to_pylist()
+                trainer.feed([np.frombuffer(x, NUMBER) for x in rows])
         if trainer.tokens:
             parts = np.array_split(pack(trainer.p), BLOCKS)
-            lot = TaskContext.get().partitionId() % 64
+            task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict(
                 {"block": pa.array(range(BLOCKS), pa.int32()),
-                 "lot": pa.array([lot] * BLOCKS, pa.int32()),
+                 "lot": pa.array([task % 64] * BLOCKS, pa.int32()),
+                 "task": pa.array([task] * BLOCKS, pa.int32()),
                  "weight": [float(trainer.tokens)] * BLOCKS,
                  "part": [x.astype(np.float32).tobytes() for x in parts]})
 
-    trained = docs.select(text_col).mapInArrow(run, _PARTS)
+    trained = heads.select("ids").mapInArrow(run, _PARTS)
     for keys in (["block", "lot"], ["block"]):
         trained = trained.groupBy(*keys).applyInPandas(_average, _PARTS)
     rows = sorted(trained.collect(), key=lambda r: r["block"])
@@ -310,7 +364,7 @@ def train_round(docs: DataFrame, text_col: str, lexicon, params: dict) -> dict:
 # ---- scoring ------------------------------------------------------------------------------------
 
 class Scorer:
-    def __init__(self, params: dict[str, np.ndarray], lexicon: Lexicon):
+    def __init__(self, params: dict[str, np.ndarray], lexicon: Lexicon | Symbols):
         self.p, self.lexicon = params, lexicon
         self.table = params["embed"] @ params["wx"] + params["b"]
 
@@ -318,110 +372,116 @@ class Scorer:
         """Natural log-probability of whole documents, given as numbers.
 
         Documents are dealt to lanes, longest first; a lane takes its documents one after
-        the other and its state starts afresh with each.
+        the other and its state starts afresh with each. Lanes lie end to end, so memory
+        follows the tokens, however unequal the lanes are.
         """
-        lanes = min(SCORE_LANES, len(docs))
+        if not self.lexicon.other:  # one symbol, which is certain
+            return np.zeros(len(docs))
+        sizes = [len(d) for d in docs]
+        lanes = min(len(docs), SCORE_LANES, max(MIN_LANES, sum(sizes) // max(sizes)))
         heap, dealt = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
-        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        for i in sorted(range(len(docs)), key=lambda i: -sizes[i]):
             used, lane = heapq.heappop(heap)
             dealt[lane].append(i)
-            heapq.heappush(heap, (used + len(docs[i]), lane))
+            heapq.heappush(heap, (used + sizes[i], lane))
         # Longest lane first, so the lanes still running are always the first ones.
-        load, dealt = zip(*sorted(((sum(len(docs[i]) for i in d), d) for d in dealt),
-                                  key=lambda x: -x[0]))
-        steps, running = load[0], np.array(load)
-        start, other = self.lexicon.start, self.lexicon.other
-        source = np.full((steps, lanes), start, np.int32)
-        target = np.full((steps, lanes), other, np.int32)
-        keep, owner = np.zeros((steps, lanes), np.float32), np.full((steps, lanes), -1, np.int32)
-        for lane, own in enumerate(dealt):
-            at = 0
-            for i in own:
-                n = len(docs[i])
-                target[at:at + n, lane] = docs[i]
-                source[at + 1:at + n, lane] = docs[i][:-1]
-                keep[at + 1:at + n, lane] = 1
-                owner[at:at + n, lane] = i
-                at += n
-        out, h = np.zeros(len(docs)), np.zeros((lanes, HIDDEN), np.float32)
-        for t in range(0, steps, SCORE_WINDOW):
-            on = int((running > t).sum())
-            cut = (slice(t, t + SCORE_WINDOW), slice(0, on))
-            states, h = run_gates(self.p, self.table[source[cut]], h[:on], keep[cut], None)
-            who = owner[cut].ravel()
-            real = who >= 0
-            lp, _ = log_probs(self.p, states.reshape(-1, HIDDEN)[real], target[cut].ravel()[real],
-                              None)
-            out += np.bincount(who[real], lp, minlength=len(docs))
+        dealt.sort(key=lambda own: -sum(sizes[i] for i in own))
+        load = np.array([sum(sizes[i] for i in own) for own in dealt])
+        order = [i for own in dealt for i in own]
+        target = np.concatenate([docs[i] for i in order])
+        size = np.array([sizes[i] for i in order])
+        first = np.cumsum(size) - size
+        source = np.concatenate([[self.lexicon.start], target[:-1]]).astype(NUMBER)
+        source[first] = self.lexicon.start
+        keep = np.ones(len(target), bool)
+        keep[first] = False
+        chance, begin = np.zeros(len(target)), np.cumsum(load) - load
+        h = np.zeros((lanes, HIDDEN), np.float32)
+        for t in range(0, int(load[0]), SCORE_WINDOW):
+            on = int((load > t).sum())
+            step = t + np.arange(SCORE_WINDOW)[:, None]
+            real = step < load[:on]
+            at = np.where(real, begin[:on] + step, begin[:on])
+            states, h = run_gates(self.p, self.table[source[at]], h[:on], keep[at], None)
+            own = at[real]
+            chance[own], _ = log_probs(self.p, states[real], target[own], None)
+        out = np.empty(len(docs))
+        out[order] = np.add.reduceat(chance, first)
         return out
 
 
-def score_heads(docs: DataFrame, id_col: str, text_col: str, lexicon, params: dict) -> DataFrame:
-    """(id, n_tokens, n_known, base, net, others, rare): all that the head table decides.
+_HEADS = ("n_tokens BIGINT, n_known BIGINT, base DOUBLE, others BIGINT, base_other DOUBLE, "
+          "rare ARRAY<BINARY>, rare_n ARRAY<BIGINT>, ids BINARY")
 
-    `net` is the network's log10 probability with all other words as one symbol, `others`
-    the number of those, `base_other` their base score; `rare` lists words outside the head.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(params)
 
+def heads_of(docs: DataFrame, id_col: str, text_col: str, lexicon) -> DataFrame:
+    """(id, n_tokens, n_known, base, others, base_other, rare, rare_n, ids): all that the head
+    table decides.
+
+    `ids` are the numbers of the words, `others` counts those that the network does not tell
+    apart, `base_other` is their base score; `rare` lists words outside the head.
+    """
     def make():
         lx = Lexicon(*lexicon.value)
-        scorer = Scorer(shared.value, lx)
         place = {w: i for i, w in enumerate(lx.base)}.get
         base = np.array([*lx.base.values(), 0.0])
-        number = np.array([*(lx.number.get(w, lx.other) for w in lx.base), 0], np.int32)
+        number = np.array([*(lx.number.get(w, lx.other) for w in lx.base), lx.other], NUMBER)
+        names = [x.split()[0] for x in _HEADS.split(", ")]
 
         def work(batch):
-            out = {k: [] for k in ("id", "n_tokens", "n_known", "base", "net", "others",
-                                   "base_other", "rare", "rare_n")}
-            out["id"] = batch["id"]
-            waiting, held = [], 0
-
-            def flush():
-                if waiting:
-                    out["net"] += (scorer.score(waiting) / np.log(10)).tolist()
-                    waiting.clear()
-
+            out = {k: [] for k in names}
             for text in batch["text"]:
                 words = words_of(text)
                 words.append(END)
-                at = np.array([place(w, -1) for w in words], np.int32)
-                known = at >= 0
-                ids = np.where(known, number[at], lx.other).astype(np.int32)
-                chance = np.where(known, base[at], 0.0)
-                rare = Counter(words[i] for i in np.flatnonzero(~known).tolist())
-                out["n_tokens"].append(len(words))
-                out["n_known"].append(int(known.sum()))
-                out["base"].append(float(chance.sum()))
-                out["others"].append(int((ids == lx.other).sum()))
-                out["base_other"].append(float(chance[ids == lx.other].sum()))
-                out["rare"].append(list(rare))
-                out["rare_n"].append(list(rare.values()))
-                waiting.append(ids)
-                held += len(ids)
-                if held >= CHUNK:
-                    flush()
-                    held = 0
-            flush()
-            return out
+                at = np.fromiter(map(place, words, repeat(-1)), np.int32, len(words))
+                unknown = np.flatnonzero(at < 0)
+                ids, chance = number[at], base[at]
+                other = ids == lx.other
+                rare = Counter([words[i] for i in unknown.tolist()])
+                for name, value in zip(names, (
+                        len(words), len(words) - len(unknown), float(chance.sum()),
+                        int(other.sum()), float(chance[other].sum()), list(rare),
+                        list(rare.values()), ids.tobytes())):
+                    out[name].append(value)
+            return {"id": batch["id"], **out}
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, make, f"id {kind}, n_tokens BIGINT, n_known BIGINT, base DOUBLE, "
-                                   "net DOUBLE, others BIGINT, base_other DOUBLE, "
-                                   "rare ARRAY<BINARY>, rare_n ARRAY<BIGINT>")
+    return map_batches(rows, make, f"id {kind}, {_HEADS}", FEED)
 
 
-def learn(docs: DataFrame, train: Column, text_col: str, slices: Column):
-    """(lexicon, its broadcast, parameters, counts) from the rows that `train` names.
+def with_net(heads: DataFrame, lexicon: Lexicon, params: dict) -> DataFrame:
+    """`heads` with `net`, the network's log10 probability, all other words being one symbol."""
+    symbols = Symbols(lexicon.other, lexicon.start)
+    shared = heads.sparkSession.sparkContext.broadcast(params)
+    names = [c for c in heads.columns if c != "ids"]
 
-    `slices` spreads rows evenly over whole numbers; round i takes those that are i modulo
-    ROUNDS.
-    """
+    def make():
+        scorer = Scorer(shared.value, symbols)
+
+        def work(batch):
+            net, waiting, held = [], [], 0
+            for ids in batch["ids"]:
+                waiting.append(np.frombuffer(ids, NUMBER))
+                held += len(waiting[-1])
+                if held >= CHUNK:
+                    net += scorer.score(waiting).tolist()
+                    waiting, held = [], 0
+            if waiting:
+                net += scorer.score(waiting).tolist()
+            return {**{k: batch[k] for k in names}, "net": [x / LOG10 for x in net]}
+        return work
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in heads.schema
+                      if f.name != "ids")
+    return map_batches(heads, make, f"{kinds}, net DOUBLE")
+
+
+def learn(docs: DataFrame, train: Column, text_col: str):
+    """(lexicon, its broadcast as a table, counts) from the rows that `train` names."""
     spark = docs.sparkSession
-    own = docs.where(train)
-    counts = materialize(word_counts(own, text_col), "counts")
+    counts = materialize(word_counts(docs.where(train), text_col), "counts")
     size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     # The head is cut between steps of the count's logarithm: a few hundred rows decide where.
     step = F.floor(8 * F.log2("c"))
@@ -437,13 +497,16 @@ def learn(docs: DataFrame, train: Column, text_col: str, slices: Column):
     ends = counts.where(F.col("word") == F.lit(END)).first()
     if ends is not None:
         pairs[END] = ends["c"]
-    table = (list(pairs.items()), size["n"] or 0, size["v"])
-    lexicon, shared = Lexicon(*table), spark.sparkContext.broadcast(table)
+    table = (sorted(pairs.items()), size["n"] or 0, size["v"])
+    return Lexicon(*table), spark.sparkContext.broadcast(table), counts
+
+
+def train(heads: DataFrame, slices: Column, lexicon: Lexicon) -> dict:
+    """Weights trained on all of `heads`; round i takes the slices that are i modulo ROUNDS."""
     params = initial(lexicon)
     for i in range(ROUNDS):
-        params = train_round(own.where(F.pmod(slices, F.lit(ROUNDS)) == i), text_col, shared,
-                             params)
-    return lexicon, shared, params, counts
+        params = train_round(heads.where(F.pmod(slices, F.lit(ROUNDS)) == i), lexicon, params)
+    return params
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -452,18 +515,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows whose crc32 of the id is `held` modulo `folds` are held out of all learning.
     """
-    fold = remainder(id_col, folds)
-    lx, shared, params, counts = learn(docs, F.coalesce(fold != held, F.lit(False)), text_col,
-                                       F.xxhash64(F.col(id_col)))
-    heads = score_heads(docs, id_col, text_col, shared, params)
+    def learned(name):
+        return F.coalesce(remainder(name, folds) != held, F.lit(False))
+
+    lx, shared, counts = learn(docs, learned(id_col), text_col)
+    heads = heads_of(docs, id_col, text_col, shared)
     heads = materialize(heads.withColumn("row", F.monotonically_increasing_id()), "heads")
+    params = train(heads.where(learned("id")).select("id", "ids"), F.xxhash64("id"), lx)
     rare = heads.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select(
         "row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("n"))
     floor, c = F.lit(lx.floor), F.coalesce("c", F.lit(0))
     joined = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("n") * F.log10((c + SMOOTH) / floor)).alias("rare_base"))
-    rows = heads.drop("rare", "rare_n").join(joined, "row", "left")
+    rows = with_net(heads.drop("rare", "rare_n"), lx, params).join(joined, "row", "left")
     extra = F.coalesce("rare_base", F.lit(0.0))
     other = F.col("base_other") + extra - F.col("others") * F.lit(float(np.log10(lx.rest)))
     return rows.select(

@@ -86,6 +86,18 @@ def test_token_counts_equal_the_library():
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_remembered_pieces_and_units_are_bounded(monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(token_counts, "REMEMBERED", 50)
+    with open(P.path(token_counts.VOCABULARY), "rb") as f:
+        counter = token_counts.Counter(f.read(), P.PATTERN)
+    for i in range(20):  # one unit without white space, many pieces
+        counter.count("".join(f"a{i}{j}," for j in range(300)))
+        counter.count(" ".join(f"b{i}{j}" for j in range(30)))
+        assert len(counter.pieces) <= 50 and len(counter.known) <= 50 + 30
+
+
 def test_tokens_of_odd_rows(odd, none):
     rows = byte_pairs.round_trip(odd, keep_ids=True).collect()
     counts = token_counts.count_tokens(odd).collect()
@@ -190,6 +202,20 @@ def test_exact_dedup_equals_grouping_even_if_digests_collide(odd, none, digest):
     assert exact.dedup(*exact.split(none)).count() == 0
 
 
+@pytest.mark.parametrize("shard,keys", [(3, 1 << 24), (3, 8), (1 << 18, 2)])
+def test_exact_dedup_with_many_shards_and_small_filters(spark, monkeypatch, shard, keys):
+    monkeypatch.setattr(exact, "SHARD_KEYS", shard)
+    monkeypatch.setattr(exact, "FILTER_KEYS", keys)
+    rng = random.Random(shard + keys)
+    rows = [(i, None if n == 1 else f"text {n}") for i, n in enumerate(
+        rng.choice([rng.randint(0, 60), 7, 1000 + i]) for i in range(400))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    got = exact.dedup(*exact.split(docs)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == _exact_by_hand(rows)
+    kept = sorted(r["doc_id"] for r in exact.drop_copies(docs).collect())
+    assert kept == sorted(w[0] for w in _exact_by_hand(rows) if w[3])
+
+
 # ---- near dedup ---------------------------------------------------------------------------------
 
 def _near_by_hand(rows, width):
@@ -291,6 +317,13 @@ def test_flow_routes_overlaps_to_the_source_that_needs_them():
     assert mixing.min_cost_flow([4], [[0]], [100.0], 2) == [[8.0]]
 
 
+def test_texts_without_words_are_not_drawn(spark):
+    rows = [(i, None if i < 400 else "one two three", "a" if i % 2 else "b") for i in range(420)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    drawn = [r["doc_id"] for r in mixing.draw_mix(docs).collect()]
+    assert min(drawn) >= 400 and max(collections.Counter(drawn).values()) <= 2
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, "w " * 10, [["a"], ["b"], ["a", "b"], ["c"], None, []][i % 6]) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, sources ARRAY<STRING>")
@@ -336,6 +369,15 @@ def test_top_k_equals_all_pairs(spark, spread):
 
 # ---- lines --------------------------------------------------------------------------------------
 
+def test_many_lines_go_from_one_text(spark):
+    lines_ = [f"line {i}" for i in range(200_000)]
+    rows = [(0, "\n".join(["own", *lines_]), "s0"), (1, "\n".join(lines_), "s1")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    got = {r["doc_id"]: r for r in lines.clean_lines(docs, min_sites=2).collect()}
+    assert (got[0]["text"], got[0]["n_removed"]) == ("own", 200_000)
+    assert (got[1]["text"], got[1]["n_removed"]) == ("", 200_000)
+
+
 def test_lines_on_many_sites_go(spark, odd, none):
     rows = [(i, f"own {i}\nshared by all\n \nby few {i % 20 // 5}", f"site{i % 20}")
             for i in range(60)] + [(100, None, None)]
@@ -489,7 +531,7 @@ def test_every_token_of_a_batch_is_trained_on():
             return super()._window(source, target, keep, h, *real)
 
     trainer = Watched(lm.initial(lx), lx)
-    trainer.feed(texts)
+    trainer.feed([lx.numbers(t) for t in texts])
     assert seen == collections.Counter(np.concatenate([lx.numbers(t) for t in texts]).tolist())
     assert trainer.tokens == sum(seen.values())
     assert all(np.isfinite(v).all() for v in trainer.p.values())
@@ -514,9 +556,50 @@ def test_the_rounds_train_on_every_training_document(spark, monkeypatch):
         F.lit("some words "), "id").alias("text"))
     seen = []
     monkeypatch.setattr(lm, "train_round", lambda rows, *a: seen.extend(
-        r["doc_id"] for r in rows.collect()) or a[-1])
-    lm.learn(docs, F.col("doc_id") % 10 != 0, "text", F.xxhash64("doc_id"))
-    assert sorted(seen) == [i for i in range(200) if i % 10]
+        r["id"] for r in rows.collect()) or a[-1])
+    lm.score_documents(docs)
+    assert sorted(seen) == [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+
+
+def _slow_score(text, p, lx, counts):
+    """The model's log10 probability of a text, one word after the other."""
+    h, before, out = np.zeros(lm.HIDDEN), lx.start, 0.0
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    n = lm.HIDDEN
+    for word in (text or "").encode().lower().split() + [lm.END]:
+        x, g = p["embed"][before] @ p["wx"] + p["b"], h @ p["wh"]
+        z, r = sig(x[:n] + g[:n]), sig(x[n:2 * n] + g[n:2 * n])
+        new = np.tanh(x[2 * n:] + r * g[2 * n:])
+        h = new + z * (h - new)
+        i = lx.number.get(word, lx.other)
+        chance = soft(h @ p["wc"] + p["bc"])[i // lm.CLASS]
+        chance *= soft(h @ p["wo"][i // lm.CLASS] + p["bo"][i // lm.CLASS])[i % lm.CLASS]
+        if i == lx.other:
+            chance *= (counts[word] + lm.SMOOTH) / lx.floor / lx.rest
+        out, before = out + math.log10(chance), i
+    return out
+
+
+def test_scores_equal_a_slow_run(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(lm, "SHORT", 30)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 300))))
+            for i in range(150)] + [(900, None), (901, "unseen w1 unseen"), (902, "w1 w2 " * 3000)]
+    learned = {}
+    plain = lm.train
+    monkeypatch.setattr(lm, "train", lambda heads, slices, lx: learned.setdefault(
+        "p", plain(heads, slices, lx)))
+    make = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a: learned.setdefault("lx", make(*a)))
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3))
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    lx, counts = learned["lx"][0], collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            counts.update((t or "").encode().lower().split() + [lm.END])
+    for i, t in rows[:20] + rows[-3:]:
+        assert math.isclose(score[i], _slow_score(t, learned["p"], lx, counts), rel_tol=1e-4), i
 
 
 def test_scores_of_documents(spark, odd, none):
