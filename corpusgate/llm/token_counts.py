@@ -97,6 +97,8 @@ class Counter:
                 data = piece.encode()
                 n = len(data) - self.merges([self.symbols[b] for b in data])
                 if len(piece) <= 64:
+                    if len(self.pieces) >= REMEMBERED:
+                        self.pieces.clear()
                     self.pieces[piece] = n
             total += n
         return total
@@ -107,7 +109,6 @@ class Counter:
         if None in found:
             if len(known) >= REMEMBERED:
                 known.clear()
-                self.pieces.clear()
             for i, n in enumerate(found):
                 if n is None:
                     unit = units[i]
