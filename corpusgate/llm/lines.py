@@ -68,7 +68,8 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.join(gone, docs[id_col].eqNullSafe(F.col("_cg_id"))
                      & (F.xxhash64(text) == F.col("_cg_row")), "left")
     parts = F.split(text, "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("_cg_gone", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_cg_gone"))
+    kept = F.transform(places, lambda i: F.get(parts, i))
     cleaned = F.when(F.col("_cg_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
     return rows.select(
         *[cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns],
