@@ -235,10 +235,10 @@ def select(docs: DataFrame, flows: DataFrame) -> DataFrame:
     edge = rows.where(cut).withColumn("run", F.col("before") + F.coalesce(
         F.sum("size").over(inside), F.lit(0)))
     more = F.when(F.col("run") + F.col("size") / 2 < F.col("rest"), 1).otherwise(0)
-    sure = rows.where(~cut).select("id", "size", "key", (F.col("passes") + F.when(
-        F.col("whole"), 1).otherwise(0)).cast("bigint").alias("copies"))
-    return sure.unionByName(edge.select("id", "size", "key", (F.col("passes") + more).cast(
-        "bigint").alias("copies")))
+    taken = lambda extra: F.when(F.col("size") > 0, F.col("passes") + extra).otherwise(
+        0).cast("bigint").alias("copies")
+    sure = rows.where(~cut).select("id", "size", "key", taken(F.when(F.col("whole"), 1).otherwise(0)))
+    return sure.unionByName(edge.select("id", "size", "key", taken(more)))
 
 
 def plan(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text",
