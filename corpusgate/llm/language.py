@@ -242,7 +242,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         size: int = SAMPLE) -> Model:
     """Train on a sample of at most about `size` rows; the driver gets their n-gram shares."""
     sample = draw(labelled, text, label, key, size)
-    rows = sorted(_features(sample).collect(), key=lambda r: (r["place"], r["label"], bytes(r["bucket"])))
+    rows = sorted(_features(sample).toArrow().to_pylist(),
+                  key=lambda r: (r["place"], r["label"], r["bucket"]))
     labels = sorted({r["label"] for r in rows}, key=lambda s: s.encode())
     if not labels:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
