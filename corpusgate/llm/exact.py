@@ -6,7 +6,8 @@ negatives. Digests of a new batch are made distinct, sent to their shard and scr
 that the filter denies are surely new and are only grouped among the batch. Positives join
 the exact state of the snapshot, and every digest that occurs more than once has its texts
 compared byte for byte, by grouping on the text itself. Groups of copies are folded before
-every shuffle, so a group of any size is one row per task.
+every shuffle, so a group of any size is one row per task. Texts move once, and only those that
+a filter of the repeated digests, of bounded size, does not clear; all else is done on digests.
 
 Defined results: a null text is an empty text; of equal texts the row with the largest id
 stays; rows that repeat an id are one document and share its fate; among rows without an id,
@@ -24,12 +25,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgate.operators.skew import lookup_by_key
 from corpusgate.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARD_KEYS = 1 << 18       # keys of a filter shard, on average
-BROADCAST_KEYS = 1 << 24   # keys whose filters may be broadcast
+FILTER_KEYS = 1 << 24      # keys in filters that are broadcast, at most
 
 
 # ---- the filter ---------------------------------------------------------------------------------
@@ -171,11 +173,10 @@ def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 # ---- dedup --------------------------------------------------------------------------------------
 
-def repeated(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id",
-             text_col: str = "text", digest=sha256) -> DataFrame:
-    """(digest): digests that more than one row of snapshot and batch have."""
-    old = materialize(state_of(digests(snapshot, id_col, text_col, digest)), "state")
-    new = materialize(state_of(digests(batch, id_col, text_col, digest)), "batch")
+def repeated(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """(digest): digests that more than one row (digest, id) of snapshot and batch have."""
+    old, new = (materialize(state_of(rows), name) for rows, name in (
+        (snapshot, "state"), (batch, "batch")))
     shards = max(1, -(-old.count() // SHARD_KEYS))
     seen = screen(new.select("digest"), build_filters(old, shards), shards)
     positive = seen.where("maybe").select("digest")
@@ -185,19 +186,20 @@ def repeated(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id",
     return materialize(held.unionByName(within).distinct(), "repeated")
 
 
-def screened(found: DataFrame):
-    """A function from a digest column to whether `found` may hold it.
+def screened(found: DataFrame, name: str = "digest"):
+    """A function from a column to whether column `name` of `found` may hold its value.
 
-    Up to BROADCAST_KEYS digests, their filters, at most 20 MB, are broadcast, so that the
-    texts of rows that surely have no copy are not shuffled. Beyond that every row passes,
-    and the join that follows decides alone.
+    The filters of `found` are broadcast, in at most 20 MB: of more than FILTER_KEYS values,
+    the leading bits of their keys are kept, as many as give no more keys than that. Then
+    more of the texts without a copy pass; what passes is exact in any case.
     """
-    n = found.count()
-    if n > BROADCAST_KEYS:
-        return lambda _digest: F.lit(True)
-    shards = max(1, -(-n // SHARD_KEYS))
+    bits = 64 if found.count() <= FILTER_KEYS else FILTER_KEYS.bit_length() - 1
+    lead = F.shiftrightunsigned(F.xxhash64(name), 64 - bits)
+    keys = found.select(lead.alias("key")).distinct()
+    shards = max(1, -(-keys.count() // SHARD_KEYS))
+    own = keys.select(F.pmod(F.hash("key"), F.lit(shards)).cast("int").alias("shard"), "key")
     parts = {r["shard"]: (r["seed"], r["length"], r["segments"], bytes(r["cells"]))
-             for r in build_filters(found, shards).collect()}
+             for r in own.groupBy("shard").applyInPandas(_build_shard, _FILTER).collect()}
     shared = found.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("boolean")
@@ -209,20 +211,37 @@ def screened(found: DataFrame):
             hit[at] = in_filter(keys[at], *part)
         return pd.Series(hit)
 
-    return lambda digest: may_hold(F.xxhash64(digest), F.pmod(F.hash(digest), F.lit(shards)))
+    def maybe(value: Column) -> Column:
+        key = F.shiftrightunsigned(F.xxhash64(value), 64 - bits)
+        return may_hold(key, F.pmod(F.hash(key), F.lit(shards)))
 
+    return maybe
 
-def groups(docs: DataFrame, found: DataFrame, maybe, id_col: str, text_col: str,
+
+def groups(rows: DataFrame, docs: DataFrame, maybe, id_col: str, text_col: str,
            digest=sha256) -> DataFrame:
-    """(id, digest, keep_id, group_size) of every row whose digest is repeated."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"),
-                       digest(F.col(text_col)).alias("digest"))
-    own = materialize(rows.where(maybe(F.col("digest"))).join(found, "digest", "left_semi").select(
-        "id", "text", "digest"), "copies")
-    # Grouping on the text compares it byte for byte; copies fold before the shuffle.
-    equal = materialize(own.groupBy("digest", "text").agg(
+    """(id, digest, keep_id, group_size) of every row; `rows` has the digests of `docs`.
+
+    Texts that may have a copy are grouped byte for byte, folded before the shuffle, so a
+    group is one row per task. Where all texts of a digest are equal, its rows find their
+    class by the digest; those of the others by digest and text.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"),
+                        digest(F.col(text_col)).alias("digest")).where(maybe(F.col("digest")))
+    classes = materialize(texts.groupBy("digest", "text").agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "classes")
-    return own.join(equal, ["digest", "text"]).select("id", "digest", "keep_id", "group_size")
+    by_digest = classes.groupBy("digest").agg(
+        F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"),
+        F.count(F.lit(1)).alias("classes"))
+    by_digest = materialize(by_digest.where("group_size > 1"), "by_digest")
+    told = lookup_by_key(rows, by_digest, "digest", "group_size", F.col("id"), "left")
+    alike = told.where("classes is null or classes = 1").select(
+        "id", "digest", F.when(F.col("classes").isNull(), F.col("id")).otherwise(
+            F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast(
+            "bigint").alias("group_size"))
+    mixed = by_digest.where("classes > 1").select("digest")
+    unlike = texts.join(mixed, "digest", "left_semi").join(classes, ["digest", "text"])
+    return alike.unionByName(unlike.select("id", "digest", "keep_id", "group_size"))
 
 
 def split(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -231,32 +250,36 @@ def split(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame
     return docs.where(old), docs.where(~old)
 
 
+def _found(snapshot: DataFrame, batch: DataFrame, id_col: str, text_col: str, digest):
+    """(rows with digests, whether a digest may be repeated) of snapshot and batch."""
+    old, new = (materialize(digests(docs, id_col, text_col, digest), "digests")
+                for docs in (snapshot, batch))
+    return old.unionByName(new), screened(repeated(old, new))
+
+
 def dedup(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           digest=sha256) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) of every row of snapshot and batch."""
-    found = repeated(snapshot, batch, id_col, text_col, digest)
+    rows, maybe = _found(snapshot, batch, id_col, text_col, digest)
     both = snapshot.select(id_col, text_col).unionByName(batch.select(id_col, text_col))
-    copies = groups(both, found, screened(found), id_col, text_col, digest)
-    lone = digests(both, id_col, text_col, digest).join(found, "digest", "left_anti").select(
-        "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
-    return copies.unionByName(lone).select(
+    return groups(rows, both, maybe, id_col, text_col, digest).select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                digest=sha256) -> DataFrame:
     """The rows, with all their columns, that stay.
 
     Rows that the filter clears stay without a shuffle; only the others meet the list of
     rows that go.
     """
-    found = repeated(*split(docs, id_col), id_col, text_col)
-    maybe = screened(found)
-    copies = groups(docs, found, maybe, id_col, text_col)
-    gone = copies.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(
+    rows, maybe = _found(*split(docs, id_col), id_col, text_col, digest)
+    told = groups(rows, docs, maybe, id_col, text_col, digest)
+    gone = told.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(
         F.col("id").alias("_cg_id"), F.col("digest").alias("_cg_digest")).distinct()
-    own = sha256(docs[text_col])
+    own = digest(docs[text_col])
     doubtful = docs.where(maybe(own))
     stay = doubtful.join(gone, doubtful[id_col].eqNullSafe(F.col("_cg_id"))
-                         & (sha256(doubtful[text_col]) == F.col("_cg_digest")), "left_anti")
+                         & (digest(doubtful[text_col]) == F.col("_cg_digest")), "left_anti")
     return docs.where(~maybe(own)).unionByName(stay)
