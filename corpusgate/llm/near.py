@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.llm.common import components, fresh, map_batches
+from corpusgate.llm.exact import screened
 from corpusgate.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -168,9 +169,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH,
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
               width: int) -> DataFrame:
-    """(id, shingles) of the named documents."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        ids, "id", "left_semi").select("id", "text")
+    """(id, shingles) of the named documents; only texts that the filter of `ids` lets pass
+    are moved."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.where(screened(ids, "id")(F.col("id"))).join(ids, "id", "left_semi").select(
+        "id", "text")
 
     def make():
         shingler = Shingler(width)
@@ -234,8 +237,8 @@ def near_links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, widt
                similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(node, grp): components of more than one set, over the smallest id of equal sets."""
     members = materialize(_buckets(sig), "buckets")
-    sets = materialize(full_sets(docs, members.select("id").distinct(), id_col, text_col, width),
-                       "sets")
+    named = materialize(members.select("id").distinct(), "named")
+    sets = materialize(full_sets(docs, named, id_col, text_col, width), "sets")
     node = sig.schema["id"].dataType
     asked = sig.sparkSession.createDataFrame([], f"a {node.simpleString()}, b {node.simpleString()}")
     labels = asked.select(F.col("a").alias("node"), F.col("b").alias("grp"))
@@ -279,8 +282,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the document that stays of each group."""
+    """The rows, with all their columns, of the document that stays of each group.
+
+    Rows that the filter of the ids that go clears stay without a shuffle.
+    """
     gone, = fresh(docs, "gone")
     groups = near_groups(docs, id_col, text_col)
-    out = groups.where("not kept").select(F.col(id_col).alias(gone))
-    return docs.join(out, docs[id_col] == F.col(gone), "left_anti").select(*docs.columns)
+    out = materialize(groups.where("not kept").select(F.col(id_col).alias(gone)).distinct(), "gone")
+    maybe = F.coalesce(screened(out, gone)(F.col(id_col)), F.lit(False))
+    stay = docs.where(maybe).join(out, F.col(id_col) == F.col(gone), "left_anti")
+    return docs.where(~maybe).unionByName(stay.select(*docs.columns))
