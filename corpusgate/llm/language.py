@@ -42,6 +42,7 @@ REJECT = 0.001
 CALIBRATE = 5        # every fifth sampled row calibrates
 FEW = 64                # labels up to which the next two hold; with more they shrink
 REMEMBERED = 1 << 17
+SLICE = 1 << 10         # rows with all their columns held at once
 CHUNK = 1 << 17         # words whose scores are added up at once
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -284,9 +285,11 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         worker = Predictor(Model(*shared.value))
         least = worker.model.threshold
         for batch in batches:
-            found = worker.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found],
-                                        pa.bool_()))
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                found = worker.predict(part.column(at).to_pylist())
+                yield part.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found],
+                                           pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
