@@ -9,8 +9,7 @@ from corpusgate.functions import values as V
 from corpusgate.functions.base import lookup_map, text
 from corpusgate.functions.text import compact
 from corpusgate.operators import rules as R
-from corpusgate.operators.order import capped_groups
-from corpusgate.operators.skew import in_order
+from corpusgate.operators.order import capped_groups, numbered_by
 
 
 # ---- digest and ledger -----------------------------------------------------------------------
@@ -129,12 +128,19 @@ def ops_applied(changelog: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def changelog_sections(changelog: DataFrame) -> DataFrame:
-    """(section, kind, place, nid, reason): grouped in review order and numbered."""
+    """(section, kind, place, nid, reason): grouped in review order and numbered.
+
+    Entries are numbered by range partitions over (section, seq); a section's first number,
+    one row per kind, makes them places of their own.
+    """
     order = lookup_map((k, i) for i, k in enumerate(V.CHANGELOG_ORDER, start=1))
-    numbered = in_order(changelog.where(F.col("kind").isin(*V.CHANGELOG_ORDER)),
-                        "seq", ["nid", "reason"], "place", by=("kind",))
-    return numbered.select(order[F.col("kind")].alias("section"), "kind", "place", "nid",
-                           "reason")
+    rows = changelog.where(F.col("kind").isin(*V.CHANGELOG_ORDER)).withColumn(
+        "section", order[F.col("kind")])
+    numbered = numbered_by(rows, ["section", "seq", "nid", "reason"], "_at")
+    # As many rows as there are kinds.
+    first = numbered.groupBy("section").agg(F.min("_at").alias("_first"))
+    return numbered.join(F.broadcast(first), "section").select(
+        "section", "kind", (F.col("_at") - F.col("_first") + 1).alias("place"), "nid", "reason")
 
 
 def review_calls(changelog: DataFrame, module: str = "module", n: int = 40) -> DataFrame:

@@ -20,6 +20,7 @@ from corpusgate.session import materialize
 TOP_TERMS = 6
 MIN_IDF = 1.5
 MIN_CARDS, MAX_CARDS, MIN_DECKS = 2, 60, 2
+DEPTH, WIDTH = 4, 1 << 17     # hashes and cells of a frequency sketch
 
 
 def fingerprints(notes: DataFrame, abbreviations=V.ABBREVIATIONS,
@@ -53,23 +54,85 @@ def with_idf(frequency: DataFrame, prints: DataFrame) -> DataFrame:
     return frequency.withColumn("idf", F.log(total / (1 + F.col("df"))))
 
 
-def rarest_terms(prints: DataFrame, k: int = TOP_TERMS, min_idf: float = MIN_IDF) -> DataFrame:
+# ---- sketches -----------------------------------------------------------------------------------
+
+def frequency_sketch(rows: DataFrame, column: str = "term", depth: int = DEPTH,
+                     width: int = WIDTH) -> DataFrame:
+    """(deck, line, cell, n): a Count-Min sketch of a column per deck, as a table.
+
+    Each of `depth` hashes counts a row in one of `width` cells, so a deck has at most
+    depth * width rows, whatever the number of terms, and tasks send no more than that.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("line"), _cell(column, i, width).alias("cell"))
+                      for i in range(depth)])
+    return rows.select("deck", F.explode(cells).alias("c")).groupBy("deck", "c.line", "c.cell").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _cell(column: str, line: int, width: int):
+    return F.pmod(F.xxhash64(F.lit(line), F.col(column)), F.lit(width)).cast("int")
+
+
+def merge_sketches(*sketches: DataFrame) -> DataFrame:
+    """The sketch of all rows that several sketches have counted, of snapshots for instance."""
+    rows = sketches[0]
+    for other in sketches[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("deck", "line", "cell").agg(F.sum("n").alias("n"))
+
+
+def with_estimates(rows: DataFrame, sketch: DataFrame, column: str, n_rows: str,
+                   n_decks: str | None = None, depth: int = DEPTH,
+                   width: int = WIDTH) -> DataFrame:
+    """`rows` with the estimated number of rows, and of decks, that hold their value.
+
+    An estimate is never below the truth; with probability 1 - exp(-depth) it is above it by
+    at most e / width of all rows counted. Looking up takes no shuffle: the cells are `depth`
+    dense arrays of `width` numbers, 8 MB at most with the defaults.
+    """
+    whole = sketch.groupBy("line", "cell").agg(F.sum("n").alias("n"),
+                                               F.countDistinct("deck").alias("decks"))
+    places = rows.sparkSession.range(width).select(F.col("id").cast("int").alias("cell"))
+    every = places.withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    filled = every.join(whole, ["line", "cell"], "left").groupBy("line").agg(
+        F.sort_array(F.collect_list(F.struct("cell", F.coalesce("n", F.lit(0)).alias("n"),
+                                             F.coalesce("decks", F.lit(0)).alias("decks")))).alias("x"))
+    dense = materialize(filled.select(
+        "line", F.transform("x", lambda c: c["n"]).alias("n"),
+        F.transform("x", lambda c: c["decks"]).alias("decks")), "sketch")
+
+    def least(value: str):
+        return F.least(*[F.get(dense.where(F.col("line") == i).select(value).scalar(),
+                               _cell(column, i, width)) for i in range(depth)])
+
+    out = rows.withColumn(n_rows, least("n"))
+    return out.withColumn(n_decks, least("decks")) if n_decks else out
+
+
+def rarest_terms(prints: DataFrame, k: int = TOP_TERMS, min_idf: float = MIN_IDF,
+                 approx: bool = False) -> DataFrame:
     """(deck, nid, term, df, idf): the k rarest terms of each note with idf > min_idf.
 
     Terms at or below `min_idf` always rank behind every term that is kept, so leaving
     them out before ranking changes nothing. Rare ones stay: they fill the k places.
+    With `approx`, frequencies are those of a sketch and no term is shuffled.
     """
     rows = term_rows(prints)
-    rare = materialize(with_idf(document_frequency(rows), prints)
-                       .where(F.col("idf") > min_idf), "rare-terms")
-    scored = lookup_by_key(rows, rare, "term", "df", F.col("nid"))
+    if approx:
+        scored = with_idf(with_estimates(rows, frequency_sketch(rows), "term", "df"), prints)
+        scored = scored.where(F.col("idf") > min_idf)
+    else:
+        rare = materialize(with_idf(document_frequency(rows), prints)
+                           .where(F.col("idf") > min_idf), "rare-terms")
+        scored = lookup_by_key(rows, rare, "term", "df", F.col("nid"))
     rank = Window.partitionBy("nid").orderBy(F.col("df"), F.col("term"))
     return scored.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k).drop("_r")
 
 
-def topic_rows(prints: DataFrame, k: int = TOP_TERMS, min_idf: float = MIN_IDF) -> DataFrame:
+def topic_rows(prints: DataFrame, k: int = TOP_TERMS, min_idf: float = MIN_IDF,
+               approx: bool = False) -> DataFrame:
     """(topic, deck, nid): rare terms, and numbers bound to a unit as "#number"."""
-    words = rarest_terms(prints, k, min_idf).select(F.col("term").alias("topic"), "deck", "nid")
+    words = rarest_terms(prints, k, min_idf, approx).select(F.col("term").alias("topic"), "deck", "nid")
     numbers = (prints.select("deck", "nid", F.explode("nums").alias("n"))
                .where(~F.col("n").rlike(LEVEL_ONLY))
                .select(F.concat(F.lit("#"), "n").alias("topic"), "deck", "nid"))
@@ -89,12 +152,33 @@ def topic_sizes(rows: DataFrame, min_decks: int = MIN_DECKS, min_cards: int = MI
                    & F.col("n_cards").between(min_cards, max_cards)))
 
 
-def topics(notes: DataFrame, prints: DataFrame | None = None, **limits) -> DataFrame:
-    """(topic, n_cards, n_decks, decks, cards): full worklist, at most 60 cards a topic."""
+def sized_members(rows: DataFrame, min_decks: int = MIN_DECKS, min_cards: int = MIN_CARDS,
+                  max_cards: int = MAX_CARDS, approx: bool = False) -> DataFrame:
+    """(topic, deck, nid, n_cards, n_decks): the rows of topics worth reading.
+
+    With `approx`, sizes are those of a sketch: rows decide where they are, and hot topics
+    are dropped before anything is shuffled.
+    """
+    limits = {"min_decks": min_decks, "min_cards": min_cards, "max_cards": max_cards}
+    if not approx:
+        return rows.join(topic_sizes(rows, **limits), "topic")
+    sized = with_estimates(rows, frequency_sketch(rows, "topic"), "topic", "n_cards", "n_decks")
+    return sized.where((F.col("n_decks") >= min_decks)
+                       & F.col("n_cards").between(min_cards, max_cards))
+
+
+def topics(notes: DataFrame, prints: DataFrame | None = None, approx: bool = False,
+           **limits) -> DataFrame:
+    """(topic, n_cards, n_decks, decks, cards): full worklist, at most 60 cards a topic.
+
+    The text is taken of notes that are members only. With `approx`, frequencies and sizes
+    are estimates from above (see `with_estimates`); the exact form is the default.
+    """
     prints = fingerprints(notes) if prints is None else prints
-    rows = materialize(topic_rows(prints), "topic-rows")
-    members = rows.join(topic_sizes(rows, **limits), "topic")
-    cards = members.join(notes.select("nid", "text"), "nid")
+    rows = materialize(topic_rows(prints, approx=approx), "topic-rows")
+    members = materialize(sized_members(rows, approx=approx, **limits), "members")
+    texts = notes.select("nid", "text").join(members.select("nid").distinct(), "nid", "left_semi")
+    cards = members.join(texts, "nid")
     entry = F.struct("deck", "nid", "text")
     return (cards.groupBy("topic", "n_cards", "n_decks")
             .agg(F.sort_array(F.collect_set("deck")).alias("decks"),

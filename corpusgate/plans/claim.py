@@ -25,7 +25,7 @@ _CLAIMS = """claims AS (SELECT l_returnflag AS deck, l_orderkey AS nid,
   l_discount > 0.08 AS xref FROM lineitem)"""
 
 
-def item_claims(spark, d):
+def item_claims(spark, d, *more):
     part, supp, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     tax = F.round(F.col("l_tax") * 100)
     third = F.pmod(ln, F.lit(3))
@@ -40,7 +40,7 @@ def item_claims(spark, d):
         tax.cast("int").cast("string").alias("value"), F.lit("%").alias("unit"),
         F.struct(tax.alias("lo"), (tax + F.pmod(ln, F.lit(2))).alias("hi")).alias("span"),
         F.when(ln == 7, "categorical").otherwise("numeric").alias("kind"),
-        (F.col("l_discount") > 0.08).alias("xref"))
+        (F.col("l_discount") > 0.08).alias("xref"), *more)
 
 
 _GROUPS = f"""{_CLAIMS}, g AS (SELECT kind, subject, attribute, count(*)::BIGINT AS n_claims,

@@ -101,6 +101,26 @@ def read_sources(spark, d):
         F.sum(F.length(body) - 2 * marks).cast("bigint").alias("chars"))
 
 
+@query("module_documents", """
+SELECT 'm' || (doc_id % 8) AS module, count(*)::BIGINT AS parts,
+  sum(length(text) + length(doc_id::VARCHAR) + 15)::BIGINT AS chars,
+  sum(octet_length(encode(text)) + length(doc_id::VARCHAR) + 15)::BIGINT AS bytes,
+  sum(ceil((length(text) + length(doc_id::VARCHAR) + 15) / 1000))::BIGINT AS pieces
+FROM documents GROUP BY 1""")
+def module_documents(spark, d):
+    """Documents as parts of eight modules, written in pieces of 1,000 characters and read back."""
+    path = scratch_path(spark, "modules")
+    n = F.col("doc_id")
+    name = F.concat(F.lit("d"), n.cast("string"), F.lit(".txt"))
+    parts = table(spark, d, "documents").select(
+        F.concat(F.lit("m"), F.pmod(n, F.lit(8))).alias("module"), n.cast("int").alias("ord"),
+        F.concat(F.lit("\n--- "), name, F.lit(" ---\n"), "text").alias("part"))
+    X.write_documents(X.content_pieces(parts, 1000), path)
+    pieces = X.read_documents(spark, path)
+    counts = pieces.groupBy("module").agg(F.count(F.lit(1)).alias("pieces"))
+    return X.document_sizes(pieces).join(counts, "module")
+
+
 @query("read_changeset", """
 SELECT op, count(*)::BIGINT AS n FROM (SELECT 'rewrite' AS op FROM labels WHERE quality = 1
   UNION ALL SELECT 'edit' FROM labels WHERE quality = 0) GROUP BY op""")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusgate.plans.base import query, table
 from corpusgate.plans.claim import _CLAIMS, item_claims
-from corpusgate.session import scratch_path
+from corpusgate.session import make_folder, scratch_path
 from corpusgate.streaming import streams as X
+from corpusgate.streaming.merge_table import MergeTable
 
 _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -82,59 +83,52 @@ def session_stream(spark, d):
     return finished(spark, shown, "sessions")
 
 
-@query("collision_stream", f"""WITH {_CLAIMS}, v AS (SELECT subject, attribute, count(DISTINCT value)
-  ::BIGINT AS n FROM claims GROUP BY ALL)
-SELECT subject, attribute, n - 1 AS further_values FROM v WHERE n >= 2""")
+KEEP_DAYS = 200
+
+
+@query("collision_stream", f"""WITH {_CLAIMS.replace(' FROM lineitem', ', l_shipdate AS day FROM lineitem')},
+c AS (SELECT DISTINCT subject, attribute, value, day::DATE AS day FROM claims),
+alive AS (SELECT c.*, p.value AS other, p.value = c.value AS same FROM c LEFT JOIN c p
+  ON p.subject = c.subject AND p.attribute = c.attribute AND p.day + {KEEP_DAYS} > c.day
+  AND (p.day < c.day OR (p.day = c.day AND p.value < c.value)))
+SELECT subject, attribute, value, epoch_ms(day::TIMESTAMP) AS at_ms,
+  string_agg(DISTINCT other, ',' ORDER BY other) AS others
+FROM alive GROUP BY ALL HAVING count(*) FILTER (WHERE same) = 0 AND count(other) > 0""")
 def collision_stream(spark, d):
+    """Claims by ship date, in files of three years; the stream stops after each and restarts."""
     path = scratch_path(spark, "claims")
-    saved = item_claims(spark, d).select(
-        "subject", "attribute", "value", F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
-    saved.write.parquet(path)
-    stream = X.intake_stream(spark, path, saved.schema)
-    found = finished(spark, X.collision_stream(stream, "ts"), "collisions")
-    return found.groupBy("subject", "attribute").agg(F.count(F.lit(1)).alias("further_values"))
+    saved = item_claims(spark, d, F.to_timestamp("l_shipdate").alias("ts")).select(
+        "subject", "attribute", "value", "ts", F.floor(F.year("ts") / 3).alias("_era"))
+    kind = "subject STRING, attribute STRING, value STRING, ts TIMESTAMP"
+    make_folder(spark, f"{path}/in")
+    stream = X.collision_stream(X.intake_stream(spark, f"{path}/in", kind), "ts", "1 day",
+                                KEEP_DAYS * 86_400_000)
+    for era in sorted(r[0] for r in saved.select("_era").distinct().collect()):
+        saved.where(F.col("_era") == era).drop("_era").write.mode("append").parquet(f"{path}/in")
+        X.run_once(stream, f"{path}/out", f"{path}/checkpoint", keyed=True)
+    found = spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return found.select("subject", "attribute", "value", F.unix_millis("at").alias("at_ms"),
+                        F.array_join("others", ",").alias("others"))
 
 
 @query("registry_stream", """
 SELECT user_id AS name, event_type AS status FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) = 1""")
 def registry_stream(spark, d):
-    """Latest state per user from the event log, upserted into a registry table."""
+    """Latest state per user from the event log, upserted into a table of base and deltas."""
     path = scratch_path(spark, "registry")
     events = table(spark, d, "events").select(
         F.col("user_id").alias("name"), "ts", F.col("event_type").alias("status"))
-    kind = f"name BIGINT, ts {events.schema['ts'].dataType.simpleString()}, status STRING"
-    # Six files whose order has nothing to do with time, one per micro-batch.
-    events.repartition(6, F.xxhash64("name", "ts")).write.parquet(f"{path}/events")
-
-    def version() -> int:
-        """The last version that was written completely: what a restart finds, too."""
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
-            spark._jsc.hadoopConfiguration())
-        n = 0
-        while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n + 1}/_SUCCESS")):
-            n += 1
-        return n
-
-    def read():
-        return spark.read.schema(kind).parquet(f"{path}/v{version()}")
-
-    def write(rows):
-        rows.write.mode("overwrite").parquet(f"{path}/v{version() + 1}")
-
-    spark.createDataFrame([], kind).write.parquet(f"{path}/v0")
-    for at_most in (2, None):  # stopped after two batches, then started again
+    registry = MergeTable(spark, f"{path}/registry", events.schema, buckets=8, every=4)
+    # Six files whose order has nothing to do with time, one per micro-batch; the stream stops
+    # after two of them and is started again.
+    late = F.pmod(F.xxhash64("ts", "name"), F.lit(3)) == 0
+    for files, part in ((2, late), (4, ~late)):
+        events.where(part).repartition(files, F.xxhash64("name", "ts")).write.mode("append").parquet(
+            f"{path}/events")
         stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
                   .parquet(f"{path}/events"))
-        writer = stream.writeStream.foreachBatch(X.registry_upsert(read, write)).option(
-            "checkpointLocation", f"{path}/checkpoint")
-        if at_most is None:
-            run = writer.trigger(availableNow=True).start()
-        else:
-            run = writer.start()
-            while version() < at_most and run.isActive:
-                run.awaitTermination(1)
-            run.stop()
-        if at_most is None:
-            run.awaitTermination()
-    return read().select("name", "status")
+        stream.writeStream.foreachBatch(registry.upsert).option(
+            "checkpointLocation", f"{path}/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
+    return registry.read().select("name", "status")

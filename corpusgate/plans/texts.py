@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgate.functions import facts as A
+from corpusgate.functions import sql as Q
 from corpusgate.functions import subjects as S
 from corpusgate.functions import text as T
 from corpusgate.functions import values as V
@@ -50,6 +51,34 @@ def _compact_sql(expr: str) -> str:
     return sql_strip(out)
 
 
+@query("sql_plain_text", _digest_sql("pages", "page_id", sql_plain("html")))
+def sql_plain_text(spark, d):
+    """Written in SQL only, with the registered function."""
+    Q.register(spark)
+    return spark.sql("""SELECT page_id, length(v) :: BIGINT AS n_chars, md5(v) AS digest
+        FROM (SELECT page_id, plain_text(html) AS v FROM {pages})""", pages=table(spark, d, "pages"))
+
+
+@query("sql_checksums", f"""
+SELECT doc_id, ('0x' || substr(sha1({sql_sort_field('text')}), 1, 8))::BIGINT AS csum,
+  md5({sql_sort_field('text')}) AS digest, {sub('text', T.ENTITY)} LIKE '%;%' AS semicolon FROM documents""")
+def sql_checksums(spark, d):
+    Q.register(spark)
+    return spark.sql("""SELECT doc_id, checksum32(text) AS csum, md5(sort_field(text)) AS digest,
+        has_semicolon(text) AS semicolon FROM {docs}""", docs=table(spark, d, "documents"))
+
+
+@query("sql_same_names", """
+SELECT c_custkey, s_suppkey FROM customer JOIN supplier
+  ON lower(split_part(c_name, '#', 2)) = lower(split_part(s_name, '#', 2))""")
+def sql_same_names(spark, d):
+    """Names that differ in case only; the comparison is an equi-join key."""
+    Q.register(spark)
+    return spark.sql("""SELECT c_custkey, s_suppkey FROM {c} JOIN {s}
+        ON same_name(concat('No ', split_part(c_name, '#', 2)), concat('nO ', split_part(s_name, '#', 2)))""",
+                     c=table(spark, d, "customer"), s=table(spark, d, "supplier"))
+
+
 @query("compact_text", _digest_sql("pages", "page_id", _compact_sql("html")))
 def compact_text(spark, d):
     return _digest(wide_table(spark, d, "pages"), "page_id", T.compact("html"))

@@ -64,3 +64,39 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, path)
+    fs.mkdirs(at)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    fs, at = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
+
+
+def sweep(spark: SparkSession, keep_hours: float = 24.0) -> list[str]:
+    """Remove scratch tables of ended jobs from the shared folder; gives their names."""
+    fs, at = _folder(spark, shared_dir(spark))
+    now, gone = spark._jvm.java.lang.System.currentTimeMillis(), []
+    for s in fs.listStatus(at) if fs.exists(at) else []:
+        name = s.getPath().getName()
+        if name.startswith("corpusgate-") and now - s.getModificationTime() >= keep_hours * 3.6e6:
+            fs.delete(s.getPath(), True)
+            gone.append(name)
+    return sorted(gone)

@@ -10,6 +10,8 @@ from corpusgate.functions import values as V
 from corpusgate.functions.base import is_blank, strip, text
 from corpusgate.functions.text import natural_key
 
+PIECE = 1 << 20     # characters of a piece of a module's document
+
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, value): lines with their 1-based number, without reading a file whole.
@@ -60,8 +62,48 @@ def read_sources(spark: SparkSession, path: str, module_depth: int = 2) -> DataF
         F.lit("\n--- "), "name", F.lit(" ---\n"), "value").alias("part"))
 
 
+def content_pieces(parts: DataFrame, size: int = PIECE) -> DataFrame:
+    """(module, ord, piece, text): the parts of a module in pieces of at most `size` characters.
+
+    In the order of (ord, piece) the pieces of a module, put end to end, are its document. No
+    row holds more than a piece, so a module may be larger than any value.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.length("part") / F.lit(size)).cast("int"))
+    cut = parts.select("module", "ord", "part", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
+    return cut.select("module", "ord", "piece", F.substring(
+        "part", F.col("piece") * size + 1, F.lit(size)).alias("text"))
+
+
+def write_documents(pieces: DataFrame, path: str) -> None:
+    """Pieces in order below one folder per module; read them with `read_documents`.
+
+    Rows are dealt by range of (module, ord, piece), so a large module is many files.
+    """
+    keys = ["module", "ord", "piece"]
+    pieces.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(
+        "overwrite").partitionBy("module").parquet(path)
+
+
+def read_documents(spark: SparkSession, path: str, module: str | None = None) -> DataFrame:
+    """(module, ord, piece, text) as written; with `module` only its folder is read."""
+    rows = spark.read.schema("ord INT, piece INT, text STRING, module STRING").parquet(path)
+    return (rows if module is None else rows.where(F.col("module") == module)).select(
+        "module", "ord", "piece", "text")
+
+
+def document_sizes(pieces: DataFrame) -> DataFrame:
+    """(module, parts, chars, bytes) of module documents, from their pieces."""
+    per = pieces.groupBy("module", "ord").agg(
+        F.sum(F.length("text")).alias("c"), F.sum(F.octet_length("text")).alias("b"))
+    return per.groupBy("module").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("chars"),
+                                     F.sum("b").alias("bytes"))
+
+
 def content_documents(parts: DataFrame) -> DataFrame:
-    """(module, content): the parts of a module as one document."""
+    """(module, content): the parts of a module as one value, for modules of the size of a page.
+
+    `content_pieces` has no such bound.
+    """
     return parts.groupBy("module").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
         F.struct("ord", "part"))), lambda p: p["part"]), "").alias("content"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -70,26 +70,46 @@ def activity_sessions(events: DataFrame, ts: str, by: list[str], gap: str = "180
         *by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-class SecondValue(StatefulProcessor):
-    """Keeps the first value of a (subject, attribute) and reports every further one."""
+class ValueSet(StatefulProcessor):
+    """Keeps the values of a (subject, attribute), each until `keep_ms` after its last sighting.
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    A value that is not held is reported with the others that are held at its time. Timers in
+    event time remove what has run out, so the state holds what may still collide and no more.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "value STRING", self.ttl_ms)
+        self.handle = handle
+        self.values = handle.getMapState("values", "value STRING", "until BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.first.get()[0] if self.first.exists() else None
-        out = []
+        held = {k[0]: v[0] for k, v in self.values.iterator()}
+        seen, out = set(), []
         for pdf in rows:
-            for value in pdf["value"]:
-                if held is None:
-                    held = value
-                    self.first.update((value,))
-                elif value != held:
-                    out.append((key[0], key[1], held, value))
-        yield pd.DataFrame(out, columns=["subject", "attribute", "first_value", "value"])
+            pdf = pdf.sort_values(["at", "value"], kind="stable")
+            value, at = pdf["value"].to_numpy(), pdf["at"].to_numpy()
+            # Repeats in a row count once: only where the value changes is there a decision.
+            first = [0, *(i for i in range(1, len(value)) if value[i] != value[i - 1])]
+            for i, j in zip(first, [*first[1:], len(value)]):
+                v, start, end = value[i], int(at[i]), int(at[j - 1])
+                if held.get(v, start) <= start:
+                    others = sorted(o for o, until in held.items() if o != v and until > start)
+                    if others:
+                        out.append((key[0], key[1], v, pd.Timestamp(start, unit="ms"), others))
+                held[v] = max(held.get(v, 0), end + self.keep_ms)
+                seen.add(v)
+        for v in sorted(seen):
+            self.values.updateValue((v,), (held[v],))
+            self.handle.registerTimer(held[v])
+        yield pd.DataFrame(out, columns=["subject", "attribute", "value", "at", "others"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for k in [k for k, v in self.values.iterator() if v[0] <= now]:
+            self.values.removeKey(k)
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -98,47 +118,43 @@ class SecondValue(StatefulProcessor):
 # Python workers get this module's functions by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-COLLISION = "subject STRING, attribute STRING, first_value STRING, value STRING"
+COLLISION = ("subject STRING, attribute STRING, value STRING, at TIMESTAMP, "
+             "others ARRAY<STRING>")
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def collision_stream(claims: DataFrame, ts: str, delay: str = "1 hour",
-                     ttl_ms: int | None = None) -> DataFrame:
-    """(subject, attribute, first_value, value): each further distinct value of a claim.
+                     keep_ms: int = 30 * 86_400_000) -> DataFrame:
+    """(subject, attribute, value, at, others): each value that meets other values of its claim.
 
-    Repeats of a value are dropped first, under a key that includes the value; what one
-    (subject, attribute) receives afterwards are its distinct values only, however often
-    they were claimed. State expires with the watermark and the time to live.
+    A value is held until `keep_ms` after its last sighting, and reported again if it comes
+    back later; `others` are the values held at its time. Rows later than the watermark are
+    dropped. Claims lacking a part are left out. Start it with `run_once(..., keyed=True)`.
     """
-    # The stateful step needs the RocksDB store, whatever the session was started with.
-    claims.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
-                                 DEFAULTS["spark.sql.streaming.stateStore.providerClass"])
-    distinct = (claims.withWatermark(ts, delay)
-                .dropDuplicatesWithinWatermark(["subject", "attribute", "value"])
-                .select("subject", "attribute", "value"))
-    mode = "ProcessingTime" if ttl_ms else "None"
-    return distinct.groupBy("subject", "attribute").transformWithStateInPandas(
-        SecondValue(ttl_ms), COLLISION, "append", mode)
-
-
-def registry_upsert(read: Callable[[], DataFrame], write: Callable[[DataFrame], None],
-                    order: str = "ts", key: str = "name") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the newest row per key ever seen stays in the registry.
-
-    The registry keeps `order`, so a late batch cannot overwrite a newer row; of rows with
-    one time the largest values win, whatever batch they came in, so replays change nothing.
-    `read` and `write` name the registry table.
+    rows = claims.withWatermark(ts, delay).where(
+        F.col("subject").isNotNull() & F.col("attribute").isNotNull() & F.col("value").isNotNull()
+        & F.col(ts).isNotNull()).select("subject", "attribute", "value", ts,
+                                        F.unix_millis(ts).alias("at"))
+    return rows.groupBy("subject", "attribute").transformWithStateInPandas(
+        ValueSet(keep_ms), COLLISION, "append", "EventTime")
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
+             keyed: bool = False) -> None:
+    """Process everything that is there now into a Parquet folder, then stop.
+
+    `keyed` state of several columns needs the RocksDB store; the session's own setting is put
+    back when the query has ended.
     """
-    def apply(batch: DataFrame, _epoch: int) -> None:
-        values = [c for c in batch.columns if c not in (key, order)]
-        both = read().select(key, order, *values).unionByName(batch.select(key, order, *values))
-        newest = both.groupBy(key).agg(F.max(F.struct(order, *values)).alias("v"))
-        write(newest.select(key, "v.*"))
-    return apply
-
-
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything that is there now into a Parquet folder, then stop."""
-    query = (stream.writeStream.format("parquet").outputMode(mode)
-             .option("path", path).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE, None)
+    if keyed:
+        conf.set(STORE, DEFAULTS[STORE])
+    try:
+        query = (stream.writeStream.format("parquet").outputMode(mode)
+                 .option("path", path).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        if keyed:
+            conf.unset(STORE) if before is None else conf.set(STORE, before)
