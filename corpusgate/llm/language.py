@@ -43,7 +43,7 @@ CALIBRATE = 5        # every fifth sampled row calibrates
 FEW = 64                # labels up to which the next two hold; with more they shrink
 REMEMBERED = 1 << 17
 SLICE = 1 << 10         # rows with all their columns held at once
-CHUNK = 1 << 17         # words whose scores are added up at once
+CHUNK = 1 << 15         # words whose scores are added up at once
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
