@@ -68,6 +68,33 @@ def next_action(phases: DataFrame) -> DataFrame:
                         F.col("b.name").alias("name"))
 
 
+def decide(modules: DataFrame, queue: DataFrame, reports: DataFrame | None,
+           progress: DataFrame, files: DataFrame, place: str = "place") -> DataFrame:
+    """One row (action, name): what to do next, in the order of the lists.
+
+    `modules` and `queue` have their order in `place`. Builds are resumed and begun in the
+    order of the queue, modules verified and patched in the order of the registry; AWAIT and
+    IDLE name no module. `reports` is None when the reports cannot be read: while any module
+    is built and not verified, what to do then depends on them, so the answer is BLOCKED.
+    """
+    built = modules.agg(F.count_if(F.col("status") == "built-unverified").alias("n")).scalar()
+    known = reports if reports is not None else modules.select(
+        F.col("name").alias("module"), F.lit(None).cast("string").alias("report")).where("false")
+    phases = next_phase(modules.drop(place), queue.drop(place), known, progress, files)
+    orders = modules.select(F.col("name").alias("_n"), F.lit(False).alias("_q"), place).unionByName(
+        queue.select(F.col("name").alias("_n"), F.lit(True).alias("_q"), place))
+    of_queue = F.col("action").isin("RESUME", "BUILD", "BLOCKED")
+    placed = phases.join(orders, (F.col("name") == F.col("_n")) & (of_queue == F.col("_q")))
+    first = placed.agg(F.min(F.struct("priority", place, "name", "action")).alias("b"))
+    action = F.coalesce("b.action", F.lit("IDLE"))
+    if reports is None:
+        action = F.when(built > 0, F.lit("BLOCKED")).otherwise(action)
+    name = F.when(~action.isin("AWAIT", "IDLE"), F.col("b.name"))
+    if reports is None:
+        name = F.when(built > 0, F.lit(None)).otherwise(name)
+    return first.select(action.alias("action"), name.alias("name"))
+
+
 def deck_review(modules: DataFrame, reports: DataFrame, calls: DataFrame,
                 outputs: DataFrame) -> DataFrame:
     """Registry rows with their newest report and open judgements, then untracked outputs."""

@@ -221,6 +221,37 @@ def validate_registry(modules: DataFrame) -> DataFrame:
     return names.unionByName(bad)
 
 
+# Fixed: the keys of a registry file and what each must be.
+STATE_LISTS = ("modules", "pending_modules", "session_log")
+STATE_OBJECTS = ("paths",)
+STATE_COUNTS = ("run_count",)
+
+
+def validate_state(states: DataFrame) -> DataFrame:
+    """(path, problem, item): registry files (path, text) whose keys have the wrong type.
+
+    A key that is not there is right. A file that is no JSON object has that one problem.
+    """
+    read = states.select("path", F.try_parse_json("text").alias("v"))
+    kind = F.schema_of_variant("v")
+
+    def of(key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant"))
+
+    def problem(says: str, key: str, wrong: Column) -> Column:
+        return F.when(wrong, F.struct(F.lit(says).alias("problem"), F.lit(key).alias("item")))
+
+    count = F.try_variant_get("v", "$.run_count", "decimal(38,0)")
+    found = F.array_compact(F.array(
+        *[problem("not a list", k, ~of(k).startswith("ARRAY")) for k in STATE_LISTS],
+        *[problem("not an object", k, ~of(k).startswith("OBJECT")) for k in STATE_OBJECTS],
+        *[problem("not a count", k, (of(k) != "BIGINT") | (count < 0)) for k in STATE_COUNTS]))
+    whole = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    every = F.when(whole, found).otherwise(F.array(F.struct(
+        F.lit("not an object").alias("problem"), F.lit("").alias("item"))))
+    return read.select("path", F.inline(every))
+
+
 def attribute_head(attribute="attribute") -> Column:
     return F.substring_index(attribute, "[", 1)
 

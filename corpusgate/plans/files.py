@@ -138,6 +138,26 @@ def read_changeset(spark, d):
     return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("read_meta", """
+WITH m AS (SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL)
+SELECT doc_id, kind, place, point FROM (
+  SELECT doc_id, 'outstanding' AS kind, unnest([1, 2])::BIGINT AS place,
+    unnest(['check ' || lang, 'ask ' || doc_id]) AS point FROM m WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'gaps_filled', 1, 'gap ' || doc_id FROM m WHERE doc_id % 3 = 1)""")
+def read_meta(spark, d):
+    """One meta object per document, some without one key or the other."""
+    path = scratch_path(spark, "meta")
+    n, third = F.col("doc_id"), F.pmod(F.col("doc_id"), F.lit(3))
+    table(spark, d, "documents").where("lang IS NOT NULL").select(
+        n.cast("string").alias("summary"),
+        F.when(third == 0, F.array(F.concat(F.lit("check "), "lang"), F.concat(F.lit("ask "), n)))
+        .alias("outstanding"),
+        F.when(third == 1, F.array(F.concat(F.lit("gap "), n))).alias("gaps_filled")).write.json(path)
+    meta = X.read_meta(spark, path, multi_line=False).withColumn("path", F.col("summary"))
+    return X.open_points(meta).select(F.col("path").cast("bigint").alias("doc_id"), "kind",
+                                      F.col("place").cast("bigint").alias("place"), "point")
+
+
 @query("file_inventory", """
 SELECT sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256, count(*)::BIGINT AS lines
 FROM customer GROUP BY c_nationkey""")

@@ -8,6 +8,7 @@ from corpusgate.functions import values as V
 from corpusgate.operators import order as O
 from corpusgate.operators import registry as M
 from corpusgate.operators import report as P
+from corpusgate.operators import rules as R
 from corpusgate.plans.base import query, table
 from corpusgate.plans.joins import _REPORTS, report_files
 
@@ -96,6 +97,56 @@ def next_action(spark, d):
     return M.next_action(next_phase(spark, d))
 
 
+_DECIDE = f"""WITH {_PHASES}, placed AS (
+  SELECT b.*, p.action FROM phases p JOIN (SELECT name, abs(pr) AS priority FROM b) b USING (name)),
+first AS (SELECT action, name FROM placed ORDER BY priority, CASE WHEN priority IN (1, 4)
+  THEN -substr(name, 2)::BIGINT ELSE substr(name, 2)::BIGINT END, name LIMIT 1)"""
+
+
+def _decided(spark, d, reports):
+    """The queue runs backwards, the registry forwards."""
+    queue, progress, files = work_tables(spark, d)
+    number = F.substring("name", 2, 20).cast("bigint")
+    return M.decide(modules(spark, d).withColumn("place", number), queue.withColumn("place", -number),
+                    reports, progress, files)
+
+
+@query("decide_in_order", f"""{_DECIDE}
+SELECT action, CASE WHEN action <> 'AWAIT' THEN name END AS name FROM first""")
+def decide_in_order(spark, d):
+    return _decided(spark, d, report_files(spark, d))
+
+
+@query("decide_without_reports", f"""WITH {_MODULES_SQL}
+SELECT CASE WHEN count(*) FILTER (WHERE status = 'built-unverified') > 0 THEN 'BLOCKED' END AS action,
+  NULL::VARCHAR AS name FROM modules""")
+def decide_without_reports(spark, d):
+    return _decided(spark, d, None)
+
+
+@query("validate_state", """
+SELECT 'c' || c_custkey AS path, problem, item FROM (
+  SELECT c_custkey, unnest(CASE c_custkey % 6
+    WHEN 1 THEN ['not a list'] WHEN 2 THEN ['not a count'] WHEN 3 THEN ['not an object']
+    WHEN 4 THEN ['not a list', 'not an object', 'not a count'] WHEN 5 THEN ['not a count'] ELSE [] END) AS problem,
+  unnest(CASE c_custkey % 6 WHEN 1 THEN ['modules'] WHEN 2 THEN ['run_count'] WHEN 3 THEN ['']
+    WHEN 4 THEN ['session_log', 'paths', 'run_count'] WHEN 5 THEN ['run_count'] ELSE [] END) AS item
+  FROM customer)""")
+def validate_state(spark, d):
+    """One registry file per customer: right ones, and ones with each kind of fault."""
+    key = F.col("c_custkey")
+    part, name = F.pmod(key, F.lit(6)), F.to_json(F.struct("c_name"))
+    text = (F.when(part == 0, F.concat(F.lit('{"modules": ['), name, F.lit('], "run_count": 3, "paths": {}}')))
+            .when(part == 1, F.concat(F.lit('{"modules": '), name, F.lit('}')))
+            .when(part == 2, F.lit('{"run_count": -1, "pending_modules": []}'))
+            .when(part == 3, F.concat(F.lit('['), name, F.lit(']')))
+            .when(part == 4, F.lit('{"session_log": 4, "paths": [], "run_count": "5"}'))
+            .otherwise(F.lit('{"run_count": 2.5, "extra": 1}')))
+    states = table(spark, d, "customer").select(
+        F.concat(F.lit("c"), key).alias("path"), text.alias("text"))
+    return R.validate_state(states)
+
+
 @query("unfinished_items", f"""WITH {_QUEUE_SQL}
 SELECT module FROM progress WHERE complete IS NOT TRUE""")
 def unfinished_items(spark, d):

@@ -160,6 +160,28 @@ def read_changeset(spark: SparkSession, ops: str | None = None, fixes: str | Non
         "op_seq", (last + 1 + F.col("op_seq")).cast("bigint"))
     every = main.unionByName(legacy, allowMissingColumns=True)
     new = load(new_notes, D.NEW_NOTES)
-    if not every.limit(1).count() and not new.limit(1).count():
+    if every.isEmpty() and new.isEmpty():
         raise ValueError("nothing to do: no ops and no new notes")
     return every, new
+
+
+def read_meta(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(path, outstanding, gaps_filled, summary): what sessions say of their change-sets.
+
+    Any number of files is read; keys that a file lacks are empty.
+    """
+    kind = "outstanding ARRAY<STRING>, gaps_filled ARRAY<STRING>, summary STRING"
+    rows = spark.read.schema(kind).option("multiLine", multi_line).json(path)
+    none = F.array().cast("array<string>")
+    return rows.select(F.col("_metadata.file_path").alias("path"),
+                       F.coalesce("outstanding", none).alias("outstanding"),
+                       F.coalesce("gaps_filled", none).alias("gaps_filled"),
+                       text("summary").alias("summary"))
+
+
+def open_points(meta: DataFrame) -> DataFrame:
+    """(path, kind, place, point): every outstanding point and filled gap, in order."""
+    points = [meta.select("path", F.lit(kind).alias("kind"), F.posexplode(kind).alias("_at", "point"))
+              for kind in ("outstanding", "gaps_filled")]
+    return points[0].unionByName(points[1]).select(
+        "path", "kind", (F.col("_at") + 1).alias("place"), "point")
