@@ -170,10 +170,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH,
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
               width: int) -> DataFrame:
     """(id, shingles) of the named documents; only texts that the filter of `ids` lets pass
-    are moved."""
+    are moved.
+
+    They are written in between, so a task has one Python worker, not one for the filter and
+    another for the shingles.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.where(screened(ids, "id")(F.col("id"))).join(ids, "id", "left_semi").select(
-        "id", "text")
+    rows = materialize(rows.where(screened(ids, "id")(F.col("id"))), "passed").join(
+        ids, "id", "left_semi").select("id", "text")
 
     def make():
         shingler = Shingler(width)
