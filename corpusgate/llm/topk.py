@@ -1,16 +1,21 @@
 """Exact top-k search by inner product with dual cover trees.
 
-Vectors are put into blocks of about BLOCK rows, near ones together, and queries into
-groups of about GROUP. Every block and every group is indexed by a cover tree: children
-cover their points within half the parent's scale, and each node knows its covering radius
-and its points as one range. A pair of nodes is dropped when
+Rows are put in order by PIVOTS cells, each with about PIVOTS cells of its own, drawn from one
+bounded sample, and cut into blocks of about BLOCK rows. The upper levels of the tree are
+tables: FANOUT neighbouring blocks are a node, as many of these the next one, each with a ball
+around all that is below. Queries are grouped in the same way. Every block and every group is indexed by a
+cover tree: children cover their points within half the parent's scale, or, where that scale
+would not group them, as in many dimensions, around FAN centres that are as far apart as can
+be; each node knows its covering radius and its points as one range. A pair of nodes is dropped
+when
     q.p + rq |p| + rp |q| + rq rp
 for centres q, p and covering radii rq, rp stays below the worst k-th score of the query
-node. A node that the next scale would not group is a leaf; leaves are compared by one
-matrix product.
+node; the queries of a leaf are held one by one against the balls of the data. Leaves are
+compared by one matrix product.
 
-Each group first searches the block whose centre suits it best. The k-th scores found there
-bound the rest: only pairs of group and block whose roots pass the same test are joined.
+Each group first searches the block that it finds by going down to the best node of each level.
+The k-th scores found there bound the rest: groups go down again, a level at a time, along all
+nodes that pass the same test, and only the blocks reached are joined with their trees.
 
 Defined results: components are floor(1024 x); scores are exact, and beyond 64 bits they are
 held at the largest 64-bit value of their sign. Vectors that are null or hold null or
@@ -37,10 +42,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K = 10
 SCALE = 1024.0
-PIVOTS = 64          # rows that cells form around; they only decide who is near whom
+PIVOTS = 64          # cells of a level; they only decide who is near whom
+FANOUT = 64          # blocks of a node, and nodes of the next one
+FAN = 8              # children of a node that the next scale does not group
 BLOCK = 4096
 GROUP = 512
-LEAF = 64
+LEAF = 64            # rows of a leaf of a block
+ASKING = 8           # queries of a leaf of a group
 EXACT = float(1 << 53)
 LARGEST = (1 << 63) - 1
 
@@ -50,7 +58,8 @@ LARGEST = (1 << 63) - 1
 class Tree:
     """A cover tree over the rows of `x`, flattened; `order` lists rows by node ranges."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+        self.leaf = leaf
         self.order: list[np.ndarray] = []
         self.nodes: list[tuple[int, float, int, int, list[int]]] = []
         self.filled = 0
@@ -77,8 +86,9 @@ class Tree:
         me, lo, radius = len(self.nodes), self.filled, float(far.max())
         self.nodes.append(None)
         children = []
-        if len(rows) > LEAF and radius > 0:
-            for own, c, d in self._net(x, rows, centre, far, radius / 2):
+        if len(rows) > self.leaf and radius > 0:
+            for own, c, d in (self._net(x, rows, centre, far, radius / 2)
+                              or self._apart(x, rows, centre, far)):
                 children.append(self._build(x, own, c, d))
         if not children:
             self.order.append(rows)
@@ -89,7 +99,7 @@ class Tree:
     def _net(self, x, rows, centre, far, scale):
         """Centres further than `scale` apart that cover the rows, with the rows nearest first.
 
-        Empty if there would be more than two centres per LEAF rows.
+        Empty if there would be more than two centres per leaf.
         """
         found, free, d = [], np.ones(len(rows), bool), far
         c = centre
@@ -100,12 +110,24 @@ class Tree:
             rest = np.flatnonzero(free)
             if not len(rest):
                 return [f for f in found if len(f[0])]
-            if len(found) > 2 * len(rows) // LEAF:
+            if len(found) > 2 * len(rows) // self.leaf:
                 return []
             c = int(rows[rest[0]])
             d = self._far(x, rows, c)
 
 
+    def _apart(self, x, rows, centre, far):
+        """Up to FAN centres, each the row farthest from those before, with the rows nearest."""
+        centres, d, own = [centre], far.copy(), np.zeros(len(rows), np.int64)
+        while len(centres) < FAN and d.max() > 0:
+            c = int(rows[int(np.argmax(d))])
+            new = self._far(x, rows, c)
+            closer = new < d
+            own[closer], d[closer] = len(centres), new[closer]
+            centres.append(c)
+        return [(rows[own == i], c, d[own == i]) for i, c in enumerate(centres) if (own == i).any()]
+
+
 class Best:
     """The k best of every query so far: score descending, then id."""
 
@@ -153,20 +175,35 @@ def _bound(q: Tree, a: int, p: Tree, b) -> np.ndarray:
     return top + np.abs(top) * 1e-9 + q.norm[a] * p.norm[b] * 1e-9 + 1
 
 
+def _reaches(q: Tree, a: int, p: Tree, b: list[int], best: Best) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each data node may hold what the query node demands, its largest product).
+
+    A query leaf holds its queries themselves against the balls of the data nodes.
+    """
+    lo, hi = q.lo[a], q.hi[a]
+    if q.children[a]:
+        top = _bound(q, a, p, b)
+        return top >= best.floor[lo:hi].min(), top
+    x = q.x[lo:hi]
+    norm = np.sqrt((x ** 2).sum(axis=1))[:, None]
+    top = x @ p.centre[b].T + norm * p.radius[b]
+    top += np.abs(top) * 1e-9 + norm * p.norm[b] * 1e-9 + 1
+    return (top >= best.floor[lo:hi, None]).any(axis=0), top.max(axis=0)
+
+
 def dual_search(q: Tree, p: Tree, best: Best):
     """Descend both trees together, most promising data nodes first."""
     stack = [(0, 0)] if len(q.ids) and len(p.ids) else []
     while stack:
         a, b = stack.pop()
-        floor = best.floor[q.lo[a]:q.hi[a]].min()
-        if _bound(q, a, p, [b])[0] < floor:
+        if not _reaches(q, a, p, [b], best)[0][0]:
             continue
         qc, pc = q.children[a], p.children[b]
         if not qc and not pc:
             _leaves(q, a, p, b, best)
         elif pc and (not qc or p.radius[b] >= q.radius[a]):
-            top = _bound(q, a, p, pc)
-            stack += [(a, pc[i]) for i in np.argsort(top, kind="stable") if top[i] >= floor]
+            open_, top = _reaches(q, a, p, pc, best)
+            stack += [(a, pc[i]) for i in np.argsort(top, kind="stable") if open_[i]]
         else:
             stack += [(c, b) for c in qc]
 
@@ -180,55 +217,80 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.forall(vector, finite)
 
 
-def _celled(rows: DataFrame, pivots: list) -> DataFrame:
-    """(id, dim, cell, v): integer components packed as doubles, and the nearest pivot."""
+class Cells:
+    """Two levels of pivots: the first PIVOTS rows of a sample, and the others below them."""
+
+    def __init__(self, sample: list):
+        self.levels = {}
+        by_dim: dict[int, list] = {}
+        for v in sample:
+            by_dim.setdefault(len(v), []).append(np.floor(np.array(v, np.float64) * SCALE))
+        for dim, rows in by_dim.items():
+            top, rest = np.array(rows[:PIVOTS]), rows[PIVOTS:]
+            below = [[t] for t in top]
+            for r in rest:
+                below[self._near(top, r)].append(r)
+            self.levels[dim] = top, [np.array(b) for b in below]
+
+    @staticmethod
+    def _near(pivots: np.ndarray, x: np.ndarray) -> int:
+        return int(((pivots - x) ** 2).sum(axis=1).argmin())
+
+    def of(self, x: np.ndarray) -> tuple[int, int]:
+        if len(x) not in self.levels:
+            return 0, 0
+        top, below = self.levels[len(x)]
+        cell = self._near(top, x)
+        return cell, self._near(below[cell], x)
+
+
+def _celled(rows: DataFrame, sample: list) -> DataFrame:
+    """(id, dim, cell, sub, v): integer components packed as doubles, and the nearest pivots."""
     def make():
-        by_dim: dict[int, np.ndarray] = {}
-        for p in pivots:
-            by_dim.setdefault(len(p), []).append(np.floor(np.array(p, np.float64) * SCALE))
+        cells = Cells(sample)
 
         def work(batch):
-            out = {"id": batch["id"], "dim": [], "cell": [], "v": []}
+            out = {"id": batch["id"], "dim": [], "cell": [], "sub": [], "v": []}
             for v in batch["v"]:
                 x = np.floor(np.array(v, np.float64) * SCALE)
-                near = by_dim.get(len(x))
-                cell = int(((np.array(near) - x) ** 2).sum(axis=1).argmin()) if near else 0
-                out["dim"].append(len(x))
-                out["cell"].append(cell)
-                out["v"].append(x.tobytes())
+                cell, sub = cells.of(x)
+                for name, value in zip(("dim", "cell", "sub", "v"), (len(x), cell, sub, x.tobytes())):
+                    out[name].append(value)
             return out
         return work
 
-    return map_batches(rows, make, "id BIGINT, dim INT, cell INT, v BINARY")
+    return map_batches(rows, make, "id BIGINT, dim INT, cell INT, sub INT, v BINARY")
 
 
 def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
     """`rows` with a part number: neighbouring small cells share one, large cells are split.
 
-    The table of cells has at most PIVOTS rows per vector length.
+    The table of cells has about PIVOTS ^ 2 rows per vector length. What is larger than a block
+    at the lowest level is split by hash.
     """
-    cells = rows.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("dim", "cell", "sub").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("dim").orderBy("cell", "sub").rowsBetween(
+        Window.unboundedPreceding, -1)
     cells = cells.withColumn("first", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size)
                              ).withColumn("parts", F.ceil(F.col("n") / size))
     part = F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))
-    return rows.join(cells, ["dim", "cell"]).select("id", "dim", "v", part.cast("int").alias(name))
+    return rows.join(cells, ["dim", "cell", "sub"]).select(
+        "id", "dim", "v", part.cast("int").alias(name))
 
 
 _PART = "dim INT, part INT, n INT, centre ARRAY<DOUBLE>, radius DOUBLE, norm DOUBLE, tree BINARY"
 
 
-def _grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    x = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), key[0])
-    tree = Tree(x, pdf["id"].to_numpy(np.int64))
-    return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "n": [len(pdf)],
-                         "centre": [tree.centre[0]], "radius": [tree.radius[0]],
-                         "norm": [tree.norm[0]], "tree": [pickle.dumps(tree.__dict__)]})
-
-
-def _index(rows: DataFrame, size: int) -> DataFrame:
+def _index(rows: DataFrame, size: int, leaf: int) -> DataFrame:
     """One row per part, with its tree."""
-    return _dealt(rows, size, "part").groupBy("dim", "part").applyInPandas(_grow, _PART)
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), key[0])
+        tree = Tree(x, pdf["id"].to_numpy(np.int64), leaf)
+        return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "n": [len(pdf)],
+                             "centre": [tree.centre[0]], "radius": [tree.radius[0]],
+                             "norm": [tree.norm[0]], "tree": [pickle.dumps(tree.__dict__)]})
+
+    return _dealt(rows, size, "part").groupBy("dim", "part").applyInPandas(grow, _PART)
 
 
 def _tree(data: bytes) -> Tree:
@@ -265,6 +327,53 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                        "dim INT, grp INT, query_id BIGINT, vec_id BIGINT, score BIGINT")
 
 
+def _reach() -> list[Column]:
+    """(dot, top): inner product of two centres, and the largest that points of both can have."""
+    dot = F.aggregate(F.zip_with("gc", "bc", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    top = (dot + F.col("gr") * F.col("bn") + F.col("br") * F.col("gn")
+           + F.col("gr") * F.col("br"))
+    return [dot.alias("dot"), (top + F.abs(top) * 1e-9 + F.col("gn") * F.col("bn") * 1e-9 + 1)
+            .alias("top")]
+
+
+def _covers(nodes: DataFrame) -> DataFrame:
+    """(dim, node, bc, br, bn): one ball around every FANOUT neighbouring nodes."""
+    own = nodes.withColumn("up", F.floor(F.col("node") / FANOUT).cast("int"))
+    first = own.groupBy("dim", "up").agg(F.min_by(F.struct("bc", "bn"), "node").alias("c"))
+    apart = F.sqrt(F.aggregate(F.zip_with("bc", F.col("c.bc"), lambda a, b: (a - b) * (a - b)),
+                               F.lit(0.0), lambda s, v: s + v))
+    return own.join(first, ["dim", "up"]).groupBy("dim", "up").agg(
+        F.first("c").alias("c"), F.max(apart * (1 + 1e-12) + F.col("br")).alias("br")).select(
+        "dim", F.col("up").alias("node"), "c.bc", "br", "c.bn")
+
+
+def _levels(blocks: DataFrame) -> list[DataFrame]:
+    """Nodes of every level, blocks first; the last level has at most FANOUT per length."""
+    levels = [materialize(blocks.select(
+        "dim", F.col("part").alias("node"), F.col("centre").alias("bc"), F.col("radius").alias("br"),
+        F.col("norm").alias("bn")), "nodes")]
+    last = levels[0].agg(F.max("node")).first()[0] or 0
+    while last >= FANOUT:
+        levels.append(materialize(_covers(levels[-1]), "nodes"))
+        last //= FANOUT
+    return levels
+
+
+def _descend(asks: DataFrame, levels: list[DataFrame], keep: Callable[[DataFrame], DataFrame]):
+    """(dim, grp, node): the blocks that groups come to, `keep` choosing nodes on every level."""
+    on = None
+    for i, nodes in enumerate(reversed(levels)):
+        if on is None:
+            pairs = asks.join(nodes, "dim")
+        else:
+            below = nodes.withColumn("up", F.floor(F.col("node") / FANOUT).cast("int"))
+            pairs = on.withColumnRenamed("node", "up").join(asks, ["dim", "grp"]).join(
+                below, ["dim", "up"])
+        on = materialize(keep(pairs.select("dim", "grp", "node", *_reach())).select(
+            "dim", "grp", "node"), "descent")
+    return on
+
+
 def search(vectors: DataFrame, queries: Callable[[Column], Column], id_col: str = "vec_id",
            vector_col: str = "embedding", k: int = K, block: int = BLOCK,
            group: int = GROUP) -> DataFrame:
@@ -274,32 +383,21 @@ def search(vectors: DataFrame, queries: Callable[[Column], Column], id_col: str
     """
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
-    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
-    celled = materialize(_celled(rows, pivots), "vectors")
+    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS ** 2).collect()]
+    celled = materialize(_celled(rows, sample), "vectors")
     asked = celled.where(queries(F.col("id"))).dropDuplicates(["id"])
-    blocks = materialize(_index(celled, block), "blocks")
-    groups = materialize(_index(asked, group).withColumnRenamed("part", "grp"), "groups")
-    # Roots of all pairs, without the trees: what can be pruned is never shipped.
-    spans = blocks.groupBy("dim").agg(F.max("part").alias("last"))
-    roots = groups.join(spans, "dim").select(
-        "dim", "grp", F.col("centre").alias("gc"), F.col("radius").alias("gr"),
-        F.col("norm").alias("gn"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"))
-    light = blocks.select("dim", "part", F.col("centre").alias("bc"), F.col("radius").alias("br"),
-                          F.col("norm").alias("bn"), "n")
-    dot = F.aggregate(F.zip_with("gc", "bc", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    top = (F.col("dot") + F.col("gr") * F.col("bn") + F.col("br") * F.col("gn")
-           + F.col("gr") * F.col("br"))
-    ways = roots.join(light, ["dim", "part"]).withColumn("dot", dot).select(
-        "dim", "grp", "part", "dot",
-        (top + F.abs(top) * 1e-9 + F.col("gn") * F.col("bn") * 1e-9 + 1).alias("top"))
-    ways = materialize(ways, "ways")
-    order = Window.partitionBy("dim", "grp").orderBy(F.desc("dot"), "part")
-    home = ways.withColumn("place", F.row_number().over(order)).where("place = 1").select(
-        "dim", "grp", "part")
+    blocks = materialize(_index(celled, block, LEAF), "blocks")
+    groups = materialize(_index(asked, group, ASKING).withColumnRenamed("part", "grp"), "groups")
+    asks = groups.select("dim", "grp", F.col("centre").alias("gc"), F.col("radius").alias("gr"),
+                         F.col("norm").alias("gn"))
+    levels = _levels(blocks)
+    best = Window.partitionBy("dim", "grp").orderBy(F.desc("dot"), "node")
+    home = _descend(asks, levels, lambda pairs: pairs.withColumn(
+        "place", F.row_number().over(best)).where("place = 1"))
     q = groups.select("dim", "grp", F.col("tree").alias("q"))
-    p = blocks.select("dim", "part", F.col("tree").alias("p"))
+    p = blocks.select("dim", F.col("part").alias("node"), F.col("tree").alias("p"))
     none = F.lit(None).cast("struct<id:array<bigint>,score:array<bigint>>")
-    first = materialize(_search(home.join(q, ["dim", "grp"]).join(p, ["dim", "part"]).withColumn(
+    first = materialize(_search(home.join(q, ["dim", "grp"]).join(p, ["dim", "node"]).withColumn(
         "floor", none), k), "first")
     # A group has at most twice GROUP queries, so its list of k-th scores is bounded.
     kth = first.groupBy("dim", "grp", "query_id").agg(
@@ -308,15 +406,16 @@ def search(vectors: DataFrame, queries: Callable[[Column], Column], id_col: str
         F.min("score").alias("worst"), F.count(F.lit(1)).alias("sure"),
         F.struct(F.collect_list("query_id").alias("id"),
                  F.collect_list("score").alias("score")).alias("floor"))
+    floors = materialize(floors, "floors")
     sizes = groups.select("dim", "grp", F.col("n").alias("asking"))
-    rest = (ways.join(home, ["dim", "grp", "part"], "left_anti")
-            .join(floors.select("dim", "grp", "worst", "sure"), ["dim", "grp"], "left")
-            .join(sizes, ["dim", "grp"])
-            .where(F.col("worst").isNull() | (F.col("sure") < F.col("asking"))
-                   | (F.col("top") >= F.col("worst"))).select("dim", "grp", "part"))
-    asked_more = (rest.join(q, ["dim", "grp"])
+    demand = materialize(sizes.join(
+        floors.select("dim", "grp", "worst", "sure"), ["dim", "grp"], "left").select(
+        "dim", "grp", F.when(F.col("sure") >= F.col("asking"), F.col("worst")).alias("least")), "demand")
+    passes = F.col("least").isNull() | (F.col("top") >= F.col("least"))
+    rest = _descend(asks, levels, lambda pairs: pairs.join(demand, ["dim", "grp"]).where(passes))
+    asked_more = (rest.join(home, ["dim", "grp", "node"], "left_anti").join(q, ["dim", "grp"])
                   .join(floors.select("dim", "grp", "floor"), ["dim", "grp"], "left")
-                  .join(p, ["dim", "part"]))
+                  .join(p, ["dim", "node"]))
     found = first.unionByName(_search(asked_more, k))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", "vec_id", "score").withColumn(

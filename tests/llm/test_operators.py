@@ -367,6 +367,50 @@ def test_top_k_equals_all_pairs(spark, spread):
     assert topk.search(vectors.limit(0), lambda c: c % 100 == 0).count() == 0
 
 
+def test_cover_trees_have_nodes_and_prune_in_64_dimensions():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (40, 64))
+    data = np.floor(1024 * (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 64))))
+    ask = data[::100]
+    scored = 0
+    plain = topk._leaves
+
+    def counted(q, a, p, b, best):
+        nonlocal scored
+        scored += (q.hi[a] - q.lo[a]) * (p.hi[b] - p.lo[b])
+        return plain(q, a, p, b, best)
+
+    q, p = topk.Tree(ask, np.arange(0, 4000, 100), topk.ASKING), topk.Tree(data, np.arange(4000))
+    best = topk.Best(len(q.ids), 10, None)
+    topk._leaves = counted
+    try:
+        topk.dual_search(q, p, best)
+    finally:
+        topk._leaves = plain
+    assert len(p.children) > 50
+    assert max(h - lo for lo, h, below in zip(p.lo, p.hi, p.children) if not below) <= topk.LEAF
+    assert scored < 0.5 * len(ask) * len(data)
+    for i, own in enumerate(q.ids.tolist()):
+        s = data @ q.x[i]
+        s[own] = -np.inf
+        order = np.lexsort((np.arange(4000), -s))[:10]
+        assert best.ids[i] == order.tolist()
+
+
+def test_top_k_with_levels_of_nodes_clashing_columns_and_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FANOUT", 3)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(0, 1, 5)], "g", i, 0.5, i) for i in range(900)]
+    ddl = "vec_id BIGINT, embedding ARRAY<FLOAT>, grp STRING, part INT, score DOUBLE, node INT"
+    got = topk.search(spark.createDataFrame(rows, ddl), lambda c: c % 100 == 0, block=40, group=3)
+    assert sorted(map(tuple, got.collect())) == _top_by_hand([r[:2] for r in rows])
+    # Rows that repeat a query's id are its own, whichever of them asks.
+    twice = rows + [(100, rows[100][1], "h", None, None, None)]
+    again = topk.search(spark.createDataFrame(twice, ddl), lambda c: c % 100 == 0, block=40, group=3)
+    assert sorted(map(tuple, again.where("query_id = 100").collect())) == [
+        t for t in _top_by_hand([r[:2] for r in rows]) if t[0] == 100]
+
+
 # ---- lines --------------------------------------------------------------------------------------
 
 def test_many_lines_go_from_one_text(spark):
