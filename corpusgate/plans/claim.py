@@ -188,6 +188,41 @@ def extract_claims(spark, d):
                         F.col("span.lo").alias("lo"), F.col("span.hi").alias("hi"), "kind", "xref")
 
 
+@query("landmark_claims", f"""
+WITH o AS (SELECT nid, k, c % 5 + 1 AS a FROM ({_ORDERS}))
+SELECT nid, 'l' || a || ' transverse process' AS subject, 'identity' AS attribute, 'L' || a AS value
+FROM o WHERE k < 2
+UNION ALL SELECT nid, 'transverse process', 'spinal-level', 'L2' FROM o WHERE k = 1 AND a <> 2
+UNION ALL SELECT nid, CASE k WHEN 2 THEN 'lumbar' ELSE 'thoracic' END || ' transverse process',
+  'depth-to-landmark[length]', a::VARCHAR FROM o WHERE k IN (2, 5)
+UNION ALL SELECT nid, 'transverse process', 'depth-to-landmark[length]', a::VARCHAR FROM o WHERE k = 3
+UNION ALL SELECT nid, 'femoral nerve', 'volume[volume]', (a * 5)::VARCHAR FROM o WHERE k = 4""")
+def landmark_claims(spark, d):
+    """Levels that name a landmark, two regions in a sentence, an attribute claimed twice.
+
+    A level that names the landmark anywhere in a sentence is no claim of its own there.
+    """
+    k, a = F.pmod(F.col("o_orderkey"), F.lit(6)), F.pmod(F.col("o_custkey"), F.lit(5)) + 1
+
+    def say(*bits):
+        return F.concat(*[F.lit(b) if isinstance(b, str) else b for b in bits])
+
+    contact = say("The needle contacts the L", a, " transverse process")
+    deep = say("region the transverse process is contacted at a depth of ", a, " cm.")
+    text = (F.when(k == 0, say(contact, "."))
+            .when(k == 1, say(contact, " and then the L2 level of the transverse process."))
+            .when(k == 2, say("In the thoracic and lumbar ", deep))
+            .when(k == 3, say("The transverse process is at a depth of ", a,
+                              " cm and the transverse process is at a depth of ", a + 2, " cm."))
+            .when(k == 4, say("A volume of ", a * 5, " mL of local anesthetic is injected for the "
+                              "femoral nerve block."))
+            .otherwise(say("In the lumbar and thoracic ", deep)))
+    notes = wide_table(spark, d, "orders").select(
+        F.lit("d").alias("deck"), F.col("o_orderkey").alias("nid"), text.alias("text"),
+        F.lit("").alias("extra"))
+    return C.extract_claims(notes).select("nid", "subject", "attribute", "value")
+
+
 @query("note_topics", f"""
 SELECT nid, CASE k WHEN 2 THEN 'kg rapid intubation' WHEN 3 THEN 'lateral pectoral nerve'
   WHEN 4 THEN 'vagus nerve' WHEN 5 THEN 'femoral block' ELSE 'transverse process' END AS topic

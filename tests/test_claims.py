@@ -43,3 +43,28 @@ def test_front_back(spark):
     assert C.front_back_conflict(claims).count() == 1
     from pyspark.sql import functions as F
     assert C.front_back_conflict(claims.withColumn("xref", F.lit(True))).count() == 0
+
+
+LANDMARKS = [
+    ("The needle contacts the L4 transverse process.", {("l4 transverse process", "identity", "L4")}),
+    # Naming a landmark frees its level: the later one is a claim.
+    ("The needle contacts the L4 transverse process and then the L2 level of the transverse process.",
+     {("l4 transverse process", "identity", "L4"), ("transverse process", "spinal-level", "L2")}),
+    # The nearer of two regions is put in front of the subject.
+    ("The depth of 3 cm is measured from the transverse process in the lumbar region, not the thoracic region.",
+     {("lumbar transverse process", "depth-to-landmark[length]", "3")}),
+    # A compound sentence states a set: its first value counts.
+    ("The transverse process is at a depth of 2 cm and the transverse process is at a depth of 4 cm.",
+     {("transverse process", "depth-to-landmark[length]", "2")}),
+    # The head of a quantity is no subject while a better one is there.
+    ("A volume of 20 mL of local anesthetic is injected for the femoral nerve block.",
+     {("femoral nerve", "volume[volume]", "20")}),
+]
+
+
+def test_landmarks_regions_and_repeats(spark):
+    notes = spark.createDataFrame([("d", i, sentence, "") for i, (sentence, _) in enumerate(LANDMARKS)],
+                                  "deck string, nid bigint, text string, extra string")
+    found = C.extract_claims(notes).collect()
+    for i, (_, expected) in enumerate(LANDMARKS):
+        assert {(r.subject, r.attribute, r.value) for r in found if r.nid == i} == expected
