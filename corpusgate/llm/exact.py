@@ -21,6 +21,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from corpusgate.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARD_KEYS = 1 << 18       # keys of a filter shard, on average
+SLICE = 1 << 10            # rows with all their columns held at once
 FILTER_KEYS = 1 << 24      # keys in filters that are broadcast, at most
 
 
@@ -186,34 +188,65 @@ def repeated(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     return materialize(held.unionByName(within).distinct(), "repeated")
 
 
-def screened(found: DataFrame, name: str = "digest"):
-    """A function from a column to whether column `name` of `found` may hold its value.
+class Screen:
+    """A test of whether column `name` of `found` may hold a value.
 
     The filters of `found` are broadcast, in at most 20 MB: of more than FILTER_KEYS values,
     the leading bits of their keys are kept, as many as give no more keys than that. Then
     more of the texts without a copy pass; what passes is exact in any case.
     """
-    bits = 64 if found.count() <= FILTER_KEYS else FILTER_KEYS.bit_length() - 1
-    lead = F.shiftrightunsigned(F.xxhash64(name), 64 - bits)
-    keys = found.select(lead.alias("key")).distinct()
-    shards = max(1, -(-keys.count() // SHARD_KEYS))
-    own = keys.select(F.pmod(F.hash("key"), F.lit(shards)).cast("int").alias("shard"), "key")
-    parts = {r["shard"]: (r["seed"], r["length"], r["segments"], bytes(r["cells"]))
-             for r in own.groupBy("shard").applyInPandas(_build_shard, _FILTER).collect()}
-    shared = found.sparkSession.sparkContext.broadcast(parts)
+
+    def __init__(self, found: DataFrame, name: str = "digest"):
+        self.bits = 64 if found.count() <= FILTER_KEYS else FILTER_KEYS.bit_length() - 1
+        keys = found.select(self.key(F.col(name)).alias("key")).distinct()
+        self.shards = max(1, -(-keys.count() // SHARD_KEYS))
+        own = keys.select(self.shard(F.col("key")).alias("shard"), "key")
+        self.shared = found.sparkSession.sparkContext.broadcast(
+            {r["shard"]: (r["seed"], r["length"], r["segments"], bytes(r["cells"]))
+             for r in own.groupBy("shard").applyInPandas(_build_shard, _FILTER).collect()})
+
+    def key(self, value: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(value), 64 - self.bits)
+
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.hash(key), F.lit(self.shards)).cast("int")
+
+    def rows(self, docs: DataFrame, value: Column, hit: bool) -> DataFrame:
+        """The rows, with all their columns, that pass (or, without `hit`, that do not)."""
+        shared, key = self.shared, self.key(value)
+        wide = docs.select("*", key.alias("_cg_key"), self.shard(key).alias("_cg_shard"))
+        n = len(docs.columns)
+
+        def run(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(lo, SLICE)
+                    found = may_hold(shared.value, part.column(n).to_numpy(), part.column(n + 1).to_numpy())
+                    yield part.select(list(range(n))).filter(pa.array(found == hit))
+
+        return wide.mapInArrow(run, docs.schema)
+
+
+def may_hold(filters: dict, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    keys, hit = key.astype(np.int64).view(np.uint64), np.zeros(len(key), bool)
+    for i, part in filters.items():
+        at = np.flatnonzero(shard == i)
+        hit[at] = in_filter(keys[at], *part)
+    return hit
+
+
+def screened(found: DataFrame, name: str = "digest"):
+    """A function from a column to whether column `name` of `found` may hold its value."""
+    screen = Screen(found, name)
+    shared = screen.shared
 
     @F.pandas_udf("boolean")
-    def may_hold(key: pd.Series, shard: pd.Series) -> pd.Series:
-        keys, own = key.to_numpy(np.int64).view(np.uint64), shard.to_numpy()
-        hit = np.zeros(len(keys), bool)
-        for i, part in shared.value.items():
-            at = np.flatnonzero(own == i)
-            hit[at] = in_filter(keys[at], *part)
-        return pd.Series(hit)
+    def test(key: pd.Series, shard: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(shared.value, key.to_numpy(), shard.to_numpy()))
 
     def maybe(value: Column) -> Column:
-        key = F.shiftrightunsigned(F.xxhash64(value), 64 - bits)
-        return may_hold(key, F.pmod(F.hash(key), F.lit(shards)))
+        key = screen.key(value)
+        return test(key, screen.shard(key))
 
     return maybe
 

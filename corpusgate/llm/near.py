@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.llm.common import components, fresh, map_batches
-from corpusgate.llm.exact import screened
+from corpusgate.llm.exact import Screen, may_hold
 from corpusgate.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -169,23 +169,29 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH,
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
               width: int) -> DataFrame:
-    """(id, shingles) of the named documents; only texts that the filter of `ids` lets pass
-    are moved.
+    """(id, shingles) of the named documents.
 
-    They are written in between, so a task has one Python worker, not one for the filter and
-    another for the shingles.
+    The filter of `ids` is asked where the shingles are made, so a task has one Python worker
+    and only sets that pass are moved.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(rows.where(screened(ids, "id")(F.col("id"))), "passed").join(
-        ids, "id", "left_semi").select("id", "text")
+    screen = Screen(ids, "id")
+    shared, key = screen.shared, screen.key(F.col("id"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(
+        "id", "text", key.alias("key"), screen.shard(key).alias("shard"))
 
     def make():
         shingler = Shingler(width)
-        return lambda batch: {"id": batch["id"], "shingles": [
-            shingler.shingles(t).view(np.int64) for t in batch["text"]]}
 
-    return map_batches(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, "
-                                   "shingles ARRAY<BIGINT>")
+        def work(batch):
+            hit = may_hold(shared.value, np.array(batch["key"], np.int64), np.array(batch["shard"]))
+            at = np.flatnonzero(hit).tolist()
+            return {"id": [batch["id"][i] for i in at], "shingles": [
+                shingler.shingles(batch["text"][i]).view(np.int64) for i in at]}
+        return work
+
+    kind = rows.schema["id"].dataType.simpleString()
+    sets = map_batches(rows, make, f"id {kind}, shingles ARRAY<BIGINT>", 1 << 11)
+    return materialize(sets, "passed").join(ids, "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -293,6 +299,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     gone, = fresh(docs, "gone")
     groups = near_groups(docs, id_col, text_col)
     out = materialize(groups.where("not kept").select(F.col(id_col).alias(gone)).distinct(), "gone")
-    maybe = F.coalesce(screened(out, gone)(F.col(id_col)), F.lit(False))
-    stay = docs.where(maybe).join(out, F.col(id_col) == F.col(gone), "left_anti")
-    return docs.where(~maybe).unionByName(stay.select(*docs.columns))
+    screen = Screen(out, gone)
+    stay = screen.rows(docs, F.col(id_col), True).join(
+        out, F.col(id_col) == F.col(gone), "left_anti")
+    return screen.rows(docs, F.col(id_col), False).unionByName(stay.select(*docs.columns))
