@@ -99,7 +99,7 @@ class Tree:
     def _net(self, x, rows, centre, far, scale):
         """Centres further than `scale` apart that cover the rows, with the rows nearest first.
 
-        Empty if there would be more than two centres per leaf.
+        Empty if FAN centres cover less than half, or more than two a leaf would be needed.
         """
         found, free, d = [], np.ones(len(rows), bool), far
         c = centre
@@ -110,7 +110,8 @@ class Tree:
             rest = np.flatnonzero(free)
             if not len(rest):
                 return [f for f in found if len(f[0])]
-            if len(found) > 2 * len(rows) // self.leaf:
+            few = len(found) >= FAN and 2 * len(rest) > len(rows)
+            if few or len(found) > 2 * len(rows) // self.leaf:
                 return []
             c = int(rows[rest[0]])
             d = self._far(x, rows, c)
@@ -145,10 +146,10 @@ class Best:
             self.floor[i] = max(self.floor[i], float(-both[-1][0]))
 
 
-def _leaves(q: Tree, a: int, p: Tree, b: int, best: Best):
-    """All points of two leaves against each other."""
-    qlo, qhi, plo, phi = q.lo[a], q.hi[a], p.lo[b], p.hi[b]
-    x, y, ids = q.x[qlo:qhi], p.x[plo:phi], p.ids[plo:phi]
+def _compare(q: Tree, a: int, p: Tree, rows, best: Best):
+    """All points of a query leaf against rows of the data."""
+    qlo, qhi = q.lo[a], q.hi[a]
+    x, y, ids = q.x[qlo:qhi], p.x[rows], p.ids[rows]
     if q.longest * p.longest < EXACT:
         scores = x @ y.T
     else:
@@ -162,8 +163,7 @@ def _leaves(q: Tree, a: int, p: Tree, b: int, best: Best):
     need = need - np.abs(need) * 1e-12 if scores.dtype == object else need
     for i in np.flatnonzero((approx >= need[:, None]).any(axis=1)):
         at = np.flatnonzero((approx[i] >= need[i]) & ~same[i])
-        if len(at) > 4 * k and scores.dtype != object:  # many ties: ids ascend within a leaf
-            at = at[np.argsort(-approx[i, at], kind="stable")]
+        if len(at) > 4 * k and scores.dtype != object:  # many ties: the smaller ids of them
             at = at[np.lexsort((ids[at], -approx[i, at]))[:k]]
         best.offer(qlo + i, [int(scores[i, j]) for j in at], ids[at].tolist())
 
@@ -176,14 +176,8 @@ def _bound(q: Tree, a: int, p: Tree, b) -> np.ndarray:
 
 
 def _reaches(q: Tree, a: int, p: Tree, b: list[int], best: Best) -> tuple[np.ndarray, np.ndarray]:
-    """(whether each data node may hold what the query node demands, its largest product).
-
-    A query leaf holds its queries themselves against the balls of the data nodes.
-    """
+    """(whether each data node may hold what a query of the leaf demands, its largest product)."""
     lo, hi = q.lo[a], q.hi[a]
-    if q.children[a]:
-        top = _bound(q, a, p, b)
-        return top >= best.floor[lo:hi].min(), top
     x = q.x[lo:hi]
     norm = np.sqrt((x ** 2).sum(axis=1))[:, None]
     top = x @ p.centre[b].T + norm * p.radius[b]
@@ -191,21 +185,48 @@ def _reaches(q: Tree, a: int, p: Tree, b: list[int], best: Best) -> tuple[np.nda
     return (top >= best.floor[lo:hi, None]).any(axis=0), top.max(axis=0)
 
 
+def _open_leaves(q: Tree, a: int, p: Tree, b: int, best: Best) -> list[int]:
+    """Leaves under a data node that no ball above them rules out, most promising first."""
+    level, found, tops = [b], [], []
+    while level:
+        open_, top = _reaches(q, a, p, level, best)
+        below = []
+        for node, is_open, t in zip(level, open_.tolist(), top.tolist()):
+            if is_open and p.children[node]:
+                below += p.children[node]
+            elif is_open:
+                found.append(node)
+                tops.append(t)
+        level = below
+    return [found[i] for i in np.argsort(-np.array(tops), kind="stable")]
+
+
+def _rows(p: Tree, nodes: list[int]) -> np.ndarray:
+    return np.concatenate([np.arange(p.lo[n], p.hi[n]) for n in nodes])
+
+
 def dual_search(q: Tree, p: Tree, best: Best):
-    """Descend both trees together, most promising data nodes first."""
-    stack = [(0, 0)] if len(q.ids) and len(p.ids) else []
+    """Descend both trees together.
+
+    Query nodes whose ball the data's root cannot serve are dropped; a query leaf then goes down
+    the data, and meets its leaves in growing lots, the most promising first, so that what
+    the first lots give rules out the balls of the others.
+    """
+    stack = [0] if len(q.ids) and len(p.ids) else []
     while stack:
-        a, b = stack.pop()
-        if not _reaches(q, a, p, [b], best)[0][0]:
+        a = stack.pop()
+        if _bound(q, a, p, [0])[0] < best.floor[q.lo[a]:q.hi[a]].min():
             continue
-        qc, pc = q.children[a], p.children[b]
-        if not qc and not pc:
-            _leaves(q, a, p, b, best)
-        elif pc and (not qc or p.radius[b] >= q.radius[a]):
-            open_, top = _reaches(q, a, p, pc, best)
-            stack += [(a, pc[i]) for i in np.argsort(top, kind="stable") if open_[i]]
-        else:
-            stack += [(c, b) for c in qc]
+        if q.children[a]:
+            stack += q.children[a]
+            continue
+        waiting, lot = _open_leaves(q, a, p, 0, best), 1
+        while waiting:
+            _compare(q, a, p, _rows(p, waiting[:lot]), best)
+            waiting, lot = waiting[lot:], 4 * lot
+            if waiting:
+                open_, _top = _reaches(q, a, p, waiting, best)
+                waiting = [n for n, is_open in zip(waiting, open_.tolist()) if is_open]
 
 
 # ---- blocks -------------------------------------------------------------------------------------

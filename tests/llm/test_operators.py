@@ -373,20 +373,20 @@ def test_cover_trees_have_nodes_and_prune_in_64_dimensions():
     data = np.floor(1024 * (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 64))))
     ask = data[::100]
     scored = 0
-    plain = topk._leaves
+    plain = topk._compare
 
-    def counted(q, a, p, b, best):
+    def counted(q, a, p, rows, best):
         nonlocal scored
-        scored += (q.hi[a] - q.lo[a]) * (p.hi[b] - p.lo[b])
-        return plain(q, a, p, b, best)
+        scored += (q.hi[a] - q.lo[a]) * len(rows)
+        return plain(q, a, p, rows, best)
 
     q, p = topk.Tree(ask, np.arange(0, 4000, 100), topk.ASKING), topk.Tree(data, np.arange(4000))
     best = topk.Best(len(q.ids), 10, None)
-    topk._leaves = counted
+    topk._compare = counted
     try:
         topk.dual_search(q, p, best)
     finally:
-        topk._leaves = plain
+        topk._compare = plain
     assert len(p.children) > 50
     assert max(h - lo for lo, h, below in zip(p.lo, p.hi, p.children) if not below) <= topk.LEAF
     assert scored < 0.5 * len(ask) * len(data)
