@@ -21,7 +21,6 @@ import sys
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,6 @@ from corpusgate.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARD_KEYS = 1 << 18       # keys of a filter shard, on average
-SLICE = 1 << 10            # rows with all their columns held at once
 FILTER_KEYS = 1 << 24      # keys in filters that are broadcast, at most
 
 
@@ -211,21 +209,6 @@ class Screen:
     def shard(self, key: Column) -> Column:
         return F.pmod(F.hash(key), F.lit(self.shards)).cast("int")
 
-    def rows(self, docs: DataFrame, value: Column, hit: bool) -> DataFrame:
-        """The rows, with all their columns, that pass (or, without `hit`, that do not)."""
-        shared, key = self.shared, self.key(value)
-        wide = docs.select("*", key.alias("_cg_key"), self.shard(key).alias("_cg_shard"))
-        n = len(docs.columns)
-
-        def run(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(lo, SLICE)
-                    found = may_hold(shared.value, part.column(n).to_numpy(), part.column(n + 1).to_numpy())
-                    yield part.select(list(range(n))).filter(pa.array(found == hit))
-
-        return wide.mapInArrow(run, docs.schema)
-
 
 def may_hold(filters: dict, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
     keys, hit = key.astype(np.int64).view(np.uint64), np.zeros(len(key), bool)
