@@ -13,9 +13,18 @@ from corpusgate.streaming.merge_table import MergeTable
 _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
+def table_stream(spark, d, name, schema):
+    """A driver table as a stream of its files, whether it is one file or a folder of them.
+
+    A file source takes a single file by a pattern only, and a name filter on the parent folder
+    does not look into a table that is a folder.
+    """
+    return X.intake_stream(spark, f"{d}/{name}.parque[t]", schema)
+
+
 def event_stream(spark, d):
     """Events as a stream with a session timestamp."""
-    raw = X.intake_stream(spark, d, _EVENTS, glob="events.parquet")
+    raw = table_stream(spark, d, "events", _EVENTS)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -28,15 +37,13 @@ def finished(spark, stream, name, mode="append"):
 
 @query("intake_stream", "SELECT doc_id, length(text)::BIGINT AS n FROM documents")
 def intake_stream(spark, d):
-    schema = table(spark, d, "documents").schema
-    docs = X.intake_stream(spark, d, schema, glob="documents.parquet")
+    docs = table_stream(spark, d, "documents", table(spark, d, "documents").schema)
     return finished(spark, docs.select("doc_id", F.length("text").cast("bigint").alias("n")), "intake")
 
 
 @query("dedupe_stream", "SELECT md5(text) AS digest FROM documents GROUP BY md5(text)")
 def dedupe_stream(spark, d):
-    schema = table(spark, d, "documents").schema
-    docs = X.intake_stream(spark, d, schema, glob="documents.parquet").select(
+    docs = table_stream(spark, d, "documents", table(spark, d, "documents").schema).select(
         "text", F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
     return finished(spark, X.dedupe_stream(docs, "ts").select(F.md5("text").alias("digest")), "dedupe")
 
