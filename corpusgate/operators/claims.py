@@ -18,7 +18,7 @@ from corpusgate.functions import values as V
 from corpusgate.functions.base import bind, with_offsets
 from corpusgate.functions.text import plain, sentences
 from corpusgate.operators import rules as R
-from corpusgate.operators.skew import lookup_by_key
+from corpusgate.operators.skew import lookup_by_key, lookup_stored
 from corpusgate.session import materialize
 
 FIELDS = (("Text", "text"), ("Extra", "extra"))
@@ -73,7 +73,7 @@ def _expand(phrases: DataFrame, abbreviations: DataFrame, raw: str) -> DataFrame
 
 
 def _lexicon_phrases(notes: DataFrame) -> DataFrame:
-    """(phrase, attested): phrases of each note read as one text, in lower case.
+    """(phrase, attested, n): phrases of each note read as one text, in lower case.
 
     Where the front ends without a full stop a phrase may run on into the back; the two
     fields are then also read alone, as sentences will be, without counting as attested.
@@ -88,20 +88,23 @@ def _lexicon_phrases(notes: DataFrame) -> DataFrame:
         return F.when(F.regexp_like(front, F.lit("[.!?]$")), whole).otherwise(
             F.concat(whole, tagged(apart, 0)))
 
-    plain_notes = notes.select(plain("text").alias("_f"), plain("extra").alias("_b"))
-    found = plain_notes.select(F.explode(read(F.col("_f"), F.col("_b"))).alias("p"))
-    return found.select("p.phrase", "p.attested")
+    plain_notes = notes.select(plain("text").alias("_f"), plain("extra").alias("_b"), "n")
+    found = plain_notes.select(F.explode(read(F.col("_f"), F.col("_b"))).alias("p"), "n")
+    return found.select("p.phrase", "p.attested", "n")
 
 
 def build_lexicon(notes: DataFrame) -> Lexicon:
     """Attested subjects of two to five tokens, each mapped to its shortest attested suffix.
 
     The suffix keeps at least two tokens, so a subject never shrinks to a bare noun.
-    Normalising works on distinct phrases, not on every mention.
+    Parsing works on distinct notes, normalising on distinct phrases, not on every mention. Of
+    notes with equal fields the last one decides, as all of them define the same.
     """
+    notes = materialize(notes.groupBy("text", "extra").agg(
+        F.max("nid").alias("nid"), F.count(F.lit(1)).alias("n")), "distinct-notes")
     abbreviations = materialize(mined_abbreviations(notes), "abbreviations")
     counts = (_lexicon_phrases(notes).groupBy("phrase")
-              .agg(F.sum("attested").alias("attested"), F.count(F.lit(1)).alias("n")))
+              .agg(F.sum(F.col("attested") * F.col("n")).alias("attested"), F.sum("n").alias("n")))
     spelled = materialize(counts.withColumn("raw", S.norm_subject(F.col("phrase"))), "phrases")
     raws = spelled.groupBy("raw").agg(F.sum("attested").alias("attested"))
     phrases = materialize(_expand(raws, abbreviations, "raw"), "expanded")
@@ -137,26 +140,38 @@ def note_sentences(notes: DataFrame) -> DataFrame:
 CANDS = "array<struct<start:int,subject:string,rank:int>>"
 
 
-def sentence_subjects(sents: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(nid, field, sid, cands): subjects of each sentence in order, with their rank.
+def distinct_sentences(sents: DataFrame) -> DataFrame:
+    """(sent, n): each sentence once. What a sentence says does not depend on where it stands."""
+    return materialize(sents.groupBy("sent").agg(F.count(F.lit(1)).alias("n")), "distinct-sentences")
+
+
+def known_subjects(distinct: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(sent, n, cands): subjects of each distinct sentence in order, with their rank.
 
     0 is a strong subject, 1 one behind a preposition, 2 a bare quantity. Only what later
     steps need travels: the phrase, its place and whether it follows a preposition.
     """
-    flat = (sents.withColumn("m", F.explode(S.subject_mentions(F.col("sent"))))
-            .select("nid", "field", "sid", F.col("m.start").alias("start"),
+    flat = (distinct.withColumn("m", F.explode(S.subject_mentions(F.col("sent"))))
+            .select("sent", F.col("n").alias("copies"), F.col("m.start").alias("start"),
                     S.follows_preposition(F.col("sent"), F.col("m.start"), F.col("m.g1"))
                     .alias("weak"), F.lower("m.g1").alias("phrase")))
-    named = lookup_by_key(flat, lexicon.subjects, "phrase", "n", F.struct("nid", "sid"),
-                          how="left")
+    named = lookup_by_key(flat, lexicon.subjects, "phrase", "n", F.col("sent"), how="left")
     # A lexicon built from other notes may lack a phrase; it is then taken as it stands.
     subject = F.coalesce("subject", S.norm_subject(F.col("phrase")))
     rank = F.when(S.is_quantity(subject), 2).when(F.col("weak"), 1).otherwise(0)
     item = F.struct("start", subject.alias("subject"), rank.alias("rank"))
-    return (named.where(S.token_count(subject) >= 2).groupBy("nid", "field", "sid")
+    return (named.where(S.token_count(subject) >= 2)
+            .groupBy("sent", F.col("copies").alias("n"))
             .agg(F.sort_array(F.collect_list(item)).alias("cands")))
 
 
+def sentence_subjects(sents: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(nid, field, sid, cands): `known_subjects` of every sentence."""
+    sents = materialize(sents.select("nid", "field", "sid", "sent"), "sentences")
+    known = materialize(known_subjects(distinct_sentences(sents), lexicon), "subjects")
+    return lookup_stored(sents, known, "sent", "n").select("nid", "field", "sid", "cands")
+
+
 def note_topics(cands: DataFrame) -> DataFrame:
     """(nid, topic): the first procedure of the front, else its first subject."""
     procedure = F.try_element_at(
@@ -253,22 +268,28 @@ def extract_claims(notes: DataFrame, lexicon: Lexicon | None = None) -> DataFram
     compound sentence states a set and does not contradict itself.
     """
     lexicon = build_lexicon(notes) if lexicon is None else lexicon
-    # Sentences that claim something, and those of the front, which name the note's topic.
-    # Both tables are read twice; parsing costs far more than writing them.
-    flagged = note_sentences(notes).withColumn("claims", F.regexp_like("sent", F.lit(TRIGGER)))
-    sents = materialize(flagged.where(F.col("claims") | (F.col("field") == "Text")), "sentences")
-    cands = materialize(sentence_subjects(sents, lexicon), "subjects")
-    return resolve_claims(sents.where("claims").drop("claims"), cands, note_topics(cands))
-
-
-def resolve_claims(sents: DataFrame, cands: DataFrame, topics: DataFrame) -> DataFrame:
-    """Claims of sentences, given their subjects and the topic of each note."""
-    sent, sentence = F.col("sent"), ["nid", "field", "sid"]
-    rows = (sents.join(cands, sentence, "left")
+    # Parsing costs far more than writing, and sentences repeat: each is parsed once.
+    sents = materialize(note_sentences(notes), "sentences")
+    distinct = distinct_sentences(sents)
+    known = materialize(known_subjects(distinct, lexicon), "subjects")
+    said = materialize(distinct_claims(distinct, known), "said")
+    front = lookup_stored(sents.where("field = 'Text'"), known, "sent", "n")
+    claimed = lookup_stored(sents, said, "sent", "n")
+    return resolve_claims(claimed, note_topics(front))
+
+
+def distinct_claims(distinct: DataFrame, known: DataFrame) -> DataFrame:
+    """(sent, n, xref, own, claims): what each distinct sentence claims, all but the note's topic.
+
+    A claim has its place `seq`, the subject `base` near it, the drug of a dose and whether its
+    level only `names` a landmark.
+    """
+    sent = F.col("sent")
+    flagged = distinct.where(F.regexp_like("sent", F.lit(TRIGGER)))
+    rows = (flagged.join(known.drop("n"), "sent", "left")
             .withColumn("cands", F.coalesce("cands", F.array().cast(CANDS)))
-            .select("deck", *sentence, "sent", "cands", F.explode(sentence_claims(sent))
-                    .alias("c"))
-            .select("deck", *sentence, "sent", "cands", "c.*")
+            .select("sent", "n", "cands", F.explode(sentence_claims(sent)).alias("c"))
+            .select("sent", "n", "cands", "c.*")
             .withColumn("base", subject_at(sent, F.col("cands"), F.col("at"))))
     own = F.try_element_at(F.filter("cands", lambda c: S.is_procedure(c["subject"])),
                            F.lit(1))["subject"]
@@ -277,17 +298,29 @@ def resolve_claims(sents: DataFrame, cands: DataFrame, topics: DataFrame) -> Dat
     identity = (F.col("attribute") == "spinal-level") & F.coalesce(F.regexp_like(
         sent, F.concat(F.lit("(?iU)"), level, F.lit(r"[\s-]+\w*\s*\Q"), noun, F.lit(r"\E"))),
         F.lit(False))
+    dosed = F.col("attribute").contains("dose") | (R.attribute_head() == "mass")
+    told = (rows.withColumn("own", own)
+            .withColumn("drug", F.when(dosed, nearest_drug(sent, F.col("at"))))
+            .withColumn("names", identity))
+    claim = F.struct("seq", "attribute", "value", "unit", "span", "kind", "base", "drug", "names")
+    return told.groupBy("sent", "n", "own").agg(
+        F.sort_array(F.collect_list(claim)).alias("claims")).withColumn(
+        "xref", R.is_cross_reference("sent"))
+
+
+def resolve_claims(claimed: DataFrame, topics: DataFrame) -> DataFrame:
+    """Claims of sentences with their `distinct_claims`, given the topic of each note."""
+    sentence = ["nid", "field", "sid"]
+    rows = claimed.select("deck", *sentence, "sent", "xref", "own",
+                          F.explode("claims").alias("c")).select(
+        "deck", *sentence, "sent", "xref", "own", "c.*")
     head = R.attribute_head()
-    dosed = F.col("attribute").contains("dose") | (head == "mass")
     named = F.when(F.col("names"), F.concat(F.lower("value"), F.lit(" "), "base")).otherwise(
         F.col("base"))
     subject = (F.when(F.col("drug").isNotNull(), F.col("drug"))
                .when(head.isin(*V.INSTRUMENT_HEADS), F.coalesce("own", "topic", "base"))
                .otherwise(F.coalesce(named, F.col("topic"))))
-    resolved = (rows.withColumn("own", own)
-                .withColumn("drug", F.when(dosed, nearest_drug(sent, F.col("at"))))
-                .withColumn("names", identity).drop("cands")
-                .join(topics, "nid", "left")
+    resolved = (rows.join(topics, "nid", "left")
                 .withColumn("subject", subject).where(F.col("subject").isNotNull())
                 .withColumn("attribute", F.when(F.col("names"), F.lit("identity"))
                             .otherwise(F.col("attribute"))))
@@ -301,7 +334,7 @@ def resolve_claims(sents: DataFrame, cands: DataFrame, topics: DataFrame) -> Dat
     kept = (resolved.withColumn("_freed", times)
             .withColumn("_place", F.row_number().over(first)).where("_place = 1"))
     return kept.select("deck", "nid", "field", "subject", "attribute", "value", "unit", "span",
-                       "kind", R.is_cross_reference("sent").alias("xref"), "sent")
+                       "kind", "xref", "sent")
 
 
 # ---- A7, A8, K5: collisions ----------------------------------------------------------------------

@@ -52,6 +52,17 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(int(spread)) if spread else df
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table of which queries read a few narrow columns and write texts from them.
+
+    Only those columns are shuffled, so it is always spread: a file of one row group would be
+    one task otherwise, whatever its size.
+    """
+    tasks = spark.conf.get("spark.corpusgate.spread", None) or spark.conf.get(
+        "spark.sql.shuffle.partitions")
+    return table(spark, sf_dir, name).repartition(int(tasks))
+
+
 def doc_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes_from_documents(wide_table(spark, sf_dir, "documents"))
 

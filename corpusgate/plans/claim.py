@@ -9,7 +9,7 @@ from corpusgate.functions import subjects as S
 from corpusgate.operators import claims as C
 from corpusgate.operators import relate as J
 from corpusgate.operators import rules as R
-from corpusgate.plans.base import query, table, wide_table
+from corpusgate.plans.base import query, spread_table, table
 from corpusgate.session import scratch_path
 from corpusgate.sources import sinks
 
@@ -156,7 +156,7 @@ def order_notes(spark, d):
             .otherwise("For a femoral block the patient is supine."))
     extra = (F.when(k == 3, "It is always C5.")
              .when(k == 5, say("A ", a, " cm needle is used.")).otherwise(" "))
-    return wide_table(spark, d, "orders").select(
+    return spread_table(spark, d, "orders").select(
         F.concat(F.lit("d"), F.pmod(key, F.lit(9))).alias("deck"), key.alias("nid"),
         text.alias("text"), extra.alias("extra"))
 
@@ -217,7 +217,7 @@ def landmark_claims(spark, d):
             .when(k == 4, say("A volume of ", a * 5, " mL of local anesthetic is injected for the "
                               "femoral nerve block."))
             .otherwise(say("In the lumbar and thoracic ", deep)))
-    notes = wide_table(spark, d, "orders").select(
+    notes = spread_table(spark, d, "orders").select(
         F.lit("d").alias("deck"), F.col("o_orderkey").alias("nid"), text.alias("text"),
         F.lit("").alias("extra"))
     return C.extract_claims(notes).select("nid", "subject", "attribute", "value")

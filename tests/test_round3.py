@@ -27,3 +27,39 @@ def test_streams_read_tables_that_are_folders(spark, folders, name):
     build = registry()[name].build
     want = rows(build(spark, SMALL))
     assert want and rows(build(spark, folders)) == want
+
+
+def test_repeated_sentences_are_parsed_once_and_claimed_by_every_note(spark):
+    from corpusgate.operators import claims as C
+    sentence = "The vagus nerve has {} layers near the carotid sheath."
+    notes = spark.createDataFrame([("d", i, sentence.format(i % 2 + 2), "") for i in range(40)],
+                                  "deck string, nid bigint, text string, extra string").repartition(3)
+    lexicon = C.build_lexicon(notes)
+    assert {r.phrase: r.n for r in lexicon.subjects.collect()}["the vagus nerve"] == 40
+    distinct = C.distinct_sentences(C.note_sentences(notes))
+    known = C.known_subjects(distinct, lexicon)
+    assert sorted(r.n for r in C.distinct_claims(distinct, known).collect()) == [20, 20]
+    found = C.extract_claims(notes, lexicon).collect()
+    assert sorted((r.nid, r.subject, r.value) for r in found) == [
+        (i, "vagus nerve", str(i % 2 + 2)) for i in range(40)]
+
+
+def test_notes_of_one_row_group_are_spread(spark):
+    from corpusgate.plans.claim import order_notes
+    assert spark.conf.get("spark.corpusgate.spread", None) is None
+    assert order_notes(spark, SMALL).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("n_hot", [0, 5000])
+def test_lookup_of_stored_rows(spark, n_hot):
+    from corpusgate.operators.skew import lookup_stored
+    rows = spark.createDataFrame([(i, "hot" if i < n_hot else f"k{i % 70}") for i in range(7000)],
+                                 "id bigint, key string")
+    table = rows.groupBy("key").count().withColumnRenamed("count", "n").where("key <> 'k3'")
+    want = rows.where("key <> 'k3'").join(table, "key").select("id", "key", "n")
+    got = lookup_stored(rows, table, "key", "n")
+    assert got.columns == ["id", "key", "n"] and rows_of(got) == rows_of(want)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
