@@ -71,10 +71,12 @@ def activity_sessions(events: DataFrame, ts: str, by: list[str], gap: str = "180
 
 
 class ValueSet(StatefulProcessor):
-    """Keeps the values of a (subject, attribute), each until `keep_ms` after its last sighting.
+    """Keeps the values of claims, each until `keep_ms` after its last sighting.
 
-    A value that is not held is reported with the others that are held at its time. Timers in
-    event time remove what has run out, so the state holds what may still collide and no more.
+    A value that is not held is reported with the others that are held at its time. What the
+    watermark has passed is dropped with the next rows or by a timer in event time, so the state
+    holds what may still collide and no more. One call serves a hash bucket of many claims: a
+    call and a state of their own cost milliseconds a claim, however few rows it has.
     """
 
     def __init__(self, keep_ms: int):
@@ -82,33 +84,44 @@ class ValueSet(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.values = handle.getMapState("values", "value STRING", "until BIGINT")
+        self.values = handle.getListState(
+            "values", "subject STRING, attribute STRING, value STRING, until BIGINT")
+
+    def _alive(self, watermark: int) -> dict:
+        """{(subject, attribute): {value: until}} of what is held beyond the watermark."""
+        held: dict = {}
+        for subject, attribute, value, until in self.values.get() if self.values.exists() else ():
+            if until > watermark:
+                held.setdefault((subject, attribute), {})[value] = until
+        return held
+
+    def _keep(self, held: dict) -> None:
+        rows = [(*claim, v, until) for claim, values in held.items() for v, until in values.items()]
+        if rows:
+            self.values.put(rows)
+            self.handle.registerTimer(min(r[3] for r in rows))
+        else:
+            self.values.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.values.iterator()}
-        seen, out = set(), []
-        for pdf in rows:
-            pdf = pdf.sort_values(["at", "value"], kind="stable")
-            value, at = pdf["value"].to_numpy(), pdf["at"].to_numpy()
-            # Repeats in a row count once: only where the value changes is there a decision.
-            first = [0, *(i for i in range(1, len(value)) if value[i] != value[i - 1])]
-            for i, j in zip(first, [*first[1:], len(value)]):
-                v, start, end = value[i], int(at[i]), int(at[j - 1])
-                if held.get(v, start) <= start:
-                    others = sorted(o for o, until in held.items() if o != v and until > start)
-                    if others:
-                        out.append((key[0], key[1], v, pd.Timestamp(start, unit="ms"), others))
-                held[v] = max(held.get(v, 0), end + self.keep_ms)
-                seen.add(v)
-        for v in sorted(seen):
-            self.values.updateValue((v,), (held[v],))
-            self.handle.registerTimer(held[v])
+        held = self._alive(timerValues.getCurrentWatermarkInMs())
+        # All rows of the micro-batch are put in order together; repeats count once.
+        by = ["subject", "attribute", "at", "value"]
+        found = pd.concat([pdf[by].drop_duplicates() for pdf in rows]).drop_duplicates()
+        found = found.sort_values(by, kind="stable")
+        out = []
+        for subject, attribute, at, value in zip(*(found[c].tolist() for c in by)):
+            values = held.setdefault((subject, attribute), {})
+            if values.get(value, at) <= at:
+                others = sorted(o for o, until in values.items() if o != value and until > at)
+                if others:
+                    out.append((subject, attribute, value, pd.Timestamp(at, unit="ms"), others))
+            values[value] = max(values.get(value, 0), at + self.keep_ms)
+        self._keep(held)
         yield pd.DataFrame(out, columns=["subject", "attribute", "value", "at", "others"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for k in [k for k, v in self.values.iterator() if v[0] <= now]:
-            self.values.removeKey(k)
+        self._keep(self._alive(timerValues.getCurrentWatermarkInMs()))
         return iter(())
 
     def close(self) -> None:
@@ -121,6 +134,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 COLLISION = ("subject STRING, attribute STRING, value STRING, at TIMESTAMP, "
              "others ARRAY<STRING>")
 STORE = "spark.sql.streaming.stateStore.providerClass"
+BUCKETS = 1024   # hash buckets of claims; fixed for the life of a checkpoint
 
 
 def collision_stream(claims: DataFrame, ts: str, delay: str = "1 hour",
@@ -133,9 +147,10 @@ def collision_stream(claims: DataFrame, ts: str, delay: str = "1 hour",
     """
     rows = claims.withWatermark(ts, delay).where(
         F.col("subject").isNotNull() & F.col("attribute").isNotNull() & F.col("value").isNotNull()
-        & F.col(ts).isNotNull()).select("subject", "attribute", "value", ts,
-                                        F.unix_millis(ts).alias("at"))
-    return rows.groupBy("subject", "attribute").transformWithStateInPandas(
+        & F.col(ts).isNotNull()).select(
+        "subject", "attribute", "value", ts, F.unix_millis(ts).alias("at"),
+        F.pmod(F.xxhash64("subject", "attribute"), F.lit(BUCKETS)).alias("bucket"))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         ValueSet(keep_ms), COLLISION, "append", "EventTime")
 
 

@@ -61,5 +61,24 @@ def test_lookup_of_stored_rows(spark, n_hot):
     assert got.columns == ["id", "key", "n"] and rows_of(got) == rows_of(want)
 
 
+def test_rows_of_a_claim_are_in_order_whatever_the_arrow_batches(spark):
+    import datetime
+    from corpusgate.streaming import streams as X
+    path = tempfile.mkdtemp(prefix="spark-")
+    kind = "subject STRING, attribute STRING, value STRING, ts TIMESTAMP"
+    start = datetime.datetime(2024, 1, 1)
+    claims = [("a", "x", str(n), start + datetime.timedelta(days=n)) for n in (8, 1, 6, 3, 7, 2, 5, 4)]
+    spark.createDataFrame(claims + [("b", "x", "9", start)], kind).coalesce(1).write.parquet(f"{path}/in")
+    stream = X.collision_stream(X.intake_stream(spark, f"{path}/in", kind), "ts", keep_ms=2 * 86_400_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        X.run_once(stream, f"{path}/out", f"{path}/checkpoint", keyed=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = spark.read.schema(stream.schema).parquet(f"{path}/out").collect()
+    assert sorted((r["subject"], r["value"], tuple(r["others"])) for r in found) == [
+        ("a", str(n), (str(n - 1),)) for n in range(2, 9)]
+
+
 def rows_of(df):
     return sorted(map(tuple, df.collect()))
