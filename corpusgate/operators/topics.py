@@ -14,7 +14,7 @@ from corpusgate.functions.base import text
 from corpusgate.functions.facts import (LEVEL_ONLY, corpus_numbers, expand_abbreviations,
                                         fact_text, numeric_facts)
 from corpusgate.functions.text import TAG, CLOZE_LINE, ascii_terms, content_terms
-from corpusgate.operators.skew import lookup_by_key
+from corpusgate.operators.skew import lookup_stored
 from corpusgate.session import materialize
 
 TOP_TERMS = 6
@@ -122,9 +122,9 @@ def rarest_terms(prints: DataFrame, k: int = TOP_TERMS, min_idf: float = MIN_IDF
         scored = with_idf(with_estimates(rows, frequency_sketch(rows), "term", "df"), prints)
         scored = scored.where(F.col("idf") > min_idf)
     else:
-        rare = materialize(with_idf(document_frequency(rows), prints)
-                           .where(F.col("idf") > min_idf), "rare-terms")
-        scored = lookup_by_key(rows, rare, "term", "df", F.col("nid"))
+        # Frequent terms, those of too small an idf too, are told in place and never move.
+        known = materialize(with_idf(document_frequency(rows), prints), "frequencies")
+        scored = lookup_stored(rows, known, "term", "df").where(F.col("idf") > min_idf)
     rank = Window.partitionBy("nid").orderBy(F.col("df"), F.col("term"))
     return scored.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k).drop("_r")
 
