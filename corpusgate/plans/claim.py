@@ -10,7 +10,7 @@ from corpusgate.operators import claims as C
 from corpusgate.operators import relate as J
 from corpusgate.operators import rules as R
 from corpusgate.plans.base import query, spread_table, table
-from corpusgate.session import scratch_path
+from corpusgate.session import materialize, scratch_path
 from corpusgate.sources import sinks
 
 # ---- a claims table read off the line items -------------------------------------------------------
@@ -85,7 +85,8 @@ def collision_members(spark, d):
 @query("new_collisions", f"""WITH {_GROUPS}
 SELECT subject, attribute FROM g WHERE kind = 'numeric' AND NOT (n_decks = 1)""")
 def new_collisions(spark, d):
-    found = C.collisions(item_claims(spark, d), "numeric")
+    # Read twice: as what there is and as what was known.
+    found = materialize(C.collisions(item_claims(spark, d), "numeric"), "collisions")
     return J.new_collisions(found, found.where("n_decks = 1")).select("subject", "attribute")
 
 
@@ -243,7 +244,6 @@ UNION ALL SELECT 'H', count(*)::BIGINT FROM extracted WHERE kind = 'numeric'
 UNION ALL SELECT 'I', count(*)::BIGINT FROM ({_ORDERS}) WHERE k = 2 AND c % 5 = 0
 UNION ALL SELECT 'J', count(*)::BIGINT FROM ({_ORDERS}) WHERE k = 3""")
 def consistency_sections(spark, d):
-    from corpusgate.session import materialize
     notes = order_notes(spark, d)
     claims = materialize(C.extract_claims(notes), "claims")
     report = C.consistency_report(notes, claims)
@@ -256,7 +256,6 @@ def consistency_sections(spark, d):
 f AS (SELECT 'G1a' AS section FROM g UNION SELECT 'I' FROM ({_ORDERS}) WHERE k = 2 AND c % 5 = 0)
 SELECT count(*)::BIGINT AS failing, count(*) = 0 AS pass FROM f""")
 def consistency_verdict(spark, d):
-    from corpusgate.session import materialize
     notes = order_notes(spark, d)
     claims = materialize(C.extract_claims(notes), "claims")
     return C.consistency_verdict(C.consistency_report(notes, claims))

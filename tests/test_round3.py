@@ -80,5 +80,10 @@ def test_rows_of_a_claim_are_in_order_whatever_the_arrow_batches(spark):
         ("a", str(n), (str(n - 1),)) for n in range(2, 9)]
 
 
+def test_new_collisions_groups_the_claims_once(spark):
+    found = registry()["new_collisions"].build(spark, SMALL)
+    assert not [f for f in found.inputFiles() if "lineitem" in f]
+
+
 def rows_of(df):
     return sorted(map(tuple, df.collect()))
