@@ -11,7 +11,7 @@ from corpusgate.operators import order as O
 from corpusgate.operators import report as P
 from corpusgate.operators import rules as R
 from corpusgate.plans.base import (MARKED, ascii_words, find, has, lit, marked_notes,
-                                   query, sql_strip, sub, table, wide_table)
+                                   query, spread_table, sql_strip, sub, table)
 from corpusgate.plans.texts import _compact_sql
 
 
@@ -181,7 +181,7 @@ def spoken_notes(spark, d):
             .otherwise(say("Plain ", name, " text.")))
     extra = (F.when(x == 0, say("The textbook's chapter on ", F.col("p_type"), " and Acme parts."))
              .when(x == 1, say("It is never more than ", size, ".")).otherwise(""))
-    return wide_table(spark, d, "part").select(
+    return spread_table(spark, d, "part").select(
         key.alias("nid"), F.col("p_brand").alias("deck"), text.alias("text"),
         extra.alias("extra"),
         F.when(F.pmod(key, F.lit(3)) == 0, "  ").otherwise(F.col("p_type")).alias("textbook"),

@@ -45,9 +45,11 @@ def test_repeated_sentences_are_parsed_once_and_claimed_by_every_note(spark):
 
 
 def test_notes_of_one_row_group_are_spread(spark):
+    from corpusgate.plans.checks import spoken_notes
     from corpusgate.plans.claim import order_notes
     assert spark.conf.get("spark.corpusgate.spread", None) is None
     assert order_notes(spark, SMALL).rdd.getNumPartitions() == 4
+    assert spoken_notes(spark, SMALL).rdd.getNumPartitions() == 4
 
 
 @pytest.mark.parametrize("n_hot", [0, 5000])
