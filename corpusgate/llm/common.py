@@ -18,12 +18,25 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 1 << 10   # rows of an Arrow batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH rows.
+
+    A batch of texts is held by the JVM, outside its heap, and by the Python worker, as Arrow
+    and as Python objects, for every core; Spark's 10,000 rows of texts are several hundred MB.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if not 0 < now <= BATCH:
+        spark.conf.set(setting, BATCH)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]],
                 schema: str, rows: int = 1 << 30) -> DataFrame:
     """Run Python over Arrow batches, cut at `rows` rows.
@@ -32,6 +45,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]],
     {column: list}. Batches are bounded in rows and bytes by Spark's Arrow settings, so a
     task never holds more than one batch of texts. Nulls arrive as None.
     """
+    small_batches(df.sparkSession)
     kind = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
     names = df.columns

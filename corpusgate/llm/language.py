@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import map_batches, remainder
+from corpusgate.llm.common import map_batches, remainder, small_batches
 from corpusgate.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -291,6 +291,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
                 yield part.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found],
                                            pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

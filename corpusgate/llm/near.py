@@ -52,6 +52,7 @@ BANDS, ROWS = 40, 6
 REMEMBERED = 1 << 18
 MORE = 8              # growth of the number of stars per bucket and round
 MASKS = 8             # 64-bit words of parity per set
+WORDS = 1 << 16       # 64-bit words of the broadcast that tells which ids may be gone
 MASK = [f"m{i}" for i in range(MASKS)]
 
 
@@ -291,9 +292,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col("id").eqNullSafe(group).alias("kept"))
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` whose id is not in `gone` (one column, stored).
+
+    Texts of rows that stay are not shuffled: a broadcast of at most WORDS rows of 64 bits
+    has a bit for every id that is gone, and only rows on a set bit go through the exact join,
+    those that are gone and few others. `docs` is read twice.
+    """
+    word, bits, key = fresh(docs, "word", "bits", "key")
+    name = gone.columns[0]
+
+    def place(c):
+        return F.pmod(F.shiftright(F.xxhash64(c), 6), F.lit(WORDS)).cast("int")
+
+    def bit(c):
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"),
+                               F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+
+    kind = docs.schema[id_col].dataType
+    gone = gone.select(F.col(name).cast(kind).alias(key))
+    filled = gone.groupBy(place(F.col(key)).alias(word)).agg(F.bit_or(bit(F.col(key))).alias(bits))
+    seen = docs.join(F.broadcast(filled), place(F.col(id_col)) == F.col(word), "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(F.col(id_col))) != 0, F.lit(False))
+    asked = seen.where(hit).join(gone, F.col(id_col) == F.col(key), "left_anti")
+    return seen.where(~hit).select(*docs.columns).unionByName(asked.select(*docs.columns))
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of the document that stays of each group."""
-    gone, = fresh(docs, "gone")
     groups = near_groups(docs, id_col, text_col)
-    out = materialize(groups.where("not kept").select(F.col(id_col).alias(gone)).distinct(), "gone")
-    return docs.join(out, docs[id_col] == F.col(gone), "left_anti").select(*docs.columns)
+    out = materialize(groups.where("not kept").select(id_col).distinct(), "gone")
+    return without(docs, out, id_col)
