@@ -252,11 +252,20 @@ def dedupe_inserts(new: DataFrame, existing: DataFrame, seq: str = "seq") -> Dat
 
 
 def missing_terms(source_body: Column, carried: Column, min_len: int = 6) -> Column:
-    """Terms of a retiring note that do not occur, even inside a word, in what is kept."""
+    """Terms of a retiring note that do not occur, even inside a word, in what is kept.
+
+    A term is letters only, so it can only occur inside a run of letters: terms that are a run
+    themselves are found by hash, and only the others are looked for, in the distinct runs.
+    """
     terms = ascii_terms(F.regexp_replace(source_body, TAG, " "), min_len)
     kept = F.lower(F.regexp_replace(carried, TAG, " "))
-    # Bound once: inside the filter it would be built again for every term.
-    return bind(kept, lambda k: F.sort_array(F.filter(terms, lambda t: ~k.contains(t))))
+    runs = F.array_distinct(F.regexp_extract_all(kept, F.lit(f"[a-z]{{{min_len},}}"), F.lit(0)))
+
+    # Bound once: inside the filter they would be built again for every term.
+    def search(k: Column) -> Column:
+        return bind(F.array_join(k, " "), lambda line: F.sort_array(F.filter(
+            F.array_except(terms, k), lambda t: ~line.contains(t))))
+    return bind(runs, search)
 
 
 def demote_loss(ops: DataFrame, notes: DataFrame) -> DataFrame:

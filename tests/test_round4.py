@@ -33,3 +33,22 @@ def test_texts_go_to_python_in_small_batches(spark):
         assert sum(r.n for r in sizes) == 3000 and max(r.n for r in sizes) <= common.BATCH
     finally:
         spark.conf.unset(setting)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_terms_of_a_long_note_are_looked_up_and_not_searched_one_by_one(spark):
+    import time
+    from pyspark.sql import functions as F
+    from corpusgate.operators.relate import missing_terms
+    rows = [("Antigen <b>kept</b> receptor LIGAMENT", "the ANTIGENS, ligament", ["receptor"]),
+            ("nothing short", "", ["nothing"]), ("alphabeta", "alpha-beta", ["alphabeta"])]
+    df = spark.createDataFrame(rows, "body string, kept string, want array<string>")
+    assert all(r.got == r.want for r in df.select(missing_terms(F.col("body"), F.col("kept")).alias(
+        "got"), "want").collect())
+    letters = F.translate(F.format_string("%06d", F.col("id")), "0123456789", "abcdefghij")
+    long = materialize(spark.range(100_000).agg(F.array_join(F.collect_list(letters), " ").alias("t")))
+    began = time.time()
+    assert long.select(F.size(missing_terms(F.col("t"), F.col("t"))).alias("n")).first().n == 0
+    assert time.time() - began < 15
