@@ -199,17 +199,29 @@ def topic_members(notes: DataFrame, **limits) -> DataFrame:
 
 # ---- corpus inventory -------------------------------------------------------------------------
 
-def inventory_items(notes: DataFrame, stop=V.STOP_WORDS_INVENTORY) -> DataFrame:
-    """(kind, item, deck, n): notes of each deck that hold each term and number."""
+def _held_items(notes: DataFrame, stop, *more: str) -> DataFrame:
+    """(kind, item, more...): a row per note and distinct term or number."""
     shown = F.regexp_replace(F.concat_ws(" ", text("text"), text("extra")), CLOZE_LINE, "$1")
-    body = notes.select("deck", F.regexp_replace(shown, TAG, " ").alias("_b"))
-    items = body.select("deck", F.explode(F.concat(
+    body = notes.select(*more, F.regexp_replace(shown, TAG, " ").alias("_b"))
+    return body.select(*more, F.explode(F.concat(
         F.transform(ascii_terms("_b", 5, stop),
                     lambda t: F.struct(F.lit("term").alias("kind"), t.alias("item"))),
         F.transform(corpus_numbers("_b"),
                     lambda n: F.struct(F.lit("number").alias("kind"), n.alias("item")))
-    )).alias("i")).select("i.kind", "i.item", "deck")
-    return items.groupBy("kind", "item", "deck").agg(F.count(F.lit(1)).alias("n"))
+    )).alias("i")).select("i.kind", "i.item", *more)
+
+
+def inventory_items(notes: DataFrame, stop=V.STOP_WORDS_INVENTORY) -> DataFrame:
+    """(kind, item, deck, n): notes of each deck that hold each term and number."""
+    return _held_items(notes, stop, "deck").groupBy("kind", "item", "deck").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def lost_without(notes: DataFrame, kept: str, stop=V.STOP_WORDS_INVENTORY) -> DataFrame:
+    """(kind, item) that no note with the boolean `kept` holds: `lost_items` where what stays is
+    known by note, so that every text is read once."""
+    held = _held_items(notes, stop, kept).groupBy("kind", "item").agg(F.bool_or(kept).alias("_kept"))
+    return held.where(~F.coalesce("_kept", F.lit(False))).select("kind", "item")
 
 
 def deck_counts(notes: DataFrame) -> DataFrame:
@@ -246,7 +258,12 @@ def deck_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def no_loss_gate(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: terms_lost, numbers_lost, pass."""
-    return lost_items(before, after).agg(
+    return loss_gate(lost_items(before, after))
+
+
+def loss_gate(lost: DataFrame) -> DataFrame:
+    """One row: terms_lost, numbers_lost, pass, of (kind, item) rows."""
+    return lost.agg(
         F.count_if(F.col("kind") == "term").alias("terms_lost"),
         F.count_if(F.col("kind") == "number").alias("numbers_lost"),
     ).withColumn("pass", (F.col("terms_lost") == 0) & (F.col("numbers_lost") == 0))

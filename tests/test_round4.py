@@ -52,3 +52,10 @@ def test_terms_of_a_long_note_are_looked_up_and_not_searched_one_by_one(spark):
     began = time.time()
     assert long.select(F.size(missing_terms(F.col("t"), F.col("t"))).alias("n")).first().n == 0
     assert time.time() - began < 15
+
+
+def test_lost_items_read_every_text_once(spark):
+    import re
+    from corpusgate.plans import registry
+    plan = registry()["corpus_lost_items"].build(spark, SMALL)._jdf.queryExecution().optimizedPlan()
+    assert len(re.findall(r"Relation \[doc_id#\d+L?,text#", plan.toString())) == 1
