@@ -39,6 +39,14 @@ def fingerprints(notes: DataFrame, abbreviations=V.ABBREVIATIONS,
     return materialize(prints, "fingerprints").where(F.size("terms") > 0)
 
 
+def term_prints(notes: DataFrame, abbreviations=V.ABBREVIATIONS, stop=V.STOP_WORDS) -> DataFrame:
+    """`fingerprints` without the numbers, for steps that only count terms."""
+    wide = notes.select("deck", "nid", expand_abbreviations(
+        fact_text(F.concat_ws(" ", text("text"), text("extra"))), abbreviations).alias("_w"))
+    prints = wide.select("deck", "nid", content_terms("_w", 3, stop).alias("terms"))
+    return materialize(prints, "terms").where(F.size("terms") > 0)
+
+
 def term_rows(prints: DataFrame) -> DataFrame:
     return prints.select("deck", "nid", F.explode("terms").alias("term"))
 

@@ -54,6 +54,13 @@ def test_terms_of_a_long_note_are_looked_up_and_not_searched_one_by_one(spark):
     assert time.time() - began < 15
 
 
+def test_frequencies_of_terms_parse_no_numbers(spark):
+    from corpusgate.plans import registry
+    for name in ("inverse_document_frequency", "document_frequency"):
+        files = registry()[name].build(spark, SMALL).inputFiles()
+        assert files and not [f for f in files if "fingerprints" in f]
+
+
 def test_lost_items_read_every_text_once(spark):
     import re
     from corpusgate.plans import registry
