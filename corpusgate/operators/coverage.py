@@ -11,6 +11,7 @@ from corpusgate.operators.order import band_islands
 from corpusgate.session import materialize
 
 EDGE = 2
+TASK_ROWS = 1 << 19   # line extents whose pages share a task
 
 
 def box_buckets(boxes: DataFrame, conf_ok: float = V.CONFIDENCE_OK) -> DataFrame:
@@ -33,11 +34,11 @@ def _extents(boxes: DataFrame, pages: DataFrame) -> DataFrame:
                     "page_h"))
 
 
-def outside_bands(extents: DataFrame, bands: DataFrame) -> DataFrame:
+def outside_bands(extents: DataFrame, bands: DataFrame, tasks: int | None = None) -> DataFrame:
     """(page_id, lo, hi, page_h): the parts of extents that no band covers.
 
     A sweep over start and end positions: a stretch counts where some extent and no band
-    is open. Extents and bands are never paired.
+    is open. Extents and bands are never paired. With `tasks`, pages are dealt over so many.
     """
     def edge(at: Column, n: int, b: int) -> Column:
         return F.struct(at.cast("bigint").alias("y"), F.lit(n).alias("n"), F.lit(b).alias("b"))
@@ -48,7 +49,8 @@ def outside_bands(extents: DataFrame, bands: DataFrame) -> DataFrame:
     stops = bands.select("page_id", F.lit(None).cast("bigint").alias("page_h"),
                          F.explode(F.array(edge(F.col("y0"), 0, 1),
                                            edge(F.col("y1"), 0, -1))).alias("e"))
-    steps = heights.unionByName(stops).groupBy("page_id", "e.y").agg(
+    edges = heights.unionByName(stops)
+    steps = (edges.repartition(tasks, "page_id") if tasks else edges).groupBy("page_id", "e.y").agg(
         F.sum("e.n").alias("n"), F.sum("e.b").alias("b"), F.max("page_h").alias("page_h"))
     sweep = Window.partitionBy("page_id").orderBy("y")
     whole = Window.partitionBy("page_id")
@@ -64,11 +66,15 @@ def page_bands(boxes: DataFrame, pages: DataFrame, gap: int = V.BAND_GAP,
     """(page_id, kind, y0, y1): bands to read by eye, and numeric bands outside of them."""
     marked = box_buckets(boxes) if "bucket" not in boxes.columns else boxes
     extents = materialize(_extents(marked, pages), "extents")
-    # A page has no more distinct positions than pixel rows, so it fits one task.
+    # A page has no more distinct positions than pixel rows, so it fits one task. Extents are so
+    # narrow that a shuffle partition of the usual bytes sorts to some forty times of them, several
+    # times at once: the number of tasks follows the rows, and all steps of a page share its task.
+    tasks = extents.count() // TASK_ROWS + 1
+    marks = extents.where("bucket = 'needs-eyes'").repartition(tasks, "page_id")
     # The mandatory bands are read twice below and are far fewer than the boxes.
-    eyes = materialize(band_islands(extents.where("bucket = 'needs-eyes'"), ["page_id"], "lo",
-                                    "hi", gap, pad, "page_h", block=None), "bands")
-    loose = outside_bands(extents.where("bucket = 'numeric'"), eyes)
+    eyes = materialize(band_islands(marks, ["page_id"], "lo", "hi", gap, pad, "page_h",
+                                    block=None), "bands")
+    loose = outside_bands(extents.where("bucket = 'numeric'"), eyes, tasks)
     numeric = band_islands(loose, ["page_id"], "lo", "hi", gap, pad, "page_h", block=None)
     return (eyes.withColumn("kind", F.lit("eyes"))
             .unionByName(numeric.withColumn("kind", F.lit("numeric")))

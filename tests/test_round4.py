@@ -38,6 +38,20 @@ def test_texts_go_to_python_in_small_batches(spark):
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_pages_are_dealt_over_tasks_that_follow_the_rows(spark, monkeypatch):
+    from corpusgate.operators import coverage as B
+    boxes = spark.createDataFrame(
+        [(p, "word" if i % 3 else "12 mg", float(i * 37 % 101), 40 * (i // 8), 12 + i % 5)
+         for p in range(20) for i in range(100)],
+        "page_id bigint, text string, conf double, t bigint, h bigint")
+    pages = spark.createDataFrame([(p, 700) for p in range(20)], "page_id bigint, page_h bigint")
+    whole = rows_of(B.page_bands(boxes, pages))
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    dealt = B.page_bands(boxes, pages)
+    assert whole and rows_of(dealt) == whole
+    assert "RepartitionByExpression [page_id" in dealt._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_terms_of_a_long_note_are_looked_up_and_not_searched_one_by_one(spark):
     import time
     from pyspark.sql import functions as F
