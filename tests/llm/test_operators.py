@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import struct
 import zlib
@@ -116,6 +117,25 @@ def test_tokens_of_odd_rows(odd, none):
 
 # ---- language -----------------------------------------------------------------------------------
 
+def test_the_language_sample_is_not_held_by_the_driver(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, t, lang) for i in range(60) for t, lang in (
+        (f"the cat and {i}", "en"), (f"le chat et {i}", "fr"))], "doc_id BIGINT, text STRING, lang STRING")
+    plain, log = language.train, str(tmp_path / "log")
+
+    def watched(rows, labels):
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()} {len(rows)}\n")
+        return plain(rows, labels)
+
+    monkeypatch.setattr(language, "train", watched)
+    assert language.fit(docs).labels == ["en", "fr"]
+    with open(log) as f:
+        (pid, n), = map(str.split, f)
+    assert int(n) == 120 and int(pid) != os.getpid()
+
+
 def test_language_is_learned_held_out_and_unknown_without_letters(spark, odd, none):
     rng = random.Random(3)
     words = {"en": "the and of this with have from they house water".split(),
