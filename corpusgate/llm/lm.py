@@ -4,7 +4,7 @@ Words of the training documents are counted over the whole corpus. The model pre
 SHORT most frequent words, the end of a document, and one symbol for all other words; a word
 behind that symbol has its share of the smoothed corpus counts, so the probabilities of all
 words, the unseen ones together, sum to one. The output softmax is factored into classes of
-words of similar rank. Biases start at the corpus frequencies. The weights are trained in
+words of similar rank; that symbol, about half of all tokens, is the last class by itself. Biases start at the corpus frequencies. The weights are trained in
 numpy by truncated backpropagation through time: training documents are trained on where they
 lie, each task from the same weights, and the weights of all tasks are averaged by their
 tokens, in the order of the tasks; that is done in ROUNDS rounds, which share out all training
@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import map_batches, remainder
+from corpusgate.llm.common import map_batches, remainder, small_batches
 from corpusgate.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,7 +46,7 @@ HIDDEN = 12
 CLASS = 64           # words of a class
 ROUNDS = 2           # every training document is in one of them
 LANES, WINDOW = 512, 16
-SCORE_LANES, SCORE_WINDOW, MIN_LANES = 512, 16, 64
+SCORE_LANES, SCORE_WINDOW, MIN_LANES = 512, 64, 64
 CHUNK = 1 << 22      # tokens scored at once, if no document is longer
 TOP = 80.0           # logits beyond it are held there, so no exponential overflows
 RATE, FLAT = 0.1, 1e-6  # step size, and where the sums of squared gradients begin
@@ -80,8 +80,8 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 class Lexicon:
     """Frequent words, their numbers in the network, and base probabilities.
 
-    Numbers run from 0; the one after the last word stands for all other words, and the one
-    after that for the start of a document.
+    Numbers run from 0; the first of the class after the last word's stands for all other
+    words, and the one after that for the start of a document.
     """
 
     def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int):
@@ -96,8 +96,10 @@ class Lexicon:
         self.rest = max(1.0 - sum(mass), SMOOTH / self.floor)
         ranked = sorted(range(len(short)), key=lambda i: -mass[i])
         self.number = {short[i]: n for n, i in enumerate(ranked)}
-        self.other, self.start = len(short), len(short) + 1
-        self.share = np.array([mass[i] for i in ranked] + [self.rest])
+        self.other = -(-len(short) // CLASS) * CLASS
+        self.start = self.other + 1
+        self.share = np.zeros(self.other + 1)
+        self.share[:len(short)], self.share[-1] = [mass[i] for i in ranked], self.rest
         seen = [w for w, c in counts.items() if c]
         chance = np.log10((np.array([counts[w] for w in seen]) + SMOOTH) / self.floor)
         self.base = dict(zip(seen, chance.tolist()))
@@ -139,10 +141,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def run_gates(p: dict, x: np.ndarray, h: np.ndarray, keep: np.ndarray, trace: dict | None):
     """States of a window; `x` is (steps, lanes, 3 hidden), `keep` 0 where a document starts."""
+    if trace is None:
+        return _run_gates_across(p, x, h, keep)
     n = HIDDEN
     out = np.empty((len(x), len(h), n), np.result_type(x, h))
-    if trace is not None:
-        trace |= {k: np.empty_like(out) for k in ("before", "new", "gn", "z", "r")}
+    trace |= {k: np.empty_like(out) for k in ("before", "new", "gn", "z", "r")}
     for t in range(len(x)):
         h = h * keep[t][:, None]
         g = h @ p["wh"]
@@ -150,9 +153,8 @@ def run_gates(p: dict, x: np.ndarray, h: np.ndarray, keep: np.ndarray, trace: di
         new = zr[:, n:] * g[:, 2 * n:]
         new += x[t, :, 2 * n:]
         np.tanh(new, out=new)
-        if trace is not None:
-            trace["before"][t], trace["new"][t], trace["gn"][t] = h, new, g[:, 2 * n:]
-            trace["z"][t], trace["r"][t] = zr[:, :n], zr[:, n:]
+        trace["before"][t], trace["new"][t], trace["gn"][t] = h, new, g[:, 2 * n:]
+        trace["z"][t], trace["r"][t] = zr[:, :n], zr[:, n:]
         h -= new
         h *= zr[:, :n]
         h += new
@@ -160,6 +162,27 @@ def run_gates(p: dict, x: np.ndarray, h: np.ndarray, keep: np.ndarray, trace: di
     return out, h
 
 
+def _run_gates_across(p: dict, x: np.ndarray, h: np.ndarray, keep: np.ndarray):
+    """The same without a trace; lanes lie side by side, so every gate is one run of memory."""
+    n = HIDDEN
+    out = np.empty((len(x), n, len(h)), np.result_type(x, h))
+    x = np.ascontiguousarray(x.transpose(0, 2, 1))
+    by, h = np.ascontiguousarray(p["wh"].T), np.ascontiguousarray(h.T)
+    for t in range(len(x)):
+        h = h * keep[t]
+        g = by @ h
+        g[:2 * n] += x[t, :2 * n]
+        zr, new = _sigmoid(g[:2 * n]), g[2 * n:]
+        new *= zr[n:]
+        new += x[t, 2 * n:]
+        np.tanh(new, out=new)
+        h -= new
+        h *= zr[:n]
+        h += new
+        out[t] = h
+    return np.ascontiguousarray(out.transpose(0, 2, 1)), h.T
+
+
 def _choose(x: np.ndarray, at: np.ndarray, gradient: bool):
     """Log-probability of place `at` of every row of logits; `x` becomes the gradient."""
     rows = np.arange(len(x))
@@ -177,7 +200,8 @@ def _choose(x: np.ndarray, at: np.ndarray, gradient: bool):
 def log_probs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None):
     """Natural log-probability of every target, and the gradient of minus their sum by h.
 
-    Rows are sorted by the class of their target once; each class is then one product.
+    Rows are sorted by the class of their target once; each class is then one product. The
+    last class has one symbol, which is certain in it.
     """
     want = grads is not None
     order = np.argsort((target // CLASS).astype(np.int16), kind="stable")
@@ -190,7 +214,7 @@ def log_probs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None):
         dh = d @ p["wc"].T
         grads["wc"], grads["bc"] = h.T @ d, d.sum(axis=0)
         grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-    ends = np.searchsorted(cls, np.arange(len(p["wo"]) + 1)).tolist()
+    ends = np.searchsorted(cls, np.arange(len(p["wo"]))).tolist()
     for c, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
         if lo == hi:
             continue
@@ -457,25 +481,39 @@ def with_net(heads: DataFrame, lexicon: Lexicon, params: dict) -> DataFrame:
     shared = heads.sparkSession.sparkContext.broadcast(params)
     names = [c for c in heads.columns if c != "ids"]
 
-    def make():
+    def run(batches):
+        import pyarrow as pa
+
         scorer = Scorer(shared.value, symbols)
 
-        def work(batch):
-            net, waiting, held = [], [], 0
-            for ids in batch["ids"]:
-                waiting.append(np.frombuffer(ids, NUMBER))
-                held += len(waiting[-1])
-                if held >= CHUNK:
-                    net += scorer.score(waiting).tolist()
-                    waiting, held = [], 0
-            if waiting:
-                net += scorer.score(waiting).tolist()
-            return {**{k: batch[k] for k in names}, "net": [x / LOG10 for x in net]}
-        return work
+        def scored():
+            net = pa.array(scorer.score(docs) / LOG10)
+            at = 0
+            for part in parts:
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(n) for n in names] + [net.slice(at, part.num_rows)], [*names, "net"])
+                at += part.num_rows
 
+        # Lanes are as full as the documents at hand allow, which are more than a batch's.
+        parts, docs, held = [], [], 0
+        for batch in batches:
+            lo = 0
+            for i, ids in enumerate(batch.column("ids").to_pylist()):
+                docs.append(np.frombuffer(ids, NUMBER))
+                held += len(docs[-1])
+                if held >= CHUNK:
+                    parts.append(batch.slice(lo, i + 1 - lo).select(names))
+                    yield from scored()
+                    parts, docs, held, lo = [], [], 0, i + 1
+            if lo < batch.num_rows:
+                parts.append(batch.slice(lo).select(names))
+        if docs:
+            yield from scored()
+
+    small_batches(heads.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in heads.schema
                       if f.name != "ids")
-    return map_batches(heads, make, f"{kinds}, net DOUBLE")
+    return heads.mapInArrow(run, f"{kinds}, net DOUBLE")
 
 
 def learn(docs: DataFrame, train: Column, text_col: str):

@@ -666,6 +666,37 @@ def test_scores_equal_a_slow_run(spark, monkeypatch):
         assert math.isclose(score[i], _slow_score(t, learned["p"], lx, counts), rel_tol=1e-4), i
 
 
+def test_lanes_take_documents_of_many_batches(spark, monkeypatch, tmp_path):
+    lx, log = _lexicon(), str(tmp_path / "log")
+    size = [1 + 7 * i % 40 for i in range(300)]
+    rows = [(i, np.arange(n, dtype=lm.NUMBER).tobytes()) for i, n in enumerate(size)]
+    heads = spark.createDataFrame(rows, "row BIGINT, ids BINARY").repartition(1)
+    monkeypatch.setattr(lm, "CHUNK", 4000)
+
+    class Watched(lm.Scorer):
+        def score(self, docs):
+            with open(log, "a") as f:
+                f.write(f"{len(docs)}\n")
+            return super().score(docs)
+
+    params, plain = lm.initial(lx), lm.Scorer
+    monkeypatch.setattr(lm, "Scorer", Watched)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 16)
+    try:
+        got = {r["row"]: r["net"] for r in lm.with_net(heads, lx, params).collect()}
+    finally:
+        spark.conf.set(key, before)
+    with open(log) as f:
+        calls = [int(n) for n in f]
+    assert sum(calls) == 300 and len(calls) == 2
+    scorer = plain(params, lx)
+    for i, ids in rows:
+        assert math.isclose(got[i], scorer.score([np.frombuffer(ids, lm.NUMBER)])[0] / lm.LOG10,
+                            rel_tol=1e-4)
+
+
 def test_scores_of_documents(spark, odd, none):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["A b", "c d e", "f"]) for _ in range(rng.randint(0, 80))))
