@@ -40,6 +40,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNIT = f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 LEAF = 16            # bytes encoded directly
 REMEMBERED = 1 << 19  # units a task remembers before it starts afresh
+SLICE = 1 << 8       # rows with their ids held at once by a worker
 ABSENT = 1 << 60
 
 
@@ -250,4 +251,4 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     return map_batches(rows, make, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, "
                                    "n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING"
-                       + (", ids BINARY" if keep_ids else ""))
+                       + (", ids BINARY" if keep_ids else ""), SLICE)

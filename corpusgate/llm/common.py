@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable
 
@@ -37,6 +39,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, BATCH)
 
 
+def give_back() -> None:
+    """Return memory that is free inside this process to the system.
+
+    A Python worker serves one task after another, of any stage. What Arrow and the C library
+    keep of a task's free memory would be held by an executor in all later stages.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def giving_back(run: Callable) -> Callable:
+    """`run` over batches, for mapInArrow, with `give_back` when its task has ended."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]],
                 schema: str, rows: int = 1 << 30) -> DataFrame:
     """Run Python over Arrow batches, cut at `rows` rows.
@@ -58,7 +85,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]],
                 out = work({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(giving_back(run), kind)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import map_batches, remainder, small_batches
+from corpusgate.llm.common import giving_back, map_batches, remainder, small_batches
 from corpusgate.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,6 +44,7 @@ FEW = 64                # labels up to which the next two hold; with more they s
 REMEMBERED = 1 << 17
 SLICE = 1 << 10         # rows with all their columns held at once
 CHUNK = 1 << 15         # words whose scores are added up at once
+LOT = 1 << 10           # new words whose n-grams are looked up at once
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -98,6 +99,7 @@ class Predictor:
         self.model = model
         labels = max(FEW, len(model.labels))
         self.remembered, self.chunk = REMEMBERED * FEW // labels, CHUNK * FEW // labels
+        self.lot = max(1, LOT * FEW // labels)
         self._forget()
 
     def _forget(self):
@@ -105,12 +107,13 @@ class Predictor:
 
     def _learn(self):
         """Class scores and number of n-grams of the words met since the last time."""
-        new = list(self.known)[len(self.sums):]
-        if new:
-            buckets, starts = grams_of(new)
+        new, found = list(self.known)[len(self.sums):], [self.sums]
+        for lo in range(0, len(new), self.lot):
+            buckets, starts = grams_of(new[lo:lo + self.lot])
             sums = np.add.reduceat(self.model.table[buckets], starts, axis=0)
             count = np.diff(np.append(starts, len(buckets)))[:, None]
-            self.sums = np.concatenate([self.sums, np.hstack([sums, count])])
+            found.append(np.hstack([sums, count]))
+        self.sums = np.concatenate(found)
 
     def _flush(self, waiting: list[list[int]], out: list[tuple[str, float]]):
         self._learn()
@@ -264,7 +267,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
                 "table": [m.table.tobytes()], "bias": [m.bias.tobytes()],
                 "temperature": [m.temperature], "threshold": [m.threshold]})
 
-    found = sample.coalesce(1).mapInArrow(learn, _MODEL).collect()
+    found = sample.coalesce(1).mapInArrow(giving_back(learn), _MODEL).collect()
     if not found:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     m = found[0]
@@ -313,7 +316,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
                                            pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def learnable(docs: DataFrame, key: str = "doc_id", mod: int = 4, out: int = 2) -> Column:

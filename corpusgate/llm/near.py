@@ -51,6 +51,7 @@ SIMILARITY = (4, 5)   # as a fraction, compared in whole numbers
 BANDS, ROWS = 40, 6
 REMEMBERED = 1 << 18
 MORE = 8              # growth of the number of stars per bucket and round
+SLICE = 1 << 8        # rows with their sets held at once by a worker
 MASKS = 8             # 64-bit words of parity per set
 WORDS = 1 << 16       # 64-bit words of the broadcast that tells which ids may be gone
 MASK = [f"m{i}" for i in range(MASKS)]
@@ -165,7 +166,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH,
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make,
-                       f"id {kind}, n_shingles BIGINT, same STRING, mask ARRAY<BIGINT>, keys ARRAY<BIGINT>")
+                       f"id {kind}, n_shingles BIGINT, same STRING, mask ARRAY<BIGINT>, keys ARRAY<BIGINT>", SLICE)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
@@ -191,7 +192,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
         return work
 
     kind = rows.schema["id"].dataType.simpleString()
-    sets = map_batches(rows, make, f"id {kind}, shingles ARRAY<BIGINT>", 1 << 11)
+    sets = map_batches(rows, make, f"id {kind}, shingles ARRAY<BIGINT>", SLICE)
     return materialize(sets, "passed").join(ids, "id", "left_semi")
 
 
