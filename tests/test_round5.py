@@ -37,3 +37,7 @@ def test_pages_without_text_have_the_mode_of_the_sql(spark, blank):
 
 def test_pages_without_text_cost_a_blank_page(spark, blank):
     assert min(r["page_tokens"] for r in same_as_sql(spark, "page_cost", blank)) == 52
+
+
+def test_coverage_of_pages_without_text(spark, blank):
+    assert same_as_sql(spark, "coverage_summary", blank)[0]["pass"]
