@@ -41,3 +41,7 @@ def test_pages_without_text_cost_a_blank_page(spark, blank):
 
 def test_coverage_of_pages_without_text(spark, blank):
     assert same_as_sql(spark, "coverage_summary", blank)[0]["pass"]
+
+
+def test_report_of_pages_without_text(spark, blank):
+    assert sum(r["n"] for r in same_as_sql(spark, "write_page_report", blank)) == 90
